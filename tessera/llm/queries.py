@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..runtime import table
-from . import quality_rules
+from ..runtime import materialize, table
+from . import mixing, quality_rules, url_filter
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(h, p, v, True) for h, p, v in url_filter.RULES] + [(h, p, v, False) for h, p, v in url_filter.LISTED]
+    entries = spark.createDataFrame(rows, "host string, path string, verdict string, is_rule boolean")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), entries).drop("url")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
+    return mixing.Mix(materialize(sized, "mixing")).taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +27,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_filter": op2_url_filter,
+    "op8_mixing": op8_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filter": url_filter.ORACLE_SQL,
+    "op8_mixing": mixing.ORACLE_SQL,
+}
