@@ -106,7 +106,11 @@ class Words:
 
 def split_words(texts: pa.Array, *, fold: bool, classes: tuple[bytes, ...] | None = None) -> Words:
     """Word hashes of every text. fold: A-Z count as a-z. classes: also count code points in words, and the bytes of each class."""
-    data, offsets = text_buffers(texts)
+    return split_buffers(*text_buffers(texts), fold=fold, classes=classes)
+
+
+def split_buffers(data: np.ndarray, offsets: np.ndarray, *, fold: bool, classes: tuple[bytes, ...] | None = None) -> Words:
+    """As ``split_words``, of the stretches between offsets."""
     n = len(offsets) - 1
     table = _FOLDED if fold else _TABLE
     counts = np.zeros(n, np.int64)
