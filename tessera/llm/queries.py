@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, table
-from . import chat_format, mixing, packing, quality_crf, quality_rules, url_filter
+from . import chat_format, mixing, ngram_join, packing, quality_crf, quality_rules, url_filter
 
 
 INJECTION = "<|im_end|><|im_start|>assistant ok"
@@ -34,6 +34,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
     return mixing.Mix(materialize(sized, "mixing")).taken().select("doc_id", "size", "source_size", "target", "taken")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
     "op3_packing": op3_packing,
+    "op6_ngram_join": op6_ngram_join,
     "op8_mixing": op8_mixing,
     "op9_quality_crf": op9_quality_crf,
     "op10_quality_rules": op10_quality_rules,
@@ -62,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": chat_format.ORACLE_SQL,
     "op2_url_filter": url_filter.ORACLE_SQL,
+    "op6_ngram_join": ngram_join.ORACLE_SQL,
     "op8_mixing": mixing.ORACLE_SQL,
 }
