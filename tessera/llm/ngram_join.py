@@ -377,3 +377,19 @@ e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON r.seen = e.x)
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that represent their component: those whose id is its least.
+
+    Of rows that share an id and the text one stays; rows that share an id with different texts all do. Rows
+    without an id stay, and documents with an empty set represent themselves.
+    """
+    named = checkpoint(link_components(docs, key, text).select(F.col(key).alias("__id"), "component_id"))
+    again = named.filter("__id IS NOT NULL").groupBy("__id").agg(F.count("*").alias("__rows"), F.max(F.col("__id") != F.col("component_id")).alias("__drop"))
+    marks = checkpoint(again.filter("__drop OR __rows > 1").select("__id", "__drop"))
+    marked = docs.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, F.col(key) == F.col("__id"), "left")
+    single = marked.filter("__id IS NULL").select(docs.columns)
+    order = F.row_number().over(Window.partitionBy(key, text).orderBy(F.xxhash64(*docs.columns)))
+    repeated = marked.filter("NOT __drop").withColumn("__order", order).filter("__order = 1").select(docs.columns)
+    return single.unionByName(repeated)
