@@ -53,7 +53,7 @@ def quantized(rows: DataFrame, key: str, vector: str) -> DataFrame:
             values = pc.cast(lists.values, pa.float64())
             offsets = lists.offsets.to_numpy()
             bad = np.concatenate([[0], np.cumsum(~np.isfinite(values.fill_null(np.nan).to_numpy(zero_copy_only=False)))])
-            flat = np.clip(np.floor(SCALE * np.nan_to_num(values.fill_null(0.0).to_numpy(zero_copy_only=False))), -(2**31), 2**31).astype(np.int64)
+            flat = np.clip(np.floor(SCALE * np.clip(np.nan_to_num(values.fill_null(0.0).to_numpy(zero_copy_only=False)), -(2**31), 2**31)), -(2**31), 2**31).astype(np.int64)
             usable = lists.is_valid().to_numpy(zero_copy_only=False) & batch.column("id").is_valid().to_numpy(zero_copy_only=False)
             usable &= bad[offsets[1:]] == bad[offsets[:-1]]
             for k in np.flatnonzero(usable):
@@ -174,11 +174,11 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     def pack(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        far = np.frombuffer(b"".join(table.column("far").to_pylist())).reshape(-1, m)[order]
+        xs = unpack(table.column("x"), width)[order]
         cell = table.column("cell")[0].as_py()
         home = table.column("pack")[0].as_py() % blocks[cell]
         one = lambda x: pa.array([x.tobytes()], pa.binary())
-        return pa.table({"cell": table.column("cell").slice(0, 1), "pack": table.column("pack").slice(0, 1), "home": pa.array([home], pa.int64()), "ids": one(ids[order]), "xs": one(unpack(table.column("x"), width)[order]), "fars": one(far)})
+        return pa.table({"cell": table.column("cell").slice(0, 1), "pack": table.column("pack").slice(0, 1), "home": pa.array([home], pa.int64()), "ids": one(ids[order]), "xs": one(xs), "fars": one(pivots.of_queries(xs))})
 
     asked = materialize(queries.withColumn("pack", F.pmod(F.xxhash64("id", F.lit("pack")), F.lit(packs))).groupBy("cell", "pack").applyInArrow(pack, packed), "queries")
 
