@@ -39,10 +39,10 @@ from .words import _FACTORS, batches, mix, shingles, split_words
 
 SIZE = 5
 PERCENT = 80
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 MAX_BATCH_DOCS = 1 << 14
 #: shingles that one exchange group handles, about
-GROUP_GRAMS = 1 << 21
+GROUP_GRAMS = 1 << 19
 #: slots of the frequency sketch: at least one for every four shingles, within these bounds
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 26
 #: documents in one block of the product
