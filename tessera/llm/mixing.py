@@ -62,8 +62,9 @@ def targets(source_sizes: list[int], weights: list[int], cap: int = CAP) -> list
 class Mix:
     """The sized documents with their places in their source's stream, and the schedule over them."""
 
-    def __init__(self, docs: DataFrame, *, key: str = "doc_id", source: str = "source", size: str = "size", block: int = BLOCK_TOKENS, cap: int = CAP, cycle: tuple[int, ...] = CYCLE):
-        """docs: rows with ``key``, ``source`` and ``size``; further columns stay on ``placed``."""
+    def __init__(self, docs: DataFrame, *, key: str = "doc_id", source: str = "source", size: str = "size", block: int = BLOCK_TOKENS, cap: int = CAP, cycle: tuple[int, ...] = CYCLE, keep: tuple[str, ...] = ()):
+        """docs: rows with ``key``, ``source`` and ``size``; of further columns those in ``keep`` stay on ``placed``."""
+        docs = docs.select(key, source, size, *keep)
         self.spark: SparkSession = docs.sparkSession
         self.block = block
         rows = docs.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("size"), F.count("*").alias("n")).collect()
@@ -143,7 +144,7 @@ class Mix:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, with their own columns: as many whole copies of each as the mix takes, and the words of a last, partial one."""
     sized = sizes(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")).drop("text")
-    mixed = Mix(materialize(sized, "mixing")).taken()
+    mixed = Mix(materialize(sized, "mixing"), keep=("row",)).taken()
     whole, rest = F.expr("taken div size"), F.expr("taken % size")
     copies = F.sequence(F.lit(1), (whole + F.when(rest > 0, 1).otherwise(0)).cast("int"))
     made = mixed.filter("taken > 0").select("row", "size", F.explode(copies).alias("copy"), whole.alias("whole"), rest.alias("rest"))

@@ -104,13 +104,13 @@ def judge(urls: DataFrame, entries: DataFrame, url: str = "url") -> DataFrame:
     hits = probed.join(listed.select("key", "verdict", "is_rule"), "key")
     rank = F.struct(F.length("key"), F.when(F.col("verdict") == "allow", 1).otherwise(0))
     best = hits.groupBy("host", "path").agg(
-        F.max_by(F.when(F.col("is_rule"), F.struct(F.col("key").alias("rule"), "verdict")), F.when(F.col("is_rule"), rank)).alias("by_rule"),
-        F.max_by(F.when(~F.col("is_rule"), F.col("verdict")), F.when(~F.col("is_rule"), rank)).alias("by_list"),
+        F.max_by(F.when(F.col("is_rule"), F.struct(F.col("key").alias("rule"), "verdict")), F.when(F.col("is_rule"), rank)).alias("__by_rule"),
+        F.max_by(F.when(~F.col("is_rule"), F.col("verdict")), F.when(~F.col("is_rule"), rank)).alias("__by_list"),
     )
     out = parts.join(best, ["host", "path"], "left")
     return out.select(
-        *passed, "host", "path", F.col("by_rule.rule").alias("rule"),
-        F.coalesce("by_rule.verdict", "by_list", F.lit("allow")).alias("verdict"), F.col("by_list").isNotNull().alias("listed"),
+        *passed, "host", "path", F.col("__by_rule.rule").alias("rule"),
+        F.coalesce("__by_rule.verdict", "__by_list", F.lit("allow")).alias("verdict"), F.col("__by_list").isNotNull().alias("listed"),
     )
 
 
