@@ -39,7 +39,7 @@ from .words import _FACTORS, batches, mix, shingles, split_words
 
 SIZE = 5
 PERCENT = 80
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 MAX_BATCH_DOCS = 1 << 14
 #: shingles that one exchange group handles, about
 GROUP_GRAMS = 1 << 19

@@ -21,6 +21,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -160,13 +161,22 @@ class TokenIds:
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.json_path, self._exact = json_path, None
+        with open(json_path, encoding="utf-8") as whole:
+            self.special = [t["content"] for t in json.load(whole)["added_tokens"]]
+
+    @property
+    def exact(self):
+        """The tokenizer of the JSON file, loaded when a text first needs it."""
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self.json_path)
+        return self._exact
 
     def encode(self, text: str) -> np.ndarray:
         if any(s in text for s in self.special):

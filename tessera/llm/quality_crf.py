@@ -30,7 +30,7 @@ from .words import batches, mix, shingles, split_buffers, split_words, text_buff
 
 #: labelled documents of each class that training takes at most
 PER_CLASS = 2500
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 CLASSES = (SYMBOLS, UPPER, b"!", b"0123456789", b".,;:", bytes(range(0x80, 0x100)))
 N_FEATURES = 16
 

@@ -29,7 +29,7 @@ from .words import batches, shingles, split_words
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(0x41, 0x5B))
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 #: feature, votes good up to, votes bad from (in between: abstains)

@@ -8,6 +8,7 @@ segments, so memory follows the segment and not the text; only a single longer w
 
 from __future__ import annotations
 
+import ctypes
 from dataclasses import dataclass
 
 import numpy as np
@@ -165,9 +166,19 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out[doc[: len(out)] == doc[size - 1 :]]), counts
 
 
+def release() -> None:
+    """Give memory that is free in this worker back to the machine; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def batches(rows, budget: int, column: str):
     """Arrow batches cut so that the texts of each piece stay near ``budget`` bytes."""
     for batch in rows:
+        release()
         if not batch.num_rows:
             continue
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -175,3 +186,4 @@ def batches(rows, budget: int, column: str):
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             if b > a:
                 yield batch.slice(a, b - a)
+    release()
