@@ -43,6 +43,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: texts handed to Python at once, in bytes
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what crosses to Python at once by bytes, so that long texts don't swell an executor's native memory.
+
+    A session that has set a smaller bound itself keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key, None)
+    if held is None or int(held.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data directory; any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
