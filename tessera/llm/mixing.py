@@ -31,6 +31,8 @@ BLOCK_TOKENS = 256
 CAP = 3
 CYCLE = (1, 2, 3)
 GROUP_ROWS = 4096
+#: rows sent to all executors at most
+BROADCAST_ROWS = 1_000_000
 
 getcontext().prec = 60
 _PHI = (Decimal(5).sqrt() - 1) / 2
@@ -142,15 +144,29 @@ class Mix:
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix, with their own columns: as many whole copies of each as the mix takes, and the words of a last, partial one."""
-    sized = sizes(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")).drop("text")
-    mixed = Mix(materialize(sized, "mixing"), keep=("row",)).taken()
-    whole, rest = F.expr("taken div size"), F.expr("taken % size")
-    copies = F.sequence(F.lit(1), (whole + F.when(rest > 0, 1).otherwise(0)).cast("int"))
-    made = mixed.filter("taken > 0").select("row", "size", F.explode(copies).alias("copy"), whole.alias("whole"), rest.alias("rest"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.greatest(F.col("rest"), F.lit(1)).cast("int")), "")
-    text = F.when(F.col("copy") <= F.col("whole"), F.col("row.text")).otherwise(cut)
-    out = made.select(*[text.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    """The documents of the mix, with their own columns: as many whole copies of each as the mix takes, and the words of a last, partial one.
+
+    The mix is made of a narrow table; what each document gives joins its row by id and a hash of the text,
+    broadcast up to ``BROADCAST_ROWS`` rows and by shuffle beyond. Rows that are alike in both are told apart by
+    a number, which only they are dealt out for.
+    """
+    mark = F.xxhash64("text", "source")
+    narrow = sizes(docs.select("doc_id", "source", "text", mark.alias("__mark"))).drop("text")
+    mixed = Mix(materialize(narrow, "mixing"), keep=("__mark",)).taken()
+    number = lambda *order: F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy(*order))
+    shares = materialize(mixed.withColumn("__number", number("k", "at")).select("doc_id", "__mark", "__number", F.col("size").alias("__size"), F.col("taken").alias("__taken")), "shares")
+    again = shares.filter("__number = 2").select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    marked = docs.withColumn("__mark", mark).join(small(again), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left")
+    single = marked.filter("__m IS NULL").withColumn("__number", F.lit(1))
+    several = marked.filter("__m IS NOT NULL").withColumn("__number", number(F.xxhash64(*docs.columns)))
+    given = small(shares.filter("__taken > 0").withColumnsRenamed({"doc_id": "__doc", "__mark": "__held", "__number": "__place"}))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__held")) & (F.col("__number") == F.col("__place"))
+    rows = single.unionByName(several).join(given, same)
+    rows = rows.withColumns({"__whole": F.expr("__taken div __size"), "__rest": F.expr("__taken % __size")})
+    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("__whole") + F.when(F.col("__rest") > 0, 1).otherwise(0)).cast("int"))))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.greatest(F.col("__rest"), F.lit(1)).cast("int")), "")
+    out = rows.withColumn("text", F.when(F.col("__copy") <= F.col("__whole"), F.col("text")).otherwise(cut)).select(docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 

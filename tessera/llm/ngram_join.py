@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..runtime import checkpoint, materialize
+from ..runtime import bounded_batches, checkpoint, materialize
 from .words import _FACTORS, batches, mix, shingles, split_words
 
 SIZE = 5
@@ -346,6 +346,7 @@ def link_parts(sets: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     sets = materialize(document_sets(texts), "sets")
     classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import bounded_batches, materialize
 from .words import batches
 
 CAPACITY = 2048
@@ -237,6 +237,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: tuple[str | None, str | None] = (None, None)) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``."""
+    bounded_batches(docs.sparkSession)
     made = materialize(pieces(docs, key, text, capacity, tokenizer), "pieces")
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     placement = Placement(plan(counts, capacity))

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import bounded_batches
 from .quality_rules import SYMBOLS, UPPER, _repeated
 from .words import batches, mix, shingles, split_buffers, split_words, text_buffers
 
@@ -220,6 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def score(docs: DataFrame, field: Field, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``score`` and ``predicted``."""
+    bounded_batches(docs.sparkSession)
     passed = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     schema = T.StructType([docs.schema[c] for c in passed] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import bounded_batches
 from .words import batches, shingles, split_words
 
 SYMBOLS = b"#*$%&|<>"
@@ -139,6 +140,7 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, tolerance:
 
 def posteriors(docs: DataFrame, text: str = "text") -> dict[int, float]:
     """Pattern to posterior, from the patterns of all documents."""
+    bounded_batches(docs.sparkSession)
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(3 ** len(RULES), np.int64)
