@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import er
+from . import er, variants  # noqa: F401  (variants registers its queries with er)
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -463,9 +463,9 @@ def compared(spark, sf_dir):
     """Comparisons of parts that follow from the line items, and those of one brand as true matches."""
     n = table(spark, sf_dir, "part").count()
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("left"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % n).alias("right")).filter("left <> right").distinct()
-    brand = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    both = rows.join(brand.toDF("left", "lb"), "left").join(brand.toDF("right", "rb"), "right")
-    return rows, both.filter("lb = rb").select("left", "right", F.lit(1).alias("label"))
+    kind = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    both = rows.join(kind.toDF("left", "lb", "lt"), "left").join(kind.toDF("right", "rb", "rt"), "right")
+    return rows, both.filter("lb = rb").select("left", "right", F.lit(1).alias("label"), (F.col("lt") == F.col("rt")).alias("same_type"))
 
 
 @query("u7_downscale_clusters", f"""WITH {COMPARED}, m AS (SELECT l AS id FROM tru UNION SELECT r FROM tru), h AS (SELECT p_partkey AS id, p_brand FROM part WHERE p_partkey IN (SELECT id FROM m)),
@@ -476,12 +476,12 @@ def u7(spark, sf_dir):
     return downscale_clusters(clusters, comparisons, true).select(F.col("ref").alias("id"), "cluster_id")
 
 
-@query("s2_derived_clusters", f"""WITH RECURSIVE {COMPARED}, few AS (SELECT l, r FROM tru WHERE l % 10 = r % 10), b AS (SELECT l, r FROM few UNION SELECT r, l FROM few), w AS (SELECT p_partkey AS id, p_partkey AS seen FROM part UNION SELECT w.id, b.r FROM w JOIN b ON w.seen = b.l),
+@query("s2_derived_clusters", f"""WITH RECURSIVE {COMPARED}, few AS (SELECT l, r FROM tru WHERE (SELECT p_type FROM part WHERE p_partkey = l) = (SELECT p_type FROM part WHERE p_partkey = r)), b AS (SELECT l, r FROM few UNION SELECT r, l FROM few), w AS (SELECT p_partkey AS id, p_partkey AS seen FROM part UNION SELECT w.id, b.r FROM w JOIN b ON w.seen = b.l),
 k AS (SELECT id, min(seen) AS least FROM w GROUP BY id) SELECT id, dense_rank() OVER (ORDER BY least) AS cluster_id FROM k""")
 def s2(spark, sf_dir):
     _, true = compared(spark, sf_dir)
     refs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ref"))
-    return clusters_of_matches(refs, true.filter("left % 10 = right % 10")).select(F.col("ref").alias("id"), "cluster_id")
+    return clusters_of_matches(refs, true.filter("same_type")).select(F.col("ref").alias("id"), "cluster_id")
 
 
 @query("s3_mapping_columns", "SELECT s_suppkey AS left_id, s_nationkey AS right_id, 'suppliers' AS left_source FROM supplier")

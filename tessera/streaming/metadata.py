@@ -27,4 +27,4 @@ def upsert_stream(rows: DataFrame, path: str, checkpoint: str, key: str = "datas
 
 def windowed_counts(events: DataFrame, time: str = "ts", tag: str = "event_type", value: str = "value", late: str = "1 hour", window: str = "1 day") -> DataFrame:
     """W14's input as a stream: counts and means of tags over windows of event time, late rows within a watermark."""
-    return events.withWatermark(time, late).groupBy(F.window(time, window), tag).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("window.start").alias("start"), tag, "n", "mean")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), tag).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("window.start").alias("start"), tag, "n", "mean")
