@@ -11,12 +11,13 @@ import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import uuid5
 from .components import connected_components
+from .numbering import number_rows
 
 BRIDGE_SOURCE = "ambiguity-generator"
 RESERVED = ("source", "target", "target_cluster_id")
@@ -63,7 +64,7 @@ def number_clusters(members: DataFrame, key: str) -> DataFrame:
     The numbering runs over one row a cluster; members get theirs by a join.
     """
     least = members.groupBy(key).agg(F.min("ref").alias("__least"))
-    numbered = least.withColumn("cluster_id", F.row_number().over(Window.orderBy("__least")).cast("long")).drop("__least")
+    numbered = number_rows(least, ["__least"], "cluster_id").drop("__least")
     return members.join(numbered.withColumnRenamed(key, "__key"), F.col(key).eqNullSafe(F.col("__key"))).drop("__key")
 
 
@@ -81,7 +82,7 @@ def restrict_clusters(clusters: DataFrame, refs: DataFrame) -> DataFrame:
     """
     held = clusters.join(refs.select("ref"), "ref", "left_semi").select("ref", F.col("cluster_id").cast("long").alias("cluster_id"))
     top = clusters.agg(F.coalesce(F.max("cluster_id"), F.lit(0)).cast("long").alias("top"))
-    alone = refs.join(clusters.select("ref"), "ref", "left_anti").withColumn("turn", F.row_number().over(Window.orderBy("position")))
+    alone = number_rows(refs.join(clusters.select("ref"), "ref", "left_anti"), ["position"], "turn")
     return held.unionByName(alone.join(F.broadcast(top)).select("ref", (F.col("top") + F.col("turn")).alias("cluster_id")))
 
 
@@ -91,7 +92,7 @@ def downscale_clusters(clusters: DataFrame, comparisons: DataFrame, matches: Dat
     touched = true.select(F.explode(F.array("left", "right")).alias("ref")).distinct()
     held = clusters.join(touched, "ref", "left_semi")
     several = held.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("ref").alias("least")).filter("n > 1")
-    numbered = several.select("cluster_id", F.row_number().over(Window.orderBy("least")).cast("long").alias("new_id"))
+    numbered = number_rows(several.select("cluster_id", "least"), ["least"], "new_id").drop("least")
     return held.join(numbered, "cluster_id").select("ref", F.col("new_id").alias("cluster_id"))
 
 
@@ -111,8 +112,7 @@ def label_kind(df: DataFrame, label: str = "ref.label") -> str:
 def integer_labels(seeds: DataFrame, records: DataFrame, order: Sequence[str]) -> DataFrame:
     """F20. ``bridge_label``: the largest label plus 1, 2, ... in seed order."""
     top = records.agg(F.coalesce(F.max("ref.label"), F.lit(0)).cast("long").alias("__top"))
-    turn = F.row_number().over(Window.orderBy(*order))
-    return seeds.withColumn("__turn", turn).join(F.broadcast(top)).withColumn("bridge_label", F.col("__top") + F.col("__turn")).drop("__top", "__turn")
+    return number_rows(seeds, order, "__turn").join(F.broadcast(top)).withColumn("bridge_label", F.col("__top") + F.col("__turn")).drop("__top", "__turn")
 
 
 def text_labels(seeds: DataFrame, dataset: str, key: str = "label_key", namespace: uuid.UUID = uuid.NAMESPACE_URL) -> DataFrame:
