@@ -49,13 +49,13 @@ def auc(df: DataFrame, value: str = "value", positive: str = "positive", by: Seq
     groups = list(by)
     counted = df.filter(F.col(value).isNotNull() & F.col(positive).isNotNull()).groupBy(*groups, F.col(value).alias("__v")).agg(F.count_if(F.col(positive)).alias("__p"), F.count_if(~F.col(positive)).alias("__n"))
     marks = F.percentile_approx("__v", [k / RANGES for k in range(1, RANGES)], 1000).alias("__marks")
-    bounds = F.broadcast(counted.groupBy(*groups).agg(marks) if groups else counted.agg(marks))
-    ranged = (counted.join(bounds, groups) if groups else counted.join(bounds)).withColumn("__range", F.size(F.filter("__marks", lambda m: m < F.col("__v")))).drop("__marks")
+    # without groups the marks and ranges are a few rows; with groups they are as many as those, and joined as Spark sees fit
+    ranged = (counted.join(counted.groupBy(*groups).agg(marks), groups) if groups else counted.join(F.broadcast(counted.agg(marks)))).withColumn("__range", F.size(F.filter("__marks", lambda m: m < F.col("__v")))).drop("__marks")
     before = lambda *keys: Window.partitionBy(*groups, *keys).rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy(*groups, "__range").agg(F.sum("__n").alias("__held"))
     base = sums.withColumn("__base", F.coalesce(F.sum("__held").over(before().orderBy("__range")), F.lit(0))).drop("__held")
     local = F.coalesce(F.sum("__n").over(before("__range").orderBy("__v")), F.lit(0))
-    scored = ranged.withColumn("__local", local).join(F.broadcast(base), [*groups, "__range"]).withColumn("__w", F.col("__p") * (F.col("__base") + F.col("__local") + F.col("__n") / 2))
+    scored = ranged.withColumn("__local", local).join(base if groups else F.broadcast(base), [*groups, "__range"]).withColumn("__w", F.col("__p") * (F.col("__base") + F.col("__local") + F.col("__n") / 2))
     made = ratio(F.sum("__w"), F.sum("__p").cast("double") * F.sum("__n")).alias("auc")
     return scored.groupBy(*groups).agg(made) if groups else scored.agg(made)
 
