@@ -80,6 +80,7 @@ class Mix:
             need = quota // total * blocks + -(-(quota % total) // block) if total else 0
             table.append((k, r["source"], total, float(t), quota, blocks, need))
         self.sources = self.spark.createDataFrame(table, "k int, source string, source_size long, target double, quota long, blocks long, need long")
+        self._small = F.broadcast if len(table) <= BROADCAST_ROWS else lambda df: df
         self._table = table
         parts = max(1, sum(r["n"] for r in rows) // GROUP_ROWS)
         self.placed = self._place(docs, key, source, size, parts)
@@ -88,7 +89,7 @@ class Mix:
         """Each document with ``source_size``, ``target`` and ``at``, the tokens of its source before it in shuffled order."""
         order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
         part = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * F.lit(parts) / F.lit(1 << 32)).cast("long")
-        keyed = docs.alias("d").join(F.broadcast(self.sources.alias("s")), F.col(f"d.{source}").eqNullSafe(F.col("s.source"))).select("d.*", "k", "source_size", "target", "quota", "blocks", order.alias("order"), part.alias("part"))
+        keyed = docs.alias("d").join(self._small(self.sources.alias("s")), F.col(f"d.{source}").eqNullSafe(F.col("s.source"))).select("d.*", "k", "source_size", "target", "quota", "blocks", order.alias("order"), part.alias("part"))
         within = Window.partitionBy("k", "part").orderBy("order", key, size).rowsBetween(Window.unboundedPreceding, -1)
         local = keyed.withColumn("local", F.coalesce(F.sum(size).over(within), F.lit(0)))
         sums = keyed.groupBy("k", "part").agg(F.sum(size).alias("held"))
@@ -123,14 +124,14 @@ class Mix:
             for rank in range(got.get(k, 0), need):
                 tail.append((slot, k, rank))
                 slot += 1
-        used = ranked.join(F.broadcast(self.sources.select("k", "need")), "k").filter("rank < need").select("slot", "k", "rank")
+        used = ranked.join(self._small(self.sources.select("k", "need")), "k").filter("rank < need").select("slot", "k", "rank")
         return used.unionByName(self.spark.createDataFrame(tail, "slot long, k int, rank long"))
 
     def pieces(self, key: str = "doc_id", size: str = "size") -> DataFrame:
         """The mix: rows (slot, k, at, key, start, length), one for each run of a document's words in a slot."""
         b = self.block
         spans = self.placed.filter(F.col(size) > 0).select(key, "k", "at", F.col(size).alias("n"), "source_size", "quota", "blocks", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col(size) - 1) / b))).alias("number"))
-        slots = self.schedule().join(F.broadcast(self.sources.filter("blocks > 0").select("k", F.col("blocks").alias("per_pass"))), "k").select("slot", "k", F.expr("rank % per_pass").alias("number"), F.expr("rank div per_pass").alias("turn"))
+        slots = self.schedule().join(self._small(self.sources.filter("blocks > 0").select("k", F.col("blocks").alias("per_pass"))), "k").select("slot", "k", F.expr("rank % per_pass").alias("number"), F.expr("rank div per_pass").alias("turn"))
         joined = spans.join(slots, ["k", "number"])
         first = F.greatest(F.col("at"), F.col("number") * b)
         end = F.least(F.col("at") + F.col("n"), (F.col("number") + 1) * b, F.col("quota") - F.col("turn") * F.col("source_size"))
