@@ -111,10 +111,10 @@ def m1(spark, sf_dir):
     return spark.createDataFrame([(fitted.boundary, fitted.boundary_type, fitted.share)], "boundary double, boundary_type string, share double")
 
 
-@query("m6_enough_groups", "SELECT toxic AS kind, count(DISTINCT quality) AS n FROM labels GROUP BY toxic")
+@query("m6_enough_groups", "WITH g AS (SELECT s_acctbal > 5000 AS p, count(DISTINCT s_nationkey) AS n FROM supplier GROUP BY 1) SELECT count(*) = 2 AND min(n) >= 5 AS enough FROM g")
 def m6(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels")
-    return rows.groupBy(F.col("toxic").alias("kind")).agg(F.count_distinct("quality").alias("n"))
+    rows = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") > 5000).alias("positive"), F.col("s_nationkey").alias("group"))
+    return spark.range(1).select(F.lit(N.enough_groups(rows, 5)).alias("enough"))
 
 
 @query("m7_surface_baseline")
