@@ -35,7 +35,7 @@ from ..runtime import materialize
 from .words import batches, mix, split_words
 
 MAX_DEPTH = 3
-P_CONTEXT = 2e-5
+P_CONTEXT = 5e-6
 P_NEXT = 1e-6
 LEAST = 2
 DISCOUNT = 0.5
@@ -128,6 +128,28 @@ def _first(counts: np.ndarray) -> np.ndarray:
     return flags
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, all lowest bytes first: sorted or small numbers compress well so."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def whole(data, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def pack_tokens(tokens: np.ndarray, n_words: int) -> tuple[np.ndarray, bytes]:
+    """(words by falling frequency, bytes): token numbers as places in that order, byte by byte from the lowest, so that they compress."""
+    by_frequency = np.argsort(-np.bincount(tokens, minlength=n_words), kind="stable").astype(np.uint32)
+    place = np.empty(n_words, np.uint32)
+    place[by_frequency] = np.arange(n_words, dtype=np.uint32)
+    return by_frequency, planes(place[tokens])
+
+
+def unpack_tokens(by_frequency: np.ndarray, data) -> np.ndarray:
+    return by_frequency[whole(data, np.uint32)].astype(np.int64)
+
+
 # ---- slices --------------------------------------------------------------------------------------
 
 
@@ -144,17 +166,24 @@ def slices(docs: DataFrame) -> DataFrame:
             words, tokens = np.unique(hashes, return_inverse=True)
             held = batch.column("held").to_numpy(zero_copy_only=False)
             trained = np.bincount(tokens[~np.repeat(held, counts)], minlength=len(words))
-            one = lambda x: pa.array([x.tobytes()], pa.binary())
+            by_frequency, packed = pack_tokens(tokens, len(words))
+            one = lambda x: _packed([x])
             cut = pa.array([0, batch.num_rows], pa.int32())
             yield pa.record_batch(
                 {
                     "slice": pa.array([base + k], pa.int64()), "ids": pa.ListArray.from_arrays(cut, batch.column("id")), "held": pa.ListArray.from_arrays(cut, batch.column("held")),
-                    "lengths": one(counts.astype(np.int64)), "words": one(words), "trained": one(trained.astype(np.uint32)), "tokens": one(tokens.astype(np.uint32)),
+                    "lengths": one(counts.astype(np.int64)), "words": one(words), "trained": one(trained.astype(np.uint32)), "order": one(by_frequency), "tokens": pa.array([packed], pa.binary()),
                     "n_train": pa.array([int(trained.sum())], pa.int64()), "n_words": pa.array([len(words)], pa.int64()),
                 }
             )
 
-    return docs.mapInArrow(make, f"slice long, ids array<{kind}>, held array<boolean>, lengths binary, words binary, trained binary, tokens binary, n_train long, n_words long")
+    return docs.mapInArrow(make, f"slice long, ids array<{kind}>, held array<boolean>, lengths binary, words binary, trained binary, order binary, tokens binary, n_train long, n_words long")
+
+
+def opened(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, token numbers and documents' lengths of a slice."""
+    words, order, lengths = (whole(batch.column(c)[k].as_buffer(), t) for c, t in (("words", _U), ("order", np.uint32), ("lengths", np.int64)))
+    return words, unpack_tokens(order, batch.column("tokens")[k].as_buffer()), lengths
 
 
 def _bits(n: float) -> int:
@@ -168,11 +197,11 @@ def _cuts(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _numbers(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return [whole(x.as_buffer(), kind) for x in column]
 
 
 def _packed(values: list[np.ndarray]) -> pa.Array:
-    return pa.array([v.tobytes() for v in values], pa.binary())
+    return pa.array([planes(v) for v in values], pa.binary())
 
 
 def word_counts(held: DataFrame, n_words: int, least: int) -> DataFrame:
@@ -214,16 +243,16 @@ def next_counts(held: DataFrame, tree: Tree, depth: int, n_tokens: int, least: i
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for k in range(batch.num_rows):
-                words, tokens, lengths = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("words", _U), ("tokens", np.uint32), ("lengths", np.int64)))
+                words, tokens, lengths = opened(batch, k)
                 first = _first(lengths)
                 state = shared.value.states(tokens, words, first)[depth]
                 train = ~np.repeat(np.array(batch.column("held")[k].as_py(), bool), lengths)
                 at = np.flatnonzero(train[1:] & ~first[1:] & (state[:-1] >= 0)) + 1
                 keys, n = np.unique(state[at - 1] * len(words) + tokens[at], return_counts=True)
                 context, word = keys // len(words), words[keys % len(words)]
-                hashed = pair_keys(context, word)
-                order = np.argsort(hashed, kind="stable")
-                cuts = _cuts(hashed[order], bits)
+                group = pair_keys(context, word) >> _U(64 - bits) if bits else np.zeros(len(word), _U)
+                order = np.argsort(group, kind="stable")  # contexts stay in order within a group, which compresses
+                cuts = np.searchsorted(group[order], np.arange((1 << bits) + 1, dtype=_U))
                 g = [x for x in range(1 << bits) if cuts[x + 1] > cuts[x]]
                 pick = [order[cuts[x] : cuts[x + 1]] for x in g]
                 yield pa.record_batch({"g": pa.array(g, pa.int32()), "context": _packed([context[p].astype(np.int32) for p in pick]), "word": _packed([word[p] for p in pick]), "n": _packed([n[p].astype(np.uint32) for p in pick])})
@@ -237,9 +266,9 @@ def next_counts(held: DataFrame, tree: Tree, depth: int, n_tokens: int, least: i
         listed = counts >= least
         return pa.table({"context": _packed([context[starts][listed]]), "word": _packed([word[starts][listed]]), "n": _packed([counts[listed]])})
 
-    sent = held.select("words", "tokens", "lengths", "held").mapInArrow(send, "g int, context binary, word binary, n binary")
+    sent = held.select("words", "order", "tokens", "lengths", "held").mapInArrow(send, "g int, context binary, word binary, n binary")
     rows = sent.groupBy("g").applyInArrow(total, "context binary, word binary, n binary").collect()
-    out = [np.concatenate([np.zeros(0, t), *[np.frombuffer(r[c], t) for r in rows]]) for c, t in (("context", np.int32), ("word", _U), ("n", np.int64))]
+    out = [np.concatenate([np.zeros(0, t), *[whole(r[c], t) for r in rows]]) for c, t in (("context", np.int32), ("word", _U), ("n", np.int64))]
     order = np.lexsort((out[1], out[0]))
     return out[0][order].astype(np.int64), out[1][order], out[2][order]
 
@@ -279,8 +308,8 @@ def learn_level(tree: Tree, depth: int, context: np.ndarray, word: np.ndarray, n
 def learn(held: DataFrame, counted: DataFrame, n: int, n_tokens: int) -> Tree:
     rows = counted.filter("vocabulary > 0 OR length(common) > 0").select("vocabulary", "common", "common_n").collect()
     tree = Tree(n, sum(r["vocabulary"] for r in rows))
-    words = np.concatenate([np.zeros(0, _U), *[np.frombuffer(r["common"], _U) for r in rows]])
-    counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["common_n"], np.int64) for r in rows]])
+    words = np.concatenate([np.zeros(0, _U), *[whole(r["common"], _U) for r in rows]])
+    counts = np.concatenate([np.zeros(0, np.int64), *[whole(r["common_n"], np.int64) for r in rows]])
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     context_least, next_least = max(LEAST, P_CONTEXT * n), max(LEAST, P_NEXT * n)
@@ -321,9 +350,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         below = tree.n + BASE_ADD * (tree.vocabulary + 1)
         for batch in rows:
             for k in range(batch.num_rows):
-                words, tokens, lengths = (np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("words", _U), ("tokens", np.uint32), ("lengths", np.int64)))
+                words, tokens, lengths = opened(batch, k)
                 parts = sorted(batch.column("counts")[k].as_py(), key=lambda x: x["g"])
-                counts = np.concatenate([np.frombuffer(x["counts"], np.int64) for x in parts])
+                counts = np.concatenate([whole(x["counts"], np.int64) for x in parts])
                 starts = np.cumsum(lengths) - lengths
                 by_token = np.log10(tree.probabilities(tokens, words, counts, _first(lengths)))
                 ids, flags = batch.column("ids")[k].values, batch.column("held")[k].values
@@ -331,5 +360,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays([ids, flags, pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), tree.n)), pa.array(sums[1]), pa.array(sums[2])], names=[c.split()[0] for c in columns.split(", ")])
 
     returned = counted.groupBy("slice").agg(F.collect_list(F.struct("g", "counts")).alias("counts"))
-    joined = held.select("slice", "ids", "held", "lengths", "words", "tokens").join(returned, "slice").drop("slice")
+    joined = held.select("slice", "ids", "held", "lengths", "words", "order", "tokens").join(returned, "slice").drop("slice")
     return joined.mapInArrow(apply, columns)

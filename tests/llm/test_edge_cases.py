@@ -188,8 +188,8 @@ def test_language_model_is_a_distribution(spark):
     tree = suffix_tree_lm.learn(held, suffix_tree_lm.word_counts(held, n_words, 2), n, n_tokens)
     assert any(level.kept.any() for level in tree.levels)
     counted = suffix_tree_lm.word_counts(held, n_words, 1).collect()
-    vocabulary = np.concatenate([np.frombuffer(r["common"], np.uint64) for r in counted])
-    counts = np.concatenate([np.frombuffer(r["common_n"], np.int64) for r in counted])
+    vocabulary = np.concatenate([suffix_tree_lm.whole(r["common"], np.uint64) for r in counted])
+    counts = np.concatenate([suffix_tree_lm.whole(r["common_n"], np.int64) for r in counted])
     stranger = np.append(vocabulary, np.uint64(12345))
     for context in range(0, len(vocabulary), max(1, len(vocabulary) // 20)):
         total = 0.0
