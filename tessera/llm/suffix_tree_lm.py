@@ -1,18 +1,19 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-A state of the tree is a context of one to ``MAX_DEPTH`` words that makes up at least ``P_CONTEXT`` of
-the training tokens, and is kept only if a divergence test says that its next-symbol distribution
+A state of the tree is a context of one to ``MAX_DEPTH`` words that occurs at least ``LEAST`` times in the
+training texts, and is kept only if a divergence test says that its next-symbol distribution
 differs enough from that of its longest proper suffix: the gain in log-likelihood must pay ``COST``
-nats for each symbol it lists. Distributions are smoothed by absolute discounts whose mass goes to the
-suffix's distribution, down to the root: the discounted frequencies of all training words, and one
-symbol for any unknown word (the same events as the unigram base). A text is scored with the longest
-kept suffix at each token.
+nats for each symbol it lists. Listed are next symbols seen at least ``LEAST`` times after it, so what is
+gathered grows with the texts and the rule is the same at every size. Distributions are smoothed by
+absolute discounts whose mass goes to the suffix's distribution, down to the root: the discounted
+frequencies of all training words, and one symbol for any unknown word (the same events as the unigram
+base). A text is scored with the longest kept suffix at each token.
 
 Distribution: texts become slices of token numbers, written once. Each slice sends its distinct words
-with counts to groups by hash, and gets the corpus counts of just those words back, so no task and no
-broadcast holds the vocabulary. Pairs of context and next symbol are counted over all training
-texts in the same way; pairs that make up at least ``P_NEXT`` are listed - at most ``1 / P_NEXT`` a depth,
-whatever the input - and these, with at most ``1 / P_CONTEXT`` contexts a depth, are broadcast.
+with counts to groups by hash, and gets the corpus counts of just those words back. Then, depth by depth,
+it sends its contexts with their next symbols, local counts and probabilities after the suffix; a group has
+all next symbols of its contexts, runs the divergence test and returns counts and sums for just what each
+slice sent. No task, broadcast or driver holds the vocabulary or a level of the tree.
 
 Defined results: a null or empty text, or one of white space, is the end symbol alone; repeated rows
 are scored each and count each in training; a null id counts as the empty text for the split; with no
@@ -23,7 +24,7 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import bounded_batches, materialize
 from .words import batches, mix, split_words
 
 MAX_DEPTH = 3
-P_CONTEXT = 5e-6
-P_NEXT = 1e-6
 LEAST = 2
 DISCOUNT = 0.5
 COST = 3.0
@@ -64,21 +63,27 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def root(counts: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
+    """Root probabilities of words by their training counts; 0 is unknown."""
+    if not n:
+        return np.ones(len(counts))
+    return np.where(counts > 0, (counts - DISCOUNT) / n, DISCOUNT * vocabulary / n)
+
+
 @dataclass
 class Level:
     """Contexts of one depth: sorted keys, occurrences; the next symbols listed for them; and what the test kept."""
 
     keys: np.ndarray
     totals: np.ndarray
-    suffix: np.ndarray
-    pair: np.ndarray = field(default_factory=lambda: np.zeros(0, _U))
-    share: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    rest: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    kept: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+    rest: np.ndarray
+    kept: np.ndarray
+    pair: np.ndarray
+    share: np.ndarray
 
 
 class Tree:
-    """The levels so far, and the paths of a token stream through them."""
+    """All levels in one place, and the paths of a token stream through them; for corpora whose tree is small."""
 
     def __init__(self, n: int, vocabulary: int):
         self.n, self.vocabulary = n, vocabulary
@@ -86,9 +91,7 @@ class Tree:
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         """Root probabilities of words by their training counts; 0 is unknown."""
-        if not self.n:
-            return np.ones(len(counts))
-        return np.where(counts > 0, (counts - DISCOUNT) / self.n, DISCOUNT * self.vocabulary / self.n)
+        return root(counts, self.n, self.vocabulary)
 
     def states(self, tokens: np.ndarray, words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
         """For each depth, the context that ends at each token (-1: none). first: flags of documents' first tokens."""
@@ -103,7 +106,7 @@ class Tree:
             before[1:] = out[-1][:-1]
             before[first] = -1
             at = np.flatnonzero((before >= 0) & (out[0] >= 0))
-            state[at] = find(level.keys, pair_keys(before[at], words[tokens[at]]))
+            state[at] = find(level.keys, pair_keys(self.levels[depth - 1].keys[before[at]], words[tokens[at]]))
             out.append(state)
         return out
 
@@ -116,7 +119,7 @@ class Tree:
             before[first] = -1
             at = np.flatnonzero(before >= 0)
             at = at[level.kept[before[at]]]
-            place = find(level.pair, pair_keys(before[at], words[tokens[at]]))
+            place = find(level.pair, pair_keys(level.keys[before[at]], words[tokens[at]]))
             own = np.where(place >= 0, level.share[np.maximum(place, 0)], 0.0) if len(level.pair) else 0.0
             p[at] = own + level.rest[before[at]] * p[at]
         return p
@@ -235,130 +238,200 @@ def word_counts(held: DataFrame, n_words: int, least: int) -> DataFrame:
     return sent.groupBy("g").applyInArrow(total, "slice long, g int, counts binary, vocabulary long, common binary, common_n binary")
 
 
-def next_counts(held: DataFrame, tree: Tree, depth: int, n_tokens: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, count) of the next symbols of the contexts of a depth, over all training texts, from ``least`` up."""
-    bits = _bits(n_tokens / 2)
-    shared = held.sparkSession.sparkContext.broadcast(tree)
+# ---- learning ------------------------------------------------------------------------------------
+
+
+def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct codes, a place of each, number of each place's code); codes from 0 up. One plain sort, where places fit below the codes."""
+    bits = len(codes).bit_length()
+    if not len(codes) or int(codes.max()).bit_length() + bits > 63:
+        return np.unique(codes, return_index=True, return_inverse=True)
+    both = codes << bits | np.arange(len(codes))
+    both.sort()
+    place = both & ((1 << bits) - 1)
+    both >>= bits
+    new = np.concatenate([[True], both[1:] != both[:-1]])
+    number = np.empty(len(codes), np.int64)
+    number[place] = np.cumsum(new) - 1
+    return both[new], place[new], number
+
+
+def rest_of(listed: np.ndarray, symbols: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Mass of contexts that goes to their suffix: listed is the sum of the counts of their listed symbols."""
+    return np.maximum(1 - (listed - DISCOUNT * symbols) / np.maximum(totals, 1), 1e-12)
+
+
+class Paths:
+    """A slice's tokens on their way down the tree: at each depth the contexts that end before tokens, and probabilities so far."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, counts: np.ndarray, n: int, vocabulary: int):
+        self.words, self.tokens, self.first = words, tokens, _first(lengths)
+        self.p = root(counts, n, vocabulary)[tokens]
+        self.may_list = (counts >= LEAST)[tokens]  # a symbol can only be listed where it was after the suffix
+        self.keys, self.totals = words, counts
+        self.state = np.where(self.may_list & (words != END)[tokens], tokens, -1)
+
+    def meet(self) -> None:
+        """Contexts before tokens by rising key, and their next symbols."""
+        before = np.concatenate([[-1], self.state[:-1]])
+        self.after = np.flatnonzero((before >= 0) & ~self.first)
+        seen = np.zeros(len(self.keys), bool)
+        seen[before[self.after]] = True
+        used = np.flatnonzero(seen)
+        used = used[np.argsort(self.keys[used], kind="stable")]
+        rank = np.zeros(len(self.keys), np.int64)
+        rank[used] = np.arange(len(used))
+        self.context_keys, self.context_totals = self.keys[used], self.totals[used]
+        self.context = rank[before[self.after]]
+        self.open = np.flatnonzero(self.may_list[self.after])
+        at = self.after[self.open]
+        codes, self.example, self.pair = distinct(self.context[self.open] * len(self.words) + self.tokens[at])
+        self.pair_context, self.pair_word = codes // len(self.words), codes % len(self.words)
+
+    def take(self, n: np.ndarray, listed: np.ndarray, symbols: np.ndarray) -> None:
+        """Counts of the pairs (0: not listed), and sums of the contexts (0 symbols: not kept); then one depth down."""
+        kept, rest = symbols > 0, rest_of(listed, symbols, self.context_totals)
+        own = np.zeros(len(self.after))
+        share = np.where(n > 0, (n - DISCOUNT) / np.maximum(self.context_totals[self.pair_context], 1), 0.0)
+        own[self.open] = share[self.pair]
+        down = np.flatnonzero(kept[self.context])
+        at = self.after[down]
+        self.p[at] = own[down] + rest[self.context[down]] * self.p[at]
+        found = self.open[(n > 0)[self.pair]]
+        self.may_list = np.zeros(len(self.tokens), bool)
+        self.may_list[self.after[found]] = True
+        self.state = np.full(len(self.tokens), -1, np.int64)
+        self.state[self.after[self.open]] = np.where(((n > 0) & (self.words[self.pair_word] != END))[self.pair], self.pair, -1)
+        self.keys, self.totals = pair_keys(self.context_keys[self.pair_context], self.words[self.pair_word]), n
+
+
+_BACK = ("n", "listed", "symbols")
+
+
+def paths_of(batch: pa.RecordBatch, k: int, n: int, vocabulary: int, depth: int) -> tuple[Paths, np.ndarray, np.ndarray]:
+    """A slice's paths down to a depth with what its groups returned, its words' corpus counts and its lengths."""
+    words, tokens, lengths = opened(batch, k)
+    back = lambda name: sorted(batch.column(name)[k].as_py() or [], key=lambda x: x["g"])
+    joined = lambda parts, c: np.concatenate([np.zeros(0, np.int64), *[whole(x[c], np.int64) for x in parts]])
+    counts = joined(back("words_back"), "counts")
+    paths = Paths(words, tokens, lengths, counts, n, vocabulary)
+    for d in range(depth):
+        parts = back(f"back{d}")
+        paths.meet()
+        paths.take(*[joined(parts, c) for c in _BACK])
+    return paths, counts, lengths
+
+
+def level_counts(sent_back: DataFrame, depth: int, n: int, vocabulary: int, n_tokens: float, model: bool = False) -> DataFrame:
+    """Rows (slice, g, n, listed, symbols): what the contexts of a depth and their next symbols have over all training
+    texts, for those each slice sent, group by group. model: also all contexts and pairs of a group, in its first row."""
+    bits = _bits(n_tokens * 2)
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for k in range(batch.num_rows):
-                words, tokens, lengths = opened(batch, k)
-                first = _first(lengths)
-                state = shared.value.states(tokens, words, first)[depth]
+                paths, _, lengths = paths_of(batch, k, n, vocabulary, depth)
+                paths.meet()
                 train = ~np.repeat(np.array(batch.column("held")[k].as_py(), bool), lengths)
-                at = np.flatnonzero(train[1:] & ~first[1:] & (state[:-1] >= 0)) + 1
-                keys, n = np.unique(state[at - 1] * len(words) + tokens[at], return_counts=True)
-                context, word = keys // len(words), words[keys % len(words)]
-                group = pair_keys(context, word) >> _U(64 - bits) if bits else np.zeros(len(word), _U)
-                order = np.argsort(group, kind="stable")  # contexts stay in order within a group, which compresses
-                cuts = np.searchsorted(group[order], np.arange((1 << bits) + 1, dtype=_U))
+                at = paths.after[paths.open]
+                times = np.bincount(paths.pair, weights=train[at], minlength=len(paths.pair_word)).astype(np.uint32)
+                below, word = paths.p[at[paths.example]].astype(np.float32), paths.words[paths.pair_word]
+                cuts = _cuts(paths.context_keys, bits)
+                runs = np.bincount(paths.pair_context, minlength=len(paths.context_keys)).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(runs)])
                 g = [x for x in range(1 << bits) if cuts[x + 1] > cuts[x]]
-                pick = [order[cuts[x] : cuts[x + 1]] for x in g]
-                yield pa.record_batch({"g": pa.array(g, pa.int32()), "context": _packed([context[p].astype(np.int32) for p in pick]), "word": _packed([word[p] for p in pick]), "n": _packed([n[p].astype(np.uint32) for p in pick])})
+                contexts = lambda v: _packed([v[cuts[x] : cuts[x + 1]] for x in g])  # noqa: E731, B023
+                pairs = lambda v: _packed([v[ends[cuts[x]] : ends[cuts[x + 1]]] for x in g])  # noqa: E731, B023
+                yield pa.record_batch(
+                    {
+                        "g": pa.array(g, pa.int32()), "slice": pa.array([batch.column("slice")[k].as_py()] * len(g), pa.int64()), "context": contexts(paths.context_keys), "total": contexts(paths.context_totals),
+                        "run": contexts(runs), "word": pairs(word), "n": pairs(times), "below": pairs(below),
+                    }
+                )
 
     def total(table: pa.Table) -> pa.Table:
-        context, word, n = (np.concatenate(_numbers(table.column(c), t)) for c, t in (("context", np.int32), ("word", _U), ("n", np.uint32)))
-        order = np.lexsort((word, context))
-        context, word, n = context[order], word[order], n[order].astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], (context[1:] != context[:-1]) | (word[1:] != word[:-1])]))
-        counts = np.add.reduceat(n, starts)
-        listed = counts >= least
-        return pa.table({"context": _packed([context[starts][listed]]), "word": _packed([word[starts][listed]]), "n": _packed([counts[listed]])})
-
-    sent = held.select("words", "order", "tokens", "lengths", "held").mapInArrow(send, "g int, context binary, word binary, n binary")
-    rows = sent.groupBy("g").applyInArrow(total, "context binary, word binary, n binary").collect()
-    out = [np.concatenate([np.zeros(0, t), *[whole(r[c], t) for r in rows]]) for c, t in (("context", np.int32), ("word", _U), ("n", np.int64))]
-    order = np.lexsort((out[1], out[0]))
-    return out[0][order].astype(np.int64), out[1][order], out[2][order]
-
-
-# ---- learning ------------------------------------------------------------------------------------
-
-
-def _listed_probability(tree: Tree, depth: int, context: np.ndarray, word: np.ndarray, root: np.ndarray) -> np.ndarray:
-    """Probability of words after contexts of a depth (-1: the root), as the tree has it so far."""
-    if depth < 0:
-        return root
-    level = tree.levels[depth]
-    below = _listed_probability(tree, depth - 1, level.suffix[context], word, root)
-    place = find(level.pair, pair_keys(context, word))
-    own = np.where(place >= 0, level.share[np.maximum(place, 0)], 0.0) if len(level.pair) else np.zeros(len(word))
-    return np.where(level.kept[context], own + level.rest[context] * below, below)
-
-
-def learn_level(tree: Tree, depth: int, context: np.ndarray, word: np.ndarray, n: np.ndarray, root: np.ndarray) -> None:
-    """Fill in a level's distributions and run the divergence test."""
-    level = tree.levels[depth]
-    size = len(level.keys)
-    share = (n - DISCOUNT) / level.totals[context]
-    level.rest = np.maximum(1 - np.bincount(context, weights=share, minlength=size), 1e-12)
-    suffix = level.suffix[context] if depth else context
-    below = _listed_probability(tree, depth - 1, suffix, word, root)
-    gain = np.bincount(context, weights=n * np.log((share + level.rest[context] * below) / below), minlength=size)
-    unlisted = level.totals - np.bincount(context, weights=n, minlength=size)
-    symbols = np.bincount(context, minlength=size)
-    level.kept = (symbols > 0) & (gain + np.maximum(unlisted, 0) * np.log(level.rest) >= COST * symbols)
-    keys = pair_keys(context, word)
-    listed = level.kept[context]
-    order = np.argsort(keys[listed], kind="stable")
-    level.pair, level.share = keys[listed][order], share[listed][order]
-
-
-def learn(held: DataFrame, counted: DataFrame, n: int, n_tokens: int) -> Tree:
-    rows = counted.filter("vocabulary > 0 OR length(common) > 0").select("vocabulary", "common", "common_n").collect()
-    tree = Tree(n, sum(r["vocabulary"] for r in rows))
-    words = np.concatenate([np.zeros(0, _U), *[whole(r["common"], _U) for r in rows]])
-    counts = np.concatenate([np.zeros(0, np.int64), *[whole(r["common_n"], np.int64) for r in rows]])
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    context_least, next_least = max(LEAST, P_CONTEXT * n), max(LEAST, P_NEXT * n)
-    chosen = (counts >= context_least) & (words != END)
-    tree.levels.append(Level(words[chosen], counts[chosen], np.full(int(chosen.sum()), -1)))
+        runs, words = (_numbers(table.column(c), t) for c, t in (("run", np.int64), ("word", _U)))
+        run, word = np.concatenate(runs), np.concatenate(words)
+        keys, place = np.unique(np.concatenate(_numbers(table.column("context"), _U)), return_inverse=True)
+        totals = np.zeros(len(keys), np.int64)
+        totals[place] = np.concatenate(_numbers(table.column("total"), np.int64))
+        context = np.repeat(place, run)
+        pair = pair_keys(keys[context], word)
+        order = np.argsort(pair)
+        pair = pair[order]
+        new = np.concatenate([np.ones(min(len(pair), 1), bool), pair[1:] != pair[:-1]])
+        which = np.empty(len(pair), np.int64)
+        which[order] = np.cumsum(new) - 1
+        pair, example = pair[new], order[new]
+        counts = np.bincount(which, weights=np.concatenate(_numbers(table.column("n"), np.uint32)), minlength=len(pair)).astype(np.int64)
+        below = np.concatenate(_numbers(table.column("below"), np.float32))[example].astype(float)
+        owner = context[example]
+        counts[counts < LEAST] = 0
+        at = np.flatnonzero(counts)
+        symbols = np.bincount(owner[at], minlength=len(keys))
+        listed = np.bincount(owner[at], weights=counts[at], minlength=len(keys)).astype(np.int64)
+        rest = rest_of(listed, symbols, totals)
+        gain = np.bincount(owner[at], weights=counts[at] * np.log(((counts[at] - DISCOUNT) / totals[owner[at]] + rest[owner[at]] * below[at]) / below[at]), minlength=len(keys))
+        kept = (symbols > 0) & (gain + np.maximum(totals - listed, 0) * np.log(rest) >= COST * symbols)
+        symbols, listed = np.where(kept, symbols, 0), np.where(kept, listed, 0)
+        run_ends, pair_ends = np.cumsum([len(x) for x in runs]), np.cumsum([len(x) for x in words])
+        by_run = lambda v: _packed([v[place[e - len(x) : e]] for e, x in zip(run_ends, runs, strict=True)])
+        out = {"slice": table.column("slice"), "g": table.column("g"), "n": _packed([counts[which[e - len(x) : e]] for e, x in zip(pair_ends, words, strict=True)]), "listed": by_run(listed), "symbols": by_run(symbols)}
+        if model:
+            some = at[kept[owner[at]]]
+            first = lambda v: _packed([v] + [v[:0]] * (len(runs) - 1))
+            out |= {"keys": first(keys), "totals": first(totals), "rest": first(rest), "kept": first(kept.astype(np.uint8)), "pair": first(pair[some]), "share": first((counts[some] - DISCOUNT) / totals[owner[some]])}
+        return pa.table(out)
+
+    sent = sent_back.mapInArrow(send, "g int, slice long, context binary, total binary, run binary, word binary, n binary, below binary")
+    return sent.groupBy("g").applyInArrow(total, "slice long, g int, n binary, listed binary, symbols binary" + (", keys binary, totals binary, rest binary, kept binary, pair binary, share binary" if model else ""))
+
+
+def with_back(held: DataFrame, counted: DataFrame, levels: list[DataFrame], *columns: str) -> DataFrame:
+    """Slices with what their groups returned."""
+    out = held.select("slice", "held", "lengths", "words", "order", "tokens", *columns)
+    out = out.join(counted.groupBy("slice").agg(F.collect_list(F.struct("g", "counts")).alias("words_back")), "slice")
+    for d, level in enumerate(levels):
+        out = out.join(level.groupBy("slice").agg(F.collect_list(F.struct("g", *_BACK)).alias(f"back{d}")), "slice", "left")
+    return out
+
+
+def learn(held: DataFrame, counted: DataFrame, n: int, n_tokens: float) -> Tree:
+    """The whole tree on the driver, to look into; scoring does not gather it."""
+    tree = Tree(n, counted.agg(F.sum("vocabulary")).first()[0])
+    done: list[DataFrame] = []
     for depth in range(MAX_DEPTH):
-        if not len(tree.levels[depth].keys):
-            tree.levels.pop()
-            break
-        context, word, times = next_counts(held, tree, depth, n_tokens, int(np.ceil(next_least)))
-        learn_level(tree, depth, context, word, times, tree.root(counts[find(words, word)]))
-        longer = (times >= context_least) & (word != END)
-        if depth + 1 == MAX_DEPTH or not longer.any():
-            break
-        context, word, times = context[longer], word[longer], times[longer]
-        keys = pair_keys(context, word)
-        order = np.argsort(keys)
-        # the longest proper suffix of (context, word) is (the context's suffix, word)
-        shorter = find(tree.levels[depth].keys, word if not depth else pair_keys(tree.levels[depth].suffix[context], word))
-        tree.levels.append(Level(keys[order], times[order], shorter[order]))
+        done.append(materialize(level_counts(with_back(held, counted, done), depth, n, tree.vocabulary, n_tokens, model=True), f"level{depth}"))
+        rows = done[-1].select("keys", "totals", "rest", "kept", "pair", "share").collect()
+        keys, totals, rest, kept, pair, share = (np.concatenate([np.zeros(0, t), *[whole(r[k], t) for r in rows]]) for k, t in enumerate((_U, np.int64, float, np.uint8, _U, float)))
+        by_key, by_pair = np.argsort(keys), np.argsort(pair)
+        tree.levels.append(Level(keys[by_key], totals[by_key], rest[by_key], kept[by_key].astype(bool), pair[by_pair], share[by_pair]))
     return tree
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     columns = f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     held = materialize(slices(docs.select(F.col(key).alias("id"), is_held_out(key).alias("held"), F.col(text).cast("string").alias("text"))), "slices")
     n, n_words, n_tokens = held.agg(F.sum("n_train"), F.sum("n_words"), F.sum(F.length("tokens") / 4)).first()
     if n is None:
         return docs.sparkSession.createDataFrame([], columns)
-    counted = materialize(word_counts(held, n_words, int(np.ceil(max(LEAST, P_NEXT * n)))), "counts")
-    tree = learn(held, counted, n, n_tokens)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    counted = materialize(word_counts(held, n_words, LEAST).select("slice", "g", "counts", "vocabulary"), "counts")
+    vocabulary = counted.agg(F.sum("vocabulary")).first()[0]
+    levels: list[DataFrame] = []
+    for depth in range(MAX_DEPTH):
+        levels.append(materialize(level_counts(with_back(held, counted, levels), depth, n, vocabulary, n_tokens), f"level{depth}"))
 
     def apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        below = tree.n + BASE_ADD * (tree.vocabulary + 1)
+        base_of = n + BASE_ADD * (vocabulary + 1)
         for batch in rows:
             for k in range(batch.num_rows):
-                words, tokens, lengths = opened(batch, k)
-                parts = sorted(batch.column("counts")[k].as_py(), key=lambda x: x["g"])
-                counts = np.concatenate([whole(x["counts"], np.int64) for x in parts])
+                paths, counts, lengths = paths_of(batch, k, n, vocabulary, MAX_DEPTH)
                 starts = np.cumsum(lengths) - lengths
-                by_token = np.log10(tree.probabilities(tokens, words, counts, _first(lengths)))
                 ids, flags = batch.column("ids")[k].values, batch.column("held")[k].values
-                sums = [np.add.reduceat(x, starts) for x in ((counts > 0)[tokens].astype(np.int64), np.log10((counts + BASE_ADD) / below)[tokens], by_token)]
-                yield pa.RecordBatch.from_arrays([ids, flags, pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), tree.n)), pa.array(sums[1]), pa.array(sums[2])], names=[c.split()[0] for c in columns.split(", ")])
+                sums = [np.add.reduceat(x, starts) for x in ((counts > 0)[paths.tokens].astype(np.int64), np.log10((counts + BASE_ADD) / base_of)[paths.tokens], np.log10(paths.p))]
+                yield pa.RecordBatch.from_arrays([ids, flags, pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), n)), pa.array(sums[1]), pa.array(sums[2])], names=[c.split()[0] for c in columns.split(", ")])
 
-    returned = counted.groupBy("slice").agg(F.collect_list(F.struct("g", "counts")).alias("counts"))
-    joined = held.select("slice", "ids", "held", "lengths", "words", "order", "tokens").join(returned, "slice").drop("slice")
-    return joined.mapInArrow(apply, columns)
+    return with_back(held, counted, levels, "ids").drop("slice").mapInArrow(apply, columns)

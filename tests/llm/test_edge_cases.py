@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, one operator after the other."""
 
+import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -198,6 +200,21 @@ def test_language_model_is_a_distribution(spark):
             total += tree.probabilities(tokens, stranger, np.append(counts, 0), first)[1]
         assert total == pytest.approx(1, abs=1e-6)
 
+def test_language_model_lists_what_occurs_twice_at_any_size(spark):
+    phrase = "alpha beta gamma"
+    ids = [k for k in range(1, 200) if zlib.crc32(str(k).encode()) % 10]
+    out_id = next(k for k in range(200, 400) if not zlib.crc32(str(k).encode()) % 10)
+    scores = []
+    for filler in (1_000, 1_500_000):
+        rows = [(ids[0], "x " * filler), (ids[1], phrase), (ids[2], phrase), (out_id, phrase)]
+        out = {r.doc_id: r for r in suffix_tree_lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        n = filler + 9
+        root = math.log10((2 - suffix_tree_lm.DISCOUNT) / n)
+        after = 3 * math.log10(0.75)  # beta, gamma and the end: 1.5 of 2, the rest's share of the root left out
+        assert out[out_id].held_out and out[out_id].train_tokens == n and out[out_id].score == pytest.approx(root + after, abs=0.01)
+        scores.append(out[out_id].score - root)
+    assert scores[0] == pytest.approx(scores[1], abs=0.01)
+
 
 # ---- n-gram join ----
 
