@@ -230,6 +230,31 @@ def j12(spark, sf_dir):
     return flat(P.token_blocking(*documents(spark, sf_dir), neighbours=2, scope="mutual", max_block_size=10), "home", "target").select("home", "target", r6("weight").alias("weight"))
 
 
+# The four above with the operator's own bound of 100 records a block, for which the SQL of pairs is too large.
+
+
+@query("j5_all_block_pairs")
+def j5_all(spark, sf_dir):
+    pairs = P.block_pairs(P.record_tokens(*documents(spark, sf_dir)))
+    return pairs.select(F.col("left.label").alias("left_id"), F.col("right.label").alias("right_id"), r6("weight").alias("weight"))
+
+
+@query("w4_all_top_partners")
+def w4_all(spark, sf_dir):
+    pairs = P.block_pairs(P.record_tokens(*documents(spark, sf_dir)))
+    return P.top_partners(pairs, 2).select(F.col("ref.label").alias("id"), F.col("partner.label").alias("partner"))
+
+
+@query("g1_all_token_blocking")
+def g1_all(spark, sf_dir):
+    return flat(P.token_blocking(*documents(spark, sf_dir), neighbours=2), "home", "target").select("home", "target", r6("weight").alias("weight"))
+
+
+@query("j12_all_mutual_blocking")
+def j12_all(spark, sf_dir):
+    return flat(P.token_blocking(*documents(spark, sf_dir), neighbours=2, scope="mutual"), "home", "target").select("home", "target", r6("weight").alias("weight"))
+
+
 @query("a17_term_scores", rf"""WITH t AS (SELECT doc_id, lower(unnest(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}\p{{M}}_]{{2,}}'))) AS term FROM documents),
 c AS (SELECT doc_id, term, count(*) AS n FROM t WHERE term NOT IN ({ENGLISH}) GROUP BY doc_id, term) SELECT term, round(sum(n) / CAST(count(*) AS DOUBLE), 6) AS score FROM c GROUP BY term""")
 def a17(spark, sf_dir):
