@@ -472,6 +472,12 @@ def g8(spark, sf_dir):
     return connected_components(rows.select("l_partkey", (F.col("l_suppkey") + 1000000).alias("s")), "l_partkey", "s")
 
 
+@query("g8_all_components")
+def g8_all(spark, sf_dir):
+    """All line items, for which the recursive SQL is too slow."""
+    return connected_components(table(spark, sf_dir, "lineitem").select("l_partkey", (F.col("l_suppkey") + 1000000).alias("s")), "l_partkey", "s")
+
+
 @query("s7_restrict_clusters", """WITH c AS (SELECT c_custkey AS id, c_nationkey AS cluster_id FROM customer WHERE c_mktsegment <> 'MACHINERY'), o AS (SELECT DISTINCT o_custkey AS id FROM orders),
 top AS (SELECT max(cluster_id) AS top FROM c) SELECT id, CAST(cluster_id AS BIGINT) AS cluster_id FROM c WHERE id IN (SELECT id FROM o)
 UNION ALL SELECT id, (SELECT top FROM top) + row_number() OVER (ORDER BY id) FROM o WHERE id NOT IN (SELECT id FROM c)""")
@@ -673,44 +679,65 @@ def m10(spark, sf_dir):
 FEET = f"{PARTS}, ln AS (SELECT DISTINCT l_partkey AS target, l_suppkey * 20 AS bridge FROM lineitem WHERE l_quantity >= 49 AND l_suppkey * 20 IN (SELECT p_partkey FROM part) AND l_partkey <> l_suppkey * 20), fp AS (SELECT bridge, b.cluster_id AS home, list_sort(list_distinct(list(t.cluster_id))) AS targets, count(*) AS n_links FROM ln JOIN rec b ON b.id = bridge JOIN rec t ON t.id = target GROUP BY bridge, b.cluster_id)"
 
 
-def linked_parts(spark, sf_dir):
-    """Parts as targets of bridges: links from line items of large quantities."""
+def linked_parts(spark, sf_dir, whole=False):
+    """Parts as targets of bridges: links from line items of large quantities, or from all of them."""
     records, _ = parts(spark, sf_dir)
     clusters = records.select("ref", "cluster_id")
     ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("b"))
-    rows = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49").select("l_partkey", (F.col("l_suppkey") * 20).alias("b")).filter("l_partkey <> b").distinct().join(ids, "b", "left_semi")
+    items = table(spark, sf_dir, "lineitem")
+    rows = (items if whole else items.filter("l_quantity >= 49")).select("l_partkey", (F.col("l_suppkey") * 20).alias("b")).filter("l_partkey <> b").distinct().join(ids, "b", "left_semi")
     return clusters, rows.select(ref("part", "l_partkey").alias("target"), ref("part", "b").alias("bridge"))
 
 
 @query("a9_footprints", f"WITH {FEET} SELECT bridge, home, CAST(len(targets) AS INT) AS n_targets, n_links FROM fp")
-def a9(spark, sf_dir):
-    return R.footprints(*linked_parts(spark, sf_dir)).select(F.col("bridge.label").alias("bridge"), "home", "n_targets", "n_links")
+def a9(spark, sf_dir, whole=False):
+    return R.footprints(*linked_parts(spark, sf_dir, whole)).select(F.col("bridge.label").alias("bridge"), "home", "n_targets", "n_links")
+
+
+@query("a9_all_footprints")
+def a9_all(spark, sf_dir):
+    return a9(spark, sf_dir, whole=True)
 
 
 @query("a7_a8_bridged_clusters", f"""WITH {FEET}, h AS (SELECT home AS c, count(*) AS n FROM fp GROUP BY home), t AS (SELECT c, count(*) AS n FROM (SELECT unnest(targets) AS c FROM fp) GROUP BY c), k AS (SELECT DISTINCT cluster_id AS c FROM rec), p AS (SELECT k.c, coalesce(h.n, 0) AS hn, coalesce(t.n, 0) AS tn FROM k LEFT JOIN h USING (c) LEFT JOIN t USING (c))
 SELECT count(CASE WHEN hn > 0 THEN 1 END) AS n_home_clusters, count(CASE WHEN tn > 0 THEN 1 END) AS n_target_clusters, count(CASE WHEN hn = 0 AND tn = 0 THEN 1 END) AS n_unbridged_clusters, round(avg(hn), 6) AS bridges_per_home_avg, round(stddev_pop(hn), 6) AS bridges_per_home_stdev,
 round(avg(tn), 6) AS bridges_per_target_avg, round(stddev_pop(tn), 6) AS bridges_per_target_stdev, (SELECT round(avg(len(targets)), 6) FROM fp) AS targets_per_bridge_avg FROM p""")
-def a7(spark, sf_dir):
-    out = R.record_metrics(*linked_parts(spark, sf_dir))
+def a7(spark, sf_dir, whole=False):
+    out = R.record_metrics(*linked_parts(spark, sf_dir, whole))
     return out.select("n_home_clusters", "n_target_clusters", "n_unbridged_clusters", *[r6(c).alias(c) for c in ("bridges_per_home_avg", "bridges_per_home_stdev", "bridges_per_target_avg", "bridges_per_target_stdev", "targets_per_bridge_avg")])
 
 
+@query("a7_a8_all_bridged_clusters")
+def a7_all(spark, sf_dir):
+    return a7(spark, sf_dir, whole=True)
+
+
 COMPONENTS = f"""{FEET}, ce AS (SELECT DISTINCT home AS u, unnest(targets) AS v FROM fp), cb AS (SELECT u, v FROM ce UNION SELECT v, u FROM ce), cr AS (SELECT u AS c, u AS seen FROM cb UNION SELECT cr.c, cb.v FROM cr JOIN cb ON cr.seen = cb.u), cm AS (SELECT c, min(seen) AS part FROM cr GROUP BY c),
 cz AS (SELECT part, count(*) AS n_clusters, sum((SELECT count(*) FROM rec WHERE cluster_id = c)) AS n_records, sum((SELECT count(*) FROM fp WHERE home = c)) AS n_bridges, sum(coalesce((SELECT sum(n_links) FROM fp WHERE home = c), 0)) AS n_label2 FROM cm GROUP BY part)"""
 
 
 @query("w8_bridge_components", f"WITH RECURSIVE {COMPONENTS} SELECT row_number() OVER (ORDER BY n_clusters DESC, n_label2 DESC, n_records DESC, part) AS bridge_component, n_clusters, CAST(n_records AS BIGINT) AS n_records, CAST(n_bridges AS BIGINT) AS n_bridges, CAST(n_label2 AS BIGINT) AS n_label2 FROM cz")
-def w8(spark, sf_dir):
-    return R.bridge_components(*linked_parts(spark, sf_dir)).drop("clusters")
+def w8(spark, sf_dir, whole=False):
+    return R.bridge_components(*linked_parts(spark, sf_dir, whole)).drop("clusters")
+
+
+@query("w8_all_bridge_components")
+def w8_all(spark, sf_dir):
+    return w8(spark, sf_dir, whole=True)
 
 
 @query("a10_component_metrics", f"""WITH RECURSIVE {COMPONENTS} SELECT count(*) AS component_count, round(avg(n_clusters), 6) AS component_size_avg, round(stddev_pop(n_clusters), 6) AS component_size_stdev, max(n_clusters) AS component_largest,
 round((SELECT n_label2 FROM cz ORDER BY n_clusters DESC, n_label2 DESC, n_records DESC, part LIMIT 1) / (sum(n_label2) * 0.2::DOUBLE), 6) AS split_load FROM cz""")
-def a10(spark, sf_dir):
-    out = R.component_metrics(checkpoint(R.bridge_components(*linked_parts(spark, sf_dir))))
+def a10(spark, sf_dir, whole=False):
+    out = R.component_metrics(checkpoint(R.bridge_components(*linked_parts(spark, sf_dir, whole))))
     return out.select("component_count", r6("component_size_avg").alias("component_size_avg"), r6("component_size_stdev").alias("component_size_stdev"), "component_largest", r6("split_load").alias("split_load"))
 
 
+@query("a10_all_component_metrics")
+def a10_all(spark, sf_dir):
+    return a10(spark, sf_dir, whole=True)
+
+
 @query("w13_best_feature", """WITH f AS (SELECT p_size % 7 = 0 AS p, 0 AS e, len(string_split(p_name, ' ')) + 2 AS t, length(p_name) + length(p_brand) + length(p_size::VARCHAR) AS c FROM part), v AS (SELECT p, 0 AS o, e::DOUBLE AS v FROM f UNION ALL SELECT p, 1, t FROM f UNION ALL SELECT p, 2, c FROM f),
 g AS (SELECT o, v, count(CASE WHEN p THEN 1 END) AS p, count(CASE WHEN NOT p THEN 1 END) AS n FROM v GROUP BY o, v), a AS (SELECT o, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)::DOUBLE) AS a FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY o ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) GROUP BY o)
 SELECT ['n_empty', 'n_tokens', 'n_chars'][o + 1] AS feature, round(greatest(a, 1 - a), 6) AS auc FROM a ORDER BY greatest(a, 1 - a) DESC, o LIMIT 1""")
@@ -799,14 +826,19 @@ def w11(spark, sf_dir):
 
 @query("u2_directed_truth", f"""WITH {FEET}, cl AS (SELECT id, cluster_id, id IN (SELECT bridge FROM ln) AS b FROM rec), w AS (SELECT CASE WHEN x.b AND NOT y.b THEN y.id ELSE x.id END AS l, CASE WHEN x.b AND NOT y.b THEN x.id ELSE y.id END AS r, 1 AS label FROM cl x JOIN cl y ON x.cluster_id = y.cluster_id AND x.id < y.id),
 u AS (SELECT * FROM w UNION ALL SELECT target, bridge, 2 FROM ln) SELECT l AS left_id, r AS right_id, max(label) AS label FROM u GROUP BY l, r""")
-def u2(spark, sf_dir):
-    clusters, links = linked_parts(spark, sf_dir)
+def u2(spark, sf_dir, whole=False):
+    clusters, links = linked_parts(spark, sf_dir, whole)
     bridge = links.select(F.col("bridge").alias("ref")).distinct().withColumn("b", F.lit(True))
     marked = clusters.join(bridge, "ref", "left").select("ref", "cluster_id", F.coalesce("b", F.lit(False)).alias("is_bridge"))
     seeds = links.groupBy("bridge").agg(F.collect_list("target").alias("linked"))
     return G.directed_truth(marked, seeds).select(F.col("left.label").alias("left_id"), F.col("right.label").alias("right_id"), "label")
 
 
+@query("u2_all_directed_truth")
+def u2_all(spark, sf_dir):
+    return u2(spark, sf_dir, whole=True)
+
+
 @query("k2_k4_frames", f"WITH {LINKS} SELECT l AS left_id, 'part' AS left_source, r AS right_id, 'part' AS right_source, CAST(label AS INT) AS label FROM truth")
 def k4(spark, sf_dir):
     from ..sources.sinks import mapping_frame

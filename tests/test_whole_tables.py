@@ -41,3 +41,46 @@ def test_blocks_of_more_than_ten(spark, copies):
     for name, test in (("g1_all_token_blocking", any), ("j12_all_mutual_blocking", all)):
         got = {tuple(sorted((r.home, r.target))) for r in QUERIES[name](spark, at).collect()}
         assert got == {(x, y) for x, y in pairs if test([(x, y) in top, (y, x) in top])} and len(got) > 2
+
+
+@pytest.fixture(scope="module")
+def items(spark, tmp_path_factory):
+    """Line items of small quantities and discounts only; suppliers 1 and 2 are bridges 20 and 40."""
+    at = str(tmp_path_factory.mktemp("items"))
+    kind = {k: f"t{k % 4}" for k in range(1, 45)}
+    links = [(k, 1 + k % 2) for k in range(1, 13)] + [(3, 1), (43, 900)]
+    spark.createDataFrame([(k, f"name {k}", "b", 1, t) for k, t in kind.items()], "p_partkey long, p_name string, p_brand string, p_size int, p_type string").write.parquet(f"{at}/part.parquet")
+    spark.createDataFrame([(p, s, 1.0, 0.0) for p, s in links], "l_partkey long, l_suppkey long, l_quantity double, l_discount double").write.parquet(f"{at}/lineitem.parquet")
+    return at, links, kind
+
+
+def united(edges):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        parent[max(root(x), root(y))] = min(root(x), root(y))
+    return {x: root(x) for x in list(parent)}
+
+
+def test_components_of_all_line_items(spark, items):
+    at, links, _ = items
+    got = {r.node: r.component for r in QUERIES["g8_all_components"](spark, at).collect()}
+    assert got == united((p, s + 1000000) for p, s in links) and len(set(got.values())) == 2
+
+
+def test_bridges_of_all_line_items(spark, items):
+    at, links, kind = items
+    made = {(p, s * 20) for p, s in links if s * 20 in kind and p != s * 20}
+    feet = {b: ({kind[p] for p, x in made if x == b}, sum(x == b for _, x in made)) for b in {b for _, b in made}}
+    assert {r.bridge: (r.n_targets, r.n_links) for r in QUERIES["a9_all_footprints"](spark, at).collect()} == {b: (len(t), n) for b, (t, n) in feet.items()}
+    parts = united((kind[b], t) for b, (found, _) in feet.items() for t in found)
+    w8, a10 = QUERIES["w8_all_bridge_components"](spark, at).collect(), QUERIES["a10_all_component_metrics"](spark, at).first()
+    assert len(w8) == a10.component_count == len(set(parts.values())) and sum(r.n_label2 for r in w8) == len(made) and sum(r.n_bridges for r in w8) == len(feet)
+    a7 = QUERIES["a7_a8_all_bridged_clusters"](spark, at).first()
+    assert a7.n_home_clusters == len({kind[b] for b in feet}) and a7.n_target_clusters == len({t for found, _ in feet.values() for t in found})
+    assert {(r.left_id, r.right_id) for r in QUERIES["u2_all_directed_truth"](spark, at).collect() if r.label == 2} == made
