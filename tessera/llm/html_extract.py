@@ -38,6 +38,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: their content is never text of the page
 SKIPPED = frozenset("script style noscript template title svg math canvas iframe object select textarea button head".split())
+#: any other element, and words, end an open head
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe")
 CLOSES_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -102,6 +104,8 @@ def runs(page: str) -> list[Run]:
     for m in _TOKEN.finditer(page):
         text = m.group("text")
         if text is not None:
+            if stack and stack[-1][0] == "head" and text.strip():
+                close("head")
             if not any(s[0] in SKIPPED for s in stack):
                 out.append(Run(text, stack[-1][1] if stack else ROOT, block, tags))
                 tags = 0
@@ -112,6 +116,8 @@ def runs(page: str) -> list[Run]:
             continue
         name = name.lower()
         tags += 1
+        if name not in IN_HEAD and not m.group("end"):
+            close("head")
         if name == "br":
             out.append(Run(" ", stack[-1][1] if stack else ROOT, block, 0))
             continue

@@ -276,6 +276,13 @@ def test_html_odd_pages(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_head_without_end_tag():
+    weights, article = html_extract.learn(), "<article><h1>T</h1><p>One two three four five six seven.</p></article>"
+    for page in (f"<html><head><title>x</title><meta charset=utf-8><body>{article}", f"<head><link rel=x><style>p{{}}</style>{article}", f"<head><title>x</title></head><body>{article}</body>"):
+        assert html_extract.extract(page, weights) == "T\n\nOne two three four five six seven."
+    assert html_extract.extract("<head><title>x</title>plain words of a page without tags", weights) == "plain words of a page without tags"
+
+
 def test_html_on_labelled_pages_not_learnt_from():
     import re
 
