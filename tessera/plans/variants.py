@@ -107,7 +107,7 @@ def m4(spark, sf_dir):
 
 @query("m1_m2_score_mixture")
 def m1(spark, sf_dir):
-    fitted = N.mixture(table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("score")), restarts=5)
+    fitted = N.mixture(table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("score")))
     return spark.createDataFrame([(fitted.boundary, fitted.boundary_type, fitted.share)], "boundary double, boundary_type string, share double")
 
 

@@ -84,3 +84,11 @@ def test_bridges_of_all_line_items(spark, items):
     a7 = QUERIES["a7_a8_all_bridged_clusters"](spark, at).first()
     assert a7.n_home_clusters == len({kind[b] for b in feet}) and a7.n_target_clusters == len({t for found, _ in feet.values() for t in found})
     assert {(r.left_id, r.right_id) for r in QUERIES["u2_all_directed_truth"](spark, at).collect() if r.label == 2} == made
+
+
+def test_score_mixture_starts_as_often_as_by_default(spark, smoke_dir, monkeypatch):
+    from tessera.operators import learning
+
+    seen, fit = [], learning.fit_mixture
+    monkeypatch.setattr(learning, "fit_mixture", lambda values, counts, restarts: seen.append(restarts) or fit(values, counts, restarts))
+    assert QUERIES["m1_m2_score_mixture"](spark, smoke_dir).count() == 1 and seen == [50]
