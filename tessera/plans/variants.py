@@ -23,11 +23,11 @@ from .er import COMPARED, PARTS, SCORE, clusterings, compared, edges_sql, matche
 ALPHAS = (0.5, 0.8)
 
 
-def bridged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D.Fields]:
-    """Bridges of greedy pairing between parts' clusters, with their records and fields."""
-    records, fields = parts(spark, sf_dir)
-    fields = D.Fields.of(records, fields.names, targets=("p_name",), secondary=("p_size",))
-    seeds = D.integer_labels(checkpoint(P.greedy_seeds(records, fields, links=2)), records, ["home_cluster"])
+def bridged(spark: SparkSession, sf_dir: str, targets: tuple[str, ...] = ("p_name",)) -> tuple[DataFrame, DataFrame, D.Fields]:
+    """Bridges of greedy pairing between parts' clusters, with their records and fields; ``targets`` are synthesised."""
+    records, paired = parts(spark, sf_dir)
+    seeds = D.integer_labels(checkpoint(P.greedy_seeds(records, paired, links=2)), records, ["home_cluster"])
+    fields = D.Fields.of(records, paired.names, targets=targets, secondary=("p_size",))
     return B.synthesize(seeds, records, fields, ALPHAS, ["deluxe"], target_floor=0.5), records, fields
 
 
@@ -55,9 +55,25 @@ def b2(spark, sf_dir):
     return B.bridge_log(bridged(spark, sf_dir)[0])
 
 
-@query("g7_link_log", f"WITH {SEEDS} SELECT alpha, bridge AS bridge_label, target_id AS target_label, CAST(rank AS INT) AS rank FROM lk CROSS JOIN al")
+@query("b1_bridge_texts")
+def b1_texts(spark, sf_dir):
+    made = bridged(spark, sf_dir)[0]
+    return made.select("alpha", F.col("bridge.label").alias("id"), "fields.*")
+
+
+@query("g7_link_log")
 def g7(spark, sf_dir):
-    return B.link_log(*bridged(spark, sf_dir)).select("alpha", "bridge_label", "target_label", "rank")
+    return B.link_log(*bridged(spark, sf_dir))
+
+
+@query("g7_untargeted_link_log", f"""WITH {SEEDS} SELECT alpha, lk.bridge AS bridge_label, target AS target_cluster, target_id AS target_label, CAST(rank AS INT) AS rank,
+  CAST(round(CASE WHEN h.p_name = t.p_name THEN CASE WHEN r.p_name = h.p_name THEN 2.0 ELSE -0.5 END WHEN r.p_name = '' THEN 2.0 ELSE -0.5 END
+  + CASE WHEN h.p_brand = t.p_brand AND r.p_brand = h.p_brand THEN 2.0 ELSE -0.5 END + CASE WHEN h.p_type = t.p_type AND r.p_type = h.p_type THEN 2.0 ELSE -0.5 END
+  + CASE WHEN h.p_size = 0 THEN -0.5 WHEN r.p_size = h.p_size THEN 2.0 ELSE -1.0 END - 1.5, 6) AS DOUBLE) AS ambiguity
+FROM lk JOIN sd ON sd.bridge = lk.bridge JOIN rec h ON h.id = hid JOIN rec t ON t.id = tid JOIN rec r ON r.id = target_id CROSS JOIN al""")
+def g7_untargeted(spark, sf_dir):
+    """Links of bridges whose texts that differ are left empty, so that the ambiguity follows from the records alone."""
+    return B.link_log(*bridged(spark, sf_dir, targets=())).withColumn("ambiguity", r6("ambiguity"))
 
 
 @query("g6_cluster_truth", f"WITH {SEEDS} SELECT alpha, cluster_id, count(*) AS n, min(CASE WHEN b THEN id END) AS bridge FROM (SELECT id, cluster_id, false AS b FROM rec UNION ALL SELECT bridge, home, true FROM sd) CROSS JOIN al GROUP BY alpha, cluster_id")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
+from tessera.functions import candidates as K
 from tessera.functions import sequence as Q
 from tessera.functions import text as X
 from tessera.operators import bridges as B
@@ -34,7 +35,8 @@ def test_similarities(spark, a, b, ngram, token, weighted):
     ((n, t, w),) = values(spark, [(a, b)], n=X.ngram_similarity(F.col("a"), F.col("b")), t=X.token_similarity(F.col("a"), F.col("b")), w=Q.weighted_similarity(F.col("a"), F.col("b")))
     for got, want in ((n, ngram), (t, token), (w, weighted)):
         assert want is None or got == pytest.approx(want)
-    assert Q._similar(a, b) == pytest.approx(w)
+    side = Q.Against(b)
+    assert side.exact(a.lower(), side.sets(a.lower())) == pytest.approx(w) and side.bound(a.lower(), side.sets(a.lower())) >= w - 1e-12
 
 
 def test_sequence_similarity_knows_the_order(spark):
@@ -52,7 +54,7 @@ def test_record_similarity(spark):
 def test_small_texts(spark):
     rows = [("abcdef", "abXdefgh"), ("", "abc"), ("Same", "same")]
     got = values(spark, rows, p=X.common_prefix(F.col("a"), F.col("b")), m=X.blend(F.col("a"), F.col("b")), f=X.fallback_text(F.col("a"), F.col("b")))
-    assert got == [("ab", Q._interleave("abcdef", "abXdefgh"), "abcdef"), ("", "abc", ""), ("Same", Q._interleave("Same", "same"), "Same")]
+    assert got == [("ab", K.zipped("abcdef", "abXdefgh"), "abcdef"), ("", "abc", ""), ("Same", K.zipped("Same", "same"), "Same")]
     assert [r[0] for r in values(spark, [("Größe der Straße, x_1 the", "")], t=X.tokens(F.col("a")))] == [["größe", "der", "straße", "x_1"]]
     assert values(spark, [("  a \t", "a")], s=X.edit_similarity(F.col("a"), F.col("b"))) == [(1.0,)]
 
@@ -89,7 +91,7 @@ def test_bridge_of_two_records(spark, two, secondary):
     assert sorted(rows) == [0.5, 0.8] and all(r.bridge.label == 3 and r.bridge.source == "ambiguity-generator" for r in rows.values())
     assert all(r.fields.year == ("1990" if secondary else "") and r.fields.city == "" and r.fields.name not in ("John Doe", "Jane Doe") for r in rows.values())
     for alpha, r in rows.items():
-        (want,) = Q.bridged_values("John Doe", "Jane Doe", [alpha], ["term"])
+        (want,) = K.bridged_values("John Doe", "Jane Doe", [alpha], ["term"])
         assert r.log[0].value == want["value"] == r.fields.name and r.log[0].sim_home == pytest.approx(want["sim_home"])
     variant = B.variant(made, two, fields, [0.5, 0.8])
     pairs = {(r.alpha, r.left.source, r.right.source): r.label for r in variant.directed.collect()}
@@ -100,19 +102,6 @@ def test_bridge_of_two_records(spark, two, secondary):
     assert sorted(single.at(0.5).records.collect()) == sorted(variant.at(0.5).records.collect())
 
 
-def test_candidates():
-    got = set(Q.candidates("red big ring", "red ring small", ["gold"]))
-    assert {"red ring", "red ring b", "red big ring small", "big gold", "red ring gold"} <= got and not {"red big ring", "red ring small", ""} & got
-    assert all(" ".join(c.split()) == c for c in got)
-    assert "New York c" in set(Q.candidates("New York", "new york city"))
-    assert Q.bridged_values("same", "SAME", [0.5], [])[0]["value"]
-    short = Q.bridged_values("x y", "z w", [0.5], [], max_length_ratio=1.0)[0]
-    assert len(short["value"].split()) <= 2
-    floor = Q.bridged_values("John Doe", "Jane Roe", [0.99], [], target_floor=1.0)[0]
-    free = Q.bridged_values("John Doe", "Jane Roe", [0.99], [])[0]
-    assert floor["sim_target"] >= free["sim_target"]
-
-
 def test_fields_and_labels(spark, two):
     assert Fields.of(two).names == ("city", "name", "year")
     with pytest.raises(ValueError):
