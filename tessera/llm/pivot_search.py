@@ -9,16 +9,20 @@ above. Candidates are evaluated in bound order until the bound falls under the t
 Distribution: vectors lie in cells by nearest pivot, cells in blocks of ``BLOCK_ROWS``. Each query first
 searches one block of its own cell; the score reached there rules out whole cells by their ranges of
 pivot distances, and the query travels, packed with others, only to the blocks of the cells left.
-Blocks meet queries in groups of bounded size; nothing is collected but the pivot sample and one row
-per cell.
+Blocks meet queries in groups of bounded size, and only those groups that have queries for their cell;
+nothing is collected but the pivot sample and one row per cell.
 
-The pivots come from at most ``SAMPLE_ROWS`` vectors, those with the smallest hashes of their ids; all
-rows are indexed, and results are exact for any pivots.
+The number of pivots grows with the fourth root of the rows. They come from at most ``SAMPLE_ROWS`` vectors,
+those with the smallest hashes of their ids; all rows are indexed, and results are exact for any pivots.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, nor do rows
-without an id; an empty vector is a zero vector, and shorter ones count as padded with zeros; rows that share
-the query's id are its own; repeated rows are candidates each; ties go to the smaller id; components are
-held to within 2**31; an empty table gives an empty result; other columns are ignored.
+Scores are exact integers of any components: sums of floats while no partial sum can reach 2**53 (the largest
+squared norm tells), of Python's integers beyond.
+
+Defined results: vectors that are null or hold null or non-finite components take no part (nor those with a
+component whose 1024-fold is not finite), nor do rows without an id; an empty vector is a zero vector, and
+shorter ones count as padded with zeros; rows that share the query's id are its own; repeated rows are
+candidates each; ties go to the smaller id; a score beyond a long is the nearest long; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +39,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 PIVOTS = 32
+LONG = np.iinfo(np.int64)
 SAMPLE_ROWS = 2048
 BLOCK_ROWS = 512
 QUERY_ROWS = 256
@@ -44,37 +49,56 @@ STEP = 64
 
 
 def quantized(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, x, norm): usable vectors as packed integers ``floor(1024 * component)``, with their squared norm."""
+    """(id, x, norm, peak): usable vectors ``floor(1024 * component)`` as whole floats, their squared norm and largest component."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, xs, norms = [], [], []
+            ids, xs, norms, peaks = [], [], [], []
             lists = batch.column("x")
-            values = pc.cast(lists.values, pa.float64())
+            with np.errstate(over="ignore", invalid="ignore"):
+                flat = np.floor(SCALE * pc.cast(lists.values, pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False))
             offsets = lists.offsets.to_numpy()
-            bad = np.concatenate([[0], np.cumsum(~np.isfinite(values.fill_null(np.nan).to_numpy(zero_copy_only=False)))])
-            flat = np.clip(np.floor(SCALE * np.clip(np.nan_to_num(values.fill_null(0.0).to_numpy(zero_copy_only=False)), -(2**31), 2**31)), -(2**31), 2**31).astype(np.int64)
+            bad = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
             usable = lists.is_valid().to_numpy(zero_copy_only=False) & batch.column("id").is_valid().to_numpy(zero_copy_only=False)
             usable &= bad[offsets[1:]] == bad[offsets[:-1]]
             for k in np.flatnonzero(usable):
                 x = flat[offsets[k] : offsets[k + 1]]
                 ids.append(batch.column("id")[k].as_py())
                 xs.append(x.tobytes())
-                norms.append(float(np.dot(x.astype(float), x)))
-            yield pa.record_batch({"id": pa.array(ids, pa.int64()), "x": pa.array(xs, pa.binary()), "norm": pa.array(norms, pa.float64())})
+                with np.errstate(over="ignore"):
+                    norms.append(float(np.dot(x, x)))
+                peaks.append(float(np.abs(x).max(initial=0.0)))
+            yield pa.record_batch({"id": pa.array(ids, pa.int64()), "x": pa.array(xs, pa.binary()), "norm": pa.array(norms, pa.float64()), "peak": pa.array(peaks, pa.float64())})
 
-    return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).mapInArrow(make, "id long, x binary, norm double")
+    return rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")).mapInArrow(make, "id long, x binary, norm double, peak double")
 
 
 def unpack(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of integers, padded with zeros to ``width``."""
-    out = np.zeros((len(column), width), np.int64)
+    """Rows of whole floats, padded with zeros to ``width``."""
+    out = np.zeros((len(column), width))
     for k, value in enumerate(column):
-        x = np.frombuffer(value.as_buffer(), np.int64)
+        x = np.frombuffer(value.as_buffer())
         out[k, : len(x)] = x
     return out
 
 
+@dataclass
+class Products:
+    """Exact integer inner products, and what their bounds are measured in (a power of two, squared; 1 where floats are exact)."""
+
+    unit: int = 1
+
+    def of(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        if self.unit == 1:
+            return (x @ q).astype(np.int64)
+        whole = [int(v) for v in q]
+        return np.array([min(max(sum(int(a) * b for a, b in zip(row, whole, strict=True)), LONG.min), LONG.max) for row in x], np.int64)
+
+    def scaled(self, score: int) -> float:
+        """Where the bound of a row that reaches the score must be, at least."""
+        return float(score) if self.unit == 1 else (score / self.unit if score > LONG.min else -np.inf)
+
+
 @dataclass
 class Pivots:
     """Lifted pivots, and the distances to them."""
@@ -82,46 +106,51 @@ class Pivots:
     x: np.ndarray
     lift: np.ndarray
     bound: float
+    scale: float = 1.0
 
     @classmethod
-    def choose(cls, x: np.ndarray, bound: float, n: int = PIVOTS) -> Pivots:
-        """Farthest-first among the sample."""
-        points = np.concatenate([x, np.sqrt(np.maximum(bound - (x.astype(float) ** 2).sum(axis=1), 0))[:, None]], axis=1)
+    def choose(cls, x: np.ndarray, bound: float, n: int = PIVOTS, scale: float = 1.0) -> Pivots:
+        """Farthest-first among the sample. bound: no squared norm is larger, in units of ``scale`` squared."""
+        x = x / scale
+        points = np.concatenate([x, np.sqrt(np.maximum(bound - (x**2).sum(axis=1), 0))[:, None]], axis=1)
         chosen = [0]
         nearest = np.linalg.norm(points - points[0], axis=1)
         while len(chosen) < min(n, len(points)) and nearest.max() > 0:
             chosen.append(int(nearest.argmax()))
             nearest = np.minimum(nearest, np.linalg.norm(points - points[chosen[-1]], axis=1))
-        return cls(x[chosen].astype(float), points[chosen, -1], bound)
+        return cls(x[chosen], points[chosen, -1], bound, scale)
 
     def of_rows(self, x: np.ndarray) -> np.ndarray:
-        x = x.astype(float)
+        x = x / self.scale
         lift = np.sqrt(np.maximum(self.bound - (x**2).sum(axis=1), 0))
         return np.sqrt(np.maximum(2 * self.bound - 2 * (x @ self.x.T + lift[:, None] * self.lift), 0))
 
     def of_queries(self, q: np.ndarray) -> np.ndarray:
-        q = q.astype(float)
+        q = q / self.scale
         return np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + self.bound - 2 * q @ self.x.T, 0))
 
     def score_bound(self, norm: np.ndarray, apart: np.ndarray) -> np.ndarray:
         """No score can be larger, at this distance or more; with room for rounding."""
         total = norm + self.bound
-        return (total - np.maximum(apart, 0) ** 2) / 2 + 1e-7 * total + 1
+        return (total - np.maximum(apart, 0) ** 2) / 2 + 1e-6 * total
+
+    def norms(self, q: np.ndarray) -> np.ndarray:
+        return ((q / self.scale) ** 2).sum(axis=-1)
 
 
-def best(q: np.ndarray, own: int, bounds: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: tuple[float, int]) -> tuple[np.ndarray, np.ndarray]:
+def best(q: np.ndarray, own: int, bounds: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: tuple[int, int], products: Products) -> tuple[np.ndarray, np.ndarray]:
     """(ids, scores) of a query's k best rows in a block that are no worse than ``least`` (score, id)."""
-    candidates = np.flatnonzero((bounds >= least[0]) & (ids != own))
+    candidates = np.flatnonzero((bounds >= products.scaled(least[0])) & (ids != own))
     candidates = candidates[np.argsort(-bounds[candidates], kind="stable")]
     found_ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for at in range(0, len(candidates), STEP):
-        if len(found) == k and bounds[candidates[at]] < found[-1]:
+        if len(found) == k and bounds[candidates[at]] < products.scaled(int(found[-1])):
             break
         rows = candidates[at : at + STEP]
-        scores = x[rows] @ q
+        scores = products.of(x[rows], q)
         fine = (scores > least[0]) | ((scores == least[0]) & (ids[rows] <= least[1]))
         found_ids, found = np.concatenate([found_ids, ids[rows][fine]]), np.concatenate([found, scores[fine]])
-        order = np.lexsort((found_ids, -found))[:k]
+        order = np.lexsort((found_ids, ~found))[:k]
         found_ids, found = found_ids[order], found[order]
     return found_ids, found
 
@@ -131,20 +160,23 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     spark = rows.sparkSession
     columns = "query_id long, rank int, vec_id long, score long"
     vectors = materialize(quantized(rows, key, vector), "vectors")
-    bound, width = vectors.agg(F.max("norm"), F.max(F.length("x") / 8).cast("long")).first()
+    bound, width, peak, n_rows = vectors.agg(F.max("norm"), F.max(F.length("x") / 8).cast("long"), F.max("peak"), F.count("*")).first()
     if bound is None:
         return spark.createDataFrame([], columns)
+    scale = 1.0 if bound < 2**53 else 2.0 ** np.ceil(np.log2(peak))
+    bound = bound if scale == 1 else float(width)
+    products = Products(int(scale) ** 2)
     sample = vectors.orderBy(F.xxhash64("id"), "id", "x").limit(SAMPLE_ROWS).select("x").toArrow()
-    pivots = Pivots.choose(unpack(sample.column("x"), width), bound)
+    pivots = Pivots.choose(unpack(sample.column("x"), width), bound, max(PIVOTS, 2 * int(np.ceil(n_rows**0.25))), scale)
     m = len(pivots.x)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 far = pivots.of_rows(unpack(batch.column("x"), width))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far.argmin(axis=1), pa.int32()), pa.array([f.tobytes() for f in far], pa.binary())], names=["id", "x", "norm", "cell", "far"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array(far.argmin(axis=1), pa.int32()), pa.array([f.tobytes() for f in far], pa.binary())], names=["id", "x", "cell", "far"])
 
-    placed = materialize(vectors.mapInArrow(place, "id long, x binary, norm double, cell int, far binary"), "placed")
+    placed = materialize(vectors.mapInArrow(place, "id long, x binary, cell int, far binary"), "placed")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low, high, n = np.full((m, m), np.inf), np.full((m, m), -np.inf), np.zeros(m, np.int64)
@@ -184,27 +216,27 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
 
     def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids = np.frombuffer(row["ids"], np.int64)
-        return ids, np.frombuffer(row["xs"], np.int64).reshape(len(ids), width), np.frombuffer(row["fars"]).reshape(len(ids), m)
+        return ids, np.frombuffer(row["xs"]).reshape(len(ids), width), np.frombuffer(row["fars"]).reshape(len(ids), m)
 
     def block_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return table.column("id").to_numpy(), unpack(table.column("x"), width), np.frombuffer(b"".join(table.column("far").to_pylist())).reshape(-1, m)
 
     def bounds_of(q: np.ndarray, far_q: np.ndarray, far: np.ndarray) -> np.ndarray:
-        return pivots.score_bound(float(np.dot(q.astype(float), q)), np.abs(far - far_q).max(axis=1))
+        return pivots.score_bound(pivots.norms(q), np.abs(far - far_q).max(axis=1))
 
     def first_look(block: pa.Table, packs_: pa.Table) -> pa.Table:
         """The least (score, id) each query has to reach: its k-th in one block of its own cell."""
         out = []
         if packs_.num_rows:
-            ids, x, far = block_of(block) if block.num_rows else (np.zeros(0, np.int64), np.zeros((0, width), np.int64), np.zeros((0, m)))
+            ids, x, far = block_of(block) if block.num_rows else (np.zeros(0, np.int64), np.zeros((0, width)), np.zeros((0, m)))
             for row in packs_.to_pylist():
                 least_scores, least_ids = [], []
                 for own, q, far_q in zip(*opened(row), strict=True):
-                    got_ids, got = best(q, own, bounds_of(q, far_q, far), x, ids, k, (-np.inf, 0))
+                    got_ids, got = best(q, own, bounds_of(q, far_q, far), x, ids, k, (LONG.min, LONG.max), products)
                     full = len(got) == k
-                    least_scores.append(float(got[-1]) if full else -np.inf)
-                    least_ids.append(int(got_ids[-1]) if full else 0)
-                out.append(row | {"scores": np.array(least_scores).tobytes(), "lasts": np.array(least_ids, np.int64).tobytes()})
+                    least_scores.append(int(got[-1]) if full else LONG.min)
+                    least_ids.append(int(got_ids[-1]) if full else LONG.max)
+                out.append(row | {"scores": np.array(least_scores, np.int64).tobytes(), "lasts": np.array(least_ids, np.int64).tobytes()})
         return pa.Table.from_pylist(out, pa.schema([("cell", pa.int32()), ("pack", pa.int64()), ("home", pa.int64())] + [(c, pa.binary()) for c in ("ids", "xs", "fars", "scores", "lasts")]))
 
     homes = asked.select("cell", F.col("home").alias("block")).distinct()
@@ -214,22 +246,32 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
 
     travels = "group long, cell int, block long, ids binary, xs binary, fars binary, scores binary, lasts binary"
 
+    def goes(row: dict) -> tuple[tuple, np.ndarray]:
+        """A pack's queries with their thresholds, and which of them go to each cell, as it may hold better rows."""
+        ids, x, far = opened(row)
+        scores, lasts = np.frombuffer(row["scores"], np.int64), np.frombuffer(row["lasts"], np.int64)
+        apart = np.stack([np.maximum(lo - far, far - hi).max(axis=1) for lo, hi in zip(low, high, strict=True)], axis=1)
+        least = np.array([products.scaled(int(s)) for s in scores])
+        return (ids, x, far, scores, lasts), pivots.score_bound(pivots.norms(x)[:, None], apart) >= least[:, None]
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Which groups have queries for which cells."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                cells_ = number[goes(row)[1].any(axis=0)]
+                yield pa.record_batch({"group": pa.array([row["pack"] % groups] * len(cells_), pa.int64()), "cell": pa.array(cells_, pa.int32())})
+
     def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A pack's queries to every block of the cells that may hold better rows."""
+        """A pack's queries to every block of the cells they go to."""
         for batch in batches:
             for row in batch.to_pylist():
-                ids, x, far = opened(row)
-                apart = np.maximum(low[None] - far[:, None], far[:, None] - high[None]).max(axis=2)
-                norm = (x.astype(float) ** 2).sum(axis=1)
-                scores, lasts = np.frombuffer(row["scores"]), np.frombuffer(row["lasts"], np.int64)
-                goes = pivots.score_bound(norm[:, None], apart) >= scores[:, None]
-                for c in np.flatnonzero(goes.any(axis=0)):
-                    q, cell = goes[:, c], int(number[c])
-                    some = [ids[q], x[q], far[q], scores[q], lasts[q]]
+                held, to = goes(row)
+                for c in np.flatnonzero(to.any(axis=0)):
+                    q, cell = to[:, c], int(number[c])
                     n = blocks[cell]
                     yield pa.record_batch(
                         {"group": pa.array([row["pack"] % groups] * n, pa.int64()), "cell": pa.array([cell] * n, pa.int32()), "block": pa.array(range(n), pa.int64())}
-                        | {c: pa.array([v.tobytes()] * n, pa.binary()) for c, v in zip(("ids", "xs", "fars", "scores", "lasts"), some, strict=True)}
+                        | {c: pa.array([v[q].tobytes()] * n, pa.binary()) for c, v in zip(("ids", "xs", "fars", "scores", "lasts"), held, strict=True)}
                     )
 
     def meet(block: pa.Table, packs_: pa.Table) -> pa.Table:
@@ -237,8 +279,8 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         if packs_.num_rows and block.num_rows:
             ids, x, far = block_of(block)
             for row in packs_.to_pylist():
-                for own, q, far_q, score, last in zip(*opened(row), np.frombuffer(row["scores"]), np.frombuffer(row["lasts"], np.int64), strict=True):
-                    got_ids, got = best(q, own, bounds_of(q, far_q, far), x, ids, k, (score, last))
+                for own, q, far_q, score, last in zip(*opened(row), np.frombuffer(row["scores"], np.int64), np.frombuffer(row["lasts"], np.int64), strict=True):
+                    got_ids, got = best(q, own, bounds_of(q, far_q, far), x, ids, k, (int(score), int(last)), products)
                     if len(got):
                         out.append((own, got_ids, got))
         return pa.table(
@@ -250,7 +292,11 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         )
 
     sent = looked.mapInArrow(travel, travels)
-    spread = indexed.select("id", "x", "far", "cell", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
+    spread = indexed.select("id", "x", "far", "cell", "block")
+    if groups == 1:
+        spread = spread.withColumn("group", F.lit(0).cast("long"))
+    else:
+        spread = spread.join(looked.mapInArrow(visit, "group long, cell int").distinct(), "cell")
     hits = spread.groupBy("group", "cell", "block").cogroup(sent.groupBy("group", "cell", "block")).applyInArrow(meet, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

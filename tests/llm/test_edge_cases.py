@@ -172,6 +172,28 @@ def test_pivot_search(spark):
     assert len(few) == 2
 
 
+@pytest.mark.parametrize("size", [3e6, 1e12, 1e120])
+def test_pivot_search_of_large_components(spark, size):
+    rng = np.random.default_rng(1)
+    rows = [(k, [float(x) for x in rng.normal(size=4) * size * 10.0 ** -(k % 4)]) for k in range(120)] + [(200, [size, 1.0, 0.0, 0.0]), (201, [1.0, 0.0, 0.0, 0.0]), (202, [1e306] * 4)]
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i != 202}
+    long = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+    want = {(i, rank, j, -s) for i in whole if i % 50 == 0 for rank, (s, j) in enumerate(sorted((-long(sum(a * b for a, b in zip(whole[i], x, strict=True))), j) for j, x in whole.items() if j != i)[:10], 1)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in pivot_search.search(df, F.col("id") % 50 == 0).collect()} == want
+    if size == 3e6:
+        assert 3145728000000 in {r.score for r in pivot_search.search(df, F.col("id") == 200, k=130).collect() if r.vec_id == 201}
+
+
+def test_pivot_search_in_several_groups(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=6) + 5 * (k % 3)]) for k in range(400)], "vec_id long, embedding array<double>")
+    want = sorted(pivot_search.search(df, F.col("id") % 2 == 0).collect())
+    for name, value in (("QUERIES_PER_GROUP", 30), ("QUERY_ROWS", 10), ("BLOCK_ROWS", 40)):
+        monkeypatch.setattr(pivot_search, name, value)
+    assert sorted(pivot_search.search(df, F.col("id") % 2 == 0).collect()) == want
+
+
 # ---- language model ----
 
 
