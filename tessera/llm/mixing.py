@@ -4,7 +4,8 @@ Slot ``i`` of the schedule gets the golden-ratio point ``frac(i * phi)``; the cu
 shares map it to a source, and the slot's rank among its source's slots is the number of the block
 it takes. A source's blocks are equal token runs of its documents in shuffled order (by a hash of
 the id), read round and round. So any stretch of the schedule is close to the target mix, and each
-source stops after exactly its rounded target.
+source stops after exactly its rounded target. A document's copies begin at slots of their own, which order
+the mix.
 
 Distribution: running sums and ranks go over (source, part) groups of a size that does not grow,
 then over one row per group, so a source with a third of all rows is spread over many tasks. Only
@@ -24,13 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import materialize, shuffle_width
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_TOKENS = 256
 CAP = 3
 CYCLE = (1, 2, 3)
 GROUP_ROWS = 4096
+#: slots whose documents are written together, of the mix in the order of its schedule
+SLOTS_PER_PARTITION = 1 << 16
 #: rows sent to all executors at most
 BROADCAST_ROWS = 1_000_000
 
@@ -117,45 +120,55 @@ class Mix:
         base = counts.select("k", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
         local = slots.withColumn("local", F.row_number().over(Window.partitionBy("k", "part").orderBy("slot")) - 1)
         ranked = local.join(base, ["k", "part"]).select("slot", "k", (F.col("base") + F.col("local")).alias("rank"))
-        got = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}
-        # the points miss a source's share by a few slots (their discrepancy grows with the logarithm): those follow at the end
-        tail, slot = [], needed
-        for k, *_, need in self._table:
-            for rank in range(got.get(k, 0), need):
-                tail.append((slot, k, rank))
-                slot += 1
         used = ranked.join(self._small(self.sources.select("k", "need")), "k").filter("rank < need").select("slot", "k", "rank")
-        return used.unionByName(self.spark.createDataFrame(tail, "slot long, k int, rank long"))
+        # the points miss a source's share by a few slots (their discrepancy grows with the logarithm): those follow at the end
+        got = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+        missed = np.array([max(t[6] - got.get(t[0], 0), 0) for t in self._table], np.int64)
+        late = [(int(at), t[0], t[6] - int(n), t[6]) for t, n, at in zip(self._table, missed, needed + np.cumsum(missed) - missed, strict=True) if n]
+        tail = self.spark.createDataFrame(late, "first long, k int, low long, need long").select("first", "k", "low", F.explode(F.sequence("low", F.col("need") - 1)).alias("rank"))
+        return used.unionByName(tail.select((F.col("first") + F.col("rank") - F.col("low")).alias("slot"), "k", "rank"))
+
+    @property
+    def slots(self) -> int:
+        """Slots needed; the few late ones are numbered from here."""
+        return sum(t[6] for t in self._table)
 
     def pieces(self, key: str = "doc_id", size: str = "size") -> DataFrame:
-        """The mix: rows (slot, k, at, key, start, length), one for each run of a document's words in a slot."""
+        """The mix: rows (slot, turn, k, at, key, start, length), one for each run of a document's words in a slot."""
         b = self.block
         spans = self.placed.filter(F.col(size) > 0).select(key, "k", "at", F.col(size).alias("n"), "source_size", "quota", "blocks", F.explode(F.sequence(F.floor(F.col("at") / b), F.floor((F.col("at") + F.col(size) - 1) / b))).alias("number"))
         slots = self.schedule().join(self._small(self.sources.filter("blocks > 0").select("k", F.col("blocks").alias("per_pass"))), "k").select("slot", "k", F.expr("rank % per_pass").alias("number"), F.expr("rank div per_pass").alias("turn"))
         joined = spans.join(slots, ["k", "number"])
         first = F.greatest(F.col("at"), F.col("number") * b)
         end = F.least(F.col("at") + F.col("n"), (F.col("number") + 1) * b, F.col("quota") - F.col("turn") * F.col("source_size"))
-        return joined.select("slot", "k", "at", key, (first - F.col("at")).alias("start"), (end - first).alias("length")).filter("length > 0")
+        return joined.select("slot", "turn", "k", "at", key, (first - F.col("at")).alias("start"), (end - first).alias("length")).filter("length > 0")
 
     def taken(self, key: str = "doc_id", size: str = "size") -> DataFrame:
-        """``placed`` with ``taken``, the words the mix takes of each document, repeats counted."""
-        sums = self.pieces(key, size).groupBy("k", "at").agg(F.sum("length").alias("taken"))
+        """``placed`` with ``taken``, the words the mix takes of each document, repeats counted, and ``slots``, where each copy begins."""
+        begins = F.when(F.col("start") == 0, F.struct("turn", "slot"))  # one a copy, so no more than the cap and one
+        sums = self.pieces(key, size).groupBy("k", "at").agg(F.sum("length").alias("taken"), F.transform(F.array_sort(F.collect_list(begins)), lambda x: x["slot"]).alias("slots"))
         held, empty = self.placed.filter(F.col(size) > 0), self.placed.filter(F.coalesce(F.col(size), F.lit(0)) == 0)
-        return held.join(sums, ["k", "at"], "left").withColumn("taken", F.coalesce("taken", F.lit(0))).unionByName(empty.withColumn("taken", F.lit(0).cast("long")))
+        none = F.array().cast("array<long>")
+        return held.join(sums, ["k", "at"], "left").withColumns({"taken": F.coalesce("taken", F.lit(0)), "slots": F.coalesce("slots", none)}).unionByName(empty.withColumns({"taken": F.lit(0).cast("long"), "slots": none}))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, with their own columns: as many whole copies of each as the mix takes, and the words of a last, partial one.
 
+    The rows are in the order of the schedule: partitions follow each other, and any stretch of them is close to the
+    target mix. Slots hold equal runs of words, so equal ranges of slots are partitions of about one size without
+    any sampling.
+
     The mix is made of a narrow table; what each document gives joins its row by id and a hash of the text,
     broadcast up to ``BROADCAST_ROWS`` rows and by shuffle beyond. Rows that are alike in both are told apart by
     a number, which only they are dealt out for.
     """
     mark = F.xxhash64("text", "source")
     narrow = sizes(docs.select("doc_id", "source", "text", mark.alias("__mark"))).drop("text")
-    mixed = Mix(materialize(narrow, "mixing"), keep=("__mark",)).taken()
+    mix = Mix(materialize(narrow, "mixing"), keep=("__mark",))
+    mixed = mix.taken()
     number = lambda *order: F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy(*order))
-    shares = materialize(mixed.withColumn("__number", number("k", "at")).select("doc_id", "__mark", "__number", F.col("size").alias("__size"), F.col("taken").alias("__taken")), "shares")
+    shares = materialize(mixed.withColumn("__number", number("k", "at")).select("doc_id", "__mark", "__number", F.col("size").alias("__size"), F.col("taken").alias("__taken"), F.col("slots").alias("__slots"), F.col("at").alias("__at")), "shares")
     again = shares.filter("__number = 2").select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"))
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
     marked = docs.withColumn("__mark", mark).join(small(again), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m")), "left")
@@ -165,9 +178,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__held")) & (F.col("__number") == F.col("__place"))
     rows = single.unionByName(several).join(given, same)
     rows = rows.withColumns({"__whole": F.expr("__taken div __size"), "__rest": F.expr("__taken % __size")})
-    rows = rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), (F.col("__whole") + F.when(F.col("__rest") > 0, 1).otherwise(0)).cast("int"))))
+    rows = rows.select("*", F.posexplode("__slots").alias("__copy", "__slot"))
+    parts = max(shuffle_width(docs.sparkSession), mix.slots // SLOTS_PER_PARTITION)
+    place = F.least(F.expr(f"__slot * {parts} div {max(mix.slots, 1)}"), F.lit(parts - 1)).cast("int")
+    rows = rows.repartitionById(parts, place).sortWithinPartitions("__slot", "__at")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.greatest(F.col("__rest"), F.lit(1)).cast("int")), "")
-    out = rows.withColumn("text", F.when(F.col("__copy") <= F.col("__whole"), F.col("text")).otherwise(cut)).select(docs.columns)
+    out = rows.withColumn("text", F.when(F.col("__copy") < F.col("__whole"), F.col("text")).otherwise(cut)).select(docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -185,10 +201,27 @@ level AS (
 goal AS (
   SELECT source, s, least(w * l, CAST(3 * s AS DOUBLE)) AS target, CAST(floor(least(w * l, CAST(3 * s AS DOUBLE)) + 0.5) AS BIGINT) AS quota FROM sources, level),
 placed AS (
-  SELECT d.doc_id, d.size, g.s, g.target, g.quota,
+  SELECT d.doc_id, d.size, d.source, g.s, g.target, g.quota,
     sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS pos
-  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, s AS source_size, target,
-  CAST(CASE WHEN size = 0 THEN 0 ELSE quota // s * size + greatest(0, least(size, quota % s - pos)) END AS BIGINT) AS taken
-FROM placed
-"""
+  FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS k, CASE WHEN s > 0 THEN quota // s * ((s + 255) // 256) + (quota % s + 255) // 256 ELSE 0 END AS need FROM goal),
+edged AS (
+  SELECT k, need, CAST(sum(need) OVER (ORDER BY k) AS DOUBLE) / greatest((SELECT sum(need) FROM numbered), 1) AS edge FROM numbered),
+points AS (
+  SELECT i AS slot, ((i >> 20) * CAST(HIGH AS DOUBLE) + (i & 1048575) * CAST(LOW AS DOUBLE)) % 1.0 AS p FROM range(CAST((SELECT sum(need) FROM numbered) AS BIGINT)) r(i)),
+sourced AS (
+  SELECT slot, least((SELECT count(*) FROM edged WHERE edge <= p) + 1, (SELECT max(k) FROM edged WHERE need > 0)) AS k FROM points),
+ranked_slots AS (
+  SELECT slot, k, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank FROM sourced),
+tails AS (
+  SELECT e.k, e.need, coalesce(g.n, 0) AS got, (SELECT sum(need) FROM numbered) + coalesce(sum(greatest(e.need - coalesce(g.n, 0), 0)) OVER (ORDER BY e.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
+  FROM edged e LEFT JOIN (SELECT k, count(*) AS n FROM sourced GROUP BY k) g ON e.k = g.k),
+result AS (
+  SELECT doc_id, size, placed.s AS source_size, placed.target, k, pos,
+    CAST(CASE WHEN size = 0 THEN 0 ELSE placed.quota // placed.s * size + greatest(0, least(size, placed.quota % placed.s - pos)) END AS BIGINT) AS taken
+  FROM placed JOIN numbered ON placed.source IS NOT DISTINCT FROM numbered.source)
+SELECT r.doc_id, r.size, r.source_size, r.target, r.taken,
+  CAST(CASE WHEN r.taken > 0 THEN coalesce(s.slot, t.base + pos // 256 - t.got) END AS BIGINT) AS first_slot
+FROM result r LEFT JOIN ranked_slots s ON s.k = r.k AND s.rank = r.pos // 256 JOIN tails t ON t.k = r.k
+""".replace("HIGH", repr(_HIGH)).replace("LOW", repr(_LOW))

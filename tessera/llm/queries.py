@@ -54,7 +54,7 @@ def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = mixing.sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
-    return mixing.Mix(materialize(sized, "mixing")).taken().select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.Mix(materialize(sized, "mixing")).taken().select("doc_id", "size", "source_size", "target", "taken", F.get("slots", F.lit(0)).alias("first_slot"))
 
 
 def op9_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -366,6 +366,24 @@ def test_schedule_follows_the_shares(spark):
         assert abs(sum(s.k == k for s in half) / len(half) - share) < 0.02
 
 
+def test_mix_is_in_the_order_of_the_schedule(spark):
+    rows = [(k, prose(60, k), None, "abc"[k % 3], None) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = [(r.source, len(r.text.split()), r.doc_id) for r in mixing.mix_documents(docs).collect()]
+    assert [x for x in mixed if x[0] == "a"] and sum(n for _, n, _ in mixed) == sum(r.taken for r in mixing.Mix(mixing.sizes(docs)).taken().collect())
+    for share in (0.25, 0.5, 1.0):
+        words = {s: sum(n for source, n, _ in mixed[: int(share * len(mixed))] if source == s) for s in "abc"}
+        for s, want in zip("abc", (1 / 6, 2 / 6, 3 / 6), strict=True):
+            assert words[s] / sum(words.values()) == pytest.approx(want, abs=0.01 / share)
+    slots = {r.doc_id: r.slots for r in mixing.Mix(mixing.sizes(docs)).taken().collect()}
+    copies = {}
+    for _, _, doc in mixed:
+        copies[doc] = copies.get(doc, 0) + 1
+    assert {d: len(s) for d, s in slots.items() if s} == copies
+    order = [slots[d][sum(x[2] == d for x in mixed[:at])] for at, (_, _, d) in enumerate(mixed)]
+    assert order == sorted(order)
+
+
 # ---- quality ----
 
 
