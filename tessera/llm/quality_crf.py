@@ -2,16 +2,22 @@
 
 Every line is labelled good or bad from its own features, those of the lines before and after it, and
 the transition between neighbours. Forward-backward gives each line's marginal probability of being
-good, and their mean weighted by line length is the document's quality. Labels exist for documents
-only, so in training each line carries its document's label.
+good, and their mean weighted by line length is the document's quality.
+
+Labels exist for documents only, so lines are learnt by expectation-maximisation. Lines of a good document are
+good. Those of a bad one are latent: their distribution is the field's own, tilted as little as makes the bad
+lines hold ``BAD_SHARE`` of the length at least. So that good and bad lines meet as neighbours, each document
+also appears with a short run of lines of one of the other class spliced in.
 
 Training takes at most ``PER_CLASS`` labelled documents of each class, those with the smallest hashes
-of their ids; only their line features reach the driver. Class weights restore the proportions of all
-training labels. Scoring is one pass over all texts without a shuffle.
+of their ids, and of each at most ``MOST_LINES`` lines in a row, from a place that its id's hash gives; only their
+features reach the driver. Class weights restore the proportions of all training labels. Scoring is one pass
+over all lines of all texts without a shuffle.
 
 Defined results: a null or empty text, or one of white space, is one empty line; blank lines carry no
-weight; repeated rows are scored alike, one result each; null labels and labels of unknown documents
-are not used; without labels of both classes every score is the share of good labels, or 0.5;
+weight; repeated rows are scored alike, one result each; null labels, labels of unknown documents and ids
+labelled both ways are not used; of several texts of an id that with the smallest hash is learnt from; without
+labels of both classes every score is the share of good labels, or 0.5;
 an empty table gives an empty result; result columns replace input columns of the same name.
 """
 
@@ -31,6 +37,14 @@ from .words import batches, mix, shingles, split_buffers, split_words, text_buff
 
 #: labelled documents of each class that training takes at most
 PER_CLASS = 2500
+#: lines of each of them that training takes at most
+MOST_LINES = 64
+#: share of a bad document's length that bad lines hold at least, in expectation
+BAD_SHARE = 0.9
+#: lines of the other class that are spliced into a document at most
+SPLICED = 3
+#: gradient steps before the first expectation step, and between those
+FIRST_ROUNDS, ROUNDS = 80, 30
 BATCH_BYTES = 2 << 20
 CLASSES = (SYMBOLS, UPPER, b"!", b"0123456789", b".,;:", bytes(range(0x80, 0x100)))
 N_FEATURES = 16
@@ -161,22 +175,71 @@ class Field:
         return np.clip(np.bincount(owner, weights=weights * good, minlength=len(per_doc)) / total, 0, 1)
 
 
-def train(found: np.ndarray, per_doc: np.ndarray, labels: np.ndarray, doc_weights: np.ndarray, rounds: int = 200, penalty: float = 1.0, rate: float = 0.1) -> Field:
-    """Maximum of the penalised conditional likelihood, by adaptive gradient steps."""
+def spliced(docs: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of training documents (features, weights, label), each as it is and with a run of another class's lines inside.
+
+    (features, weights, lines per document, labels, stretches of one origin, numbers of the documents).
+    """
+    by_class = [[d for d in docs if d[2] == y] for y in (0, 1)]
+    parts, per_doc, number = [], [], []
+    for k, (found, weights, y) in enumerate(docs):
+        parts.append((found, weights, y))
+        per_doc.append(len(found))
+        number.append(k)
+        others = by_class[1 - y]
+        if others:
+            other, other_weights, _ = others[k % len(others)]
+            run = min(1 + k % SPLICED, len(other))
+            at, start = 7 * k % (len(found) + 1), 5 * k % (len(other) - run + 1)
+            parts += [(found[:at], weights[:at], y), (other[start : start + run], other_weights[start : start + run], 1 - y), (found[at:], weights[at:], y)]
+            per_doc.append(len(found) + run)
+            number.append(k)
+    sizes = [len(p[0]) for p in parts]
+    labels, stretches = np.repeat([p[2] for p in parts], sizes), np.repeat(np.arange(len(parts)), sizes)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.array(per_doc), labels, stretches, np.array(number)
+
+
+def latent(score: np.ndarray, transition: np.ndarray, per_doc: np.ndarray, labels: np.ndarray, stretches: np.ndarray, weights: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals and pairs of the lines: known good ones as they are, the others after the field with the least tilt, stretch by stretch, that makes their bad share large enough."""
+    n = int(stretches.max()) + 1
+    bad = labels == 0
+    low, high = np.zeros(n), np.full(n, 64.0)
+    total = np.maximum(np.bincount(stretches, weights=weights, minlength=n), 1e-12)
+    for step in range(rounds + 1):
+        tilt = high if step == rounds else low if step == 0 else (low + high) / 2
+        unary = np.stack([np.zeros_like(score), np.where(bad, score - tilt[stretches], score + 64.0)], axis=1)
+        marginal, pair, _ = forward_backward(unary, transition, per_doc)
+        enough = np.bincount(stretches, weights=weights * marginal[:, 0], minlength=n) / total >= BAD_SHARE
+        if step == 0:
+            high = np.where(enough, 0.0, high)
+        else:
+            low, high = np.where(enough, low, tilt), np.where(enough, tilt, high)
+    return marginal[:, 1], pair
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray, int]], doc_weights: np.ndarray, expectations: int = 5, penalty: float = 1.0, rate: float = 0.1) -> Field:
+    """Maximum of the penalised likelihood over latent labels, by adaptive gradient steps between expectation steps.
+
+    docs: line features, line weights and label of each. The first steps take every line's label from its document.
+    """
+    found, weights, per_doc, labels, stretches, number = spliced(docs)
     x = with_neighbours(found, per_doc)
-    y = np.repeat(labels, per_doc).astype(int)
-    w = np.repeat(doc_weights, per_doc)
-    inner = np.ones(len(y), bool)
+    w = np.repeat(doc_weights[number], per_doc)
+    inner = np.ones(len(x), bool)
     inner[np.cumsum(per_doc) - per_doc] = False
     at = np.flatnonzero(inner)
+    good = labels.astype(float)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[at - 1], y[at]), w[at])
+    np.add.at(seen, (labels[at - 1], labels[at]), w[at])
     theta = np.zeros(x.shape[1] + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, rounds + 1):
-        score = x @ theta[:-4]
-        marginal, pair, _ = forward_backward(np.stack([np.zeros_like(score), score], axis=1), theta[-4:].reshape(2, 2), per_doc)
-        grad = np.concatenate([x.T @ (w * (y - marginal[:, 1])), (seen - np.tensordot(w[at], pair[at], axes=1)).ravel()])
+    for step in range(1, FIRST_ROUNDS + expectations * ROUNDS + 1):
+        score, move = x @ theta[:-4], theta[-4:].reshape(2, 2)
+        if step > FIRST_ROUNDS and not (step - FIRST_ROUNDS - 1) % ROUNDS:
+            good, pair = latent(score, move, per_doc, labels, stretches, weights)
+            seen = np.tensordot(w[at], pair[at], axes=1)
+        marginal, pair, _ = forward_backward(np.stack([np.zeros_like(score), score], axis=1), move, per_doc)
+        grad = np.concatenate([x.T @ (w * (good - marginal[:, 1])), (seen - np.tensordot(w[at], pair[at], axes=1)).ravel()])
         grad = (grad - penalty * theta) / w.sum()
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         theta += rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -193,30 +256,31 @@ def is_held_out(key: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = PER_CLASS) -> Field:
     """Train on at most ``per_class`` labelled rows of each class that are not held out."""
-    usable = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)).filter(~is_held_out("id"))
+    one = labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)).filter(~is_held_out("id"))
+    usable = one.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
     totals = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Field(np.zeros(0), np.zeros((2, 2)), float(next(iter(totals), 0.5)))
     order = [F.xxhash64("id"), F.col("id")]
-    sample = usable.filter("y = 0").orderBy(*order).limit(per_class).unionByName(usable.filter("y = 1").orderBy(*order).limit(per_class)).dropDuplicates(["id"])
+    sample = usable.filter("y = 0").orderBy(*order).limit(per_class).unionByName(usable.filter("y = 1").orderBy(*order).limit(per_class))
     chosen = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "y", "text")
 
     def lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows, BATCH_BYTES, "text"):
-            found, _, per_doc = line_features(batch.column("text"))
-            cells = pa.array(found.astype(np.float32).ravel())
-            cuts = pa.array(np.concatenate([[0], np.cumsum(per_doc) * N_FEATURES]), pa.int32())
-            yield pa.record_batch({"id": batch.column("id").cast(pa.int64()), "y": batch.column("y"), "found": pa.ListArray.from_arrays(cuts, cells)})
-
-    rows = chosen.withColumn("id", F.xxhash64("id")).mapInArrow(lines, "id long, y int, found array<float>").toPandas().sort_values("id", kind="stable").drop_duplicates("id")
+            found, weights, per_doc = line_features(batch.column("text"))
+            ids, starts = batch.column("id").to_numpy(), np.cumsum(per_doc) - per_doc
+            spans = [(s + int(i % max(n - MOST_LINES + 1, 1)), min(n, MOST_LINES)) for i, s, n in zip(ids, starts, per_doc, strict=True)]
+            of = lambda v, s, n: v[s : s + n].astype(np.float32).tobytes()
+            yield pa.record_batch({"id": batch.column("id"), "hash": batch.column("hash"), "y": batch.column("y"), "found": pa.array([of(found, *s) for s in spans], pa.binary()), "weights": pa.array([of(weights, *s) for s in spans], pa.binary())})
+
+    made = chosen.select(F.xxhash64("id").alias("id"), F.xxhash64("text").alias("hash"), "y", "text").mapInArrow(lines, "id long, hash long, y int, found binary, weights binary")
+    rows = made.toPandas().sort_values(["id", "hash"], kind="stable").drop_duplicates("id")
     counts = rows["y"].value_counts()
     if len(counts) < 2:
         return Field(np.zeros(0), np.zeros((2, 2)), float(totals.get(1, 0)) / sum(totals.values()))
-    weight = {y: totals[y] / counts[y] for y in (0, 1)}
-    per_doc = np.array([len(f) // N_FEATURES for f in rows["found"]])
-    found = np.concatenate(list(rows["found"])).astype(float).reshape(-1, N_FEATURES)
-    weights = rows["y"].map(weight).to_numpy(float)
-    return train(found, per_doc, rows["y"].to_numpy(), weights / weights.mean() / np.sqrt(per_doc))
+    weight = rows["y"].map({y: totals[y] / counts[y] for y in (0, 1)}).to_numpy(float)
+    part = [(np.frombuffer(f, np.float32).astype(float).reshape(-1, N_FEATURES), np.frombuffer(w, np.float32).astype(float), int(y)) for f, w, y in zip(rows["found"], rows["weights"], rows["y"], strict=True)]
+    return train(part, weight / weight.mean() / np.sqrt([len(f) for f, _, _ in part]))
 
 
 def score(docs: DataFrame, field: Field, text: str = "text", keep: list[str] | None = None) -> DataFrame:

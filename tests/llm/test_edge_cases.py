@@ -398,6 +398,43 @@ def test_classifier_odd_rows(spark, odd, none):
         assert quality_crf.score(odd, quality_crf.fit(odd, few)).count() == 12
 
 
+def test_a_junk_line_amid_good_ones(spark):
+    """Learnt from documents that are good or bad as wholes, the field tells lines apart within one."""
+    rng = random.Random(11)
+    junk = lambda: " ".join(rng.choice(["BUY", "NOW!!!", "$$$", "###", "CLICK", "@@@", "FREE!!!"]) for _ in range(rng.randint(6, 14)))
+    line = lambda k: prose(rng.randint(8, 14), k)
+    rows = [(k, "\n".join(line(100 * k + j) if k % 2 else junk() for j in range(rng.randint(4, 12)))) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    field = quality_crf.fit(docs, spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int"))
+    mixed = [line(9000 + j) for j in range(5)] + [junk()] + [line(9100 + j) for j in range(5)]
+    found, _, per_doc = quality_crf.line_features(pa.array(["\n".join(mixed)]))
+    good = field.marginals(found, per_doc)
+    assert good[5] < 0.5 and np.delete(good, 5).min() > 0.5
+    assert field.quality(pa.array(["\n".join(mixed), "\n".join(line(9200 + j) for j in range(9)), "\n".join(junk() for _ in range(9))])).round() .tolist() == [1, 1, 0]
+    again = quality_crf.fit(docs.repartition(7), spark.createDataFrame([(k, k % 2) for k in reversed(range(200))], "doc_id long, quality int"))
+    assert np.allclose(again.weights, field.weights) and np.allclose(again.transition, field.transition)
+
+
+def test_latent_lines_keep_their_share():
+    rng = np.random.default_rng(5)
+    per_doc = np.array([6, 9, 4])
+    labels, stretches = np.repeat([0, 1, 0], per_doc), np.repeat([0, 1, 2], per_doc)
+    weights, score = rng.uniform(1, 5, 19), rng.normal(size=19) + 2
+    good, pair = quality_crf.latent(score, np.array([[0.5, -0.5], [-0.5, 0.5]]), per_doc, labels, stretches, weights)
+    assert (good[labels == 1] > 1 - 1e-9).all() and pair.shape == (19, 2, 2)
+    for s in (0, 2):
+        at = stretches == s
+        share = (weights * (1 - good))[at].sum() / weights[at].sum()
+        assert share == pytest.approx(quality_crf.BAD_SHARE, abs=0.01)
+    assert quality_crf.latent(score - 9, np.zeros((2, 2)), per_doc, labels, stretches, weights)[0][labels == 0].max() < 0.1
+
+
+def test_ids_labelled_both_ways_are_not_used(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (7, 1), (9, 0), (2, 0), (2, 1)], "doc_id long, quality int")
+    a, b = (quality_crf.fit(odd, x) for x in (labels, labels.filter("doc_id <> 2")))
+    assert np.allclose(a.weights, b.weights)
+
+
 def test_forward_backward_against_enumeration():
     import itertools
 
