@@ -26,10 +26,9 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = [(entry, True) for entry in url_filter.RULES] + [(entry, False) for entry in url_filter.LISTED]
-    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict"), F.lit(is_rule).alias("is_rule")) for (h, p, v), is_rule in listed]
-    entries = spark.range(1).select(F.inline(F.array(*rows)))
-    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), entries).drop("url")
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, rules, materialize(url_filter.campaign_links(pages), "listed")).drop("url")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,16 +84,39 @@ def test_chat_rows_by_turn(spark):
 # ---- URL filter ----
 
 
+ENTRIES = "host string, path string, verdict string"
+
+
 def test_url_filter(spark):
-    entries = spark.createDataFrame([("net", "/", "block", True), ("example.net", "/en/", "allow", True), ("bad.org", "/x", "block", False)], "host string, path string, verdict string, is_rule boolean")
-    urls = [None, "", "no scheme", "http://", "HTTP://A.NET/q?x", "http://b.example.net/en/1#t", "http://xexample.net/en/", "http://net", "http://net/", "https://s.bad.org/xyz", "https://bad.org/", "http://u:1@h.net/a://b", "http://net/", "ftp://" + "a." * 500 + "net/" + "p" * 5000]
+    rules = spark.createDataFrame([("net", "/", "block"), ("example.net", "/en/", "allow"), ("", "/q", "block"), (None, "/", "block")], ENTRIES)
+    listed = spark.createDataFrame([("s.bad.org", "/xyz", "block"), ("bad.org", None, "block"), ("bad.org", "", "block"), ("a.net", "/q", "allow")], ENTRIES)
+    urls = [None, "", "no scheme", "http://", "HTTP://A.NET/q?x", "http://b.example.net/en/1#t", "http://xexample.net/en/", "http://net", "http://net/", "https://s.bad.org/xyz", "https://bad.org/", "http://u:1@h.net/a://b", "http://net/", "ftp://" + "a." * 500 + "net/" + "p" * 5000, "https://bad.org?q", "http://t.s.bad.org/xyz"]
     df = spark.createDataFrame([(k, u, "r", "v") for k, u in enumerate(urls)], "page_id long, url string, rule string, by_rule string")
-    out = sorted(url_filter.judge(df, entries).collect())
-    assert [r.rule for r in out] == [None, None, None, None, "net/", "example.net/en/", "net/", None, "net/", None, None, "net/", "net/", "net/"]
-    assert [r.verdict for r in out] == ["allow"] * 4 + ["block", "allow", "block", "allow", "block", "block", "allow", "block", "block", "block"]
-    assert (out[4].host, out[4].path) == ("a.net", "/q") and (out[0].host, out[0].path) == ("", "")
-    assert url_filter.judge(df.limit(0), entries).count() == 0
-    assert {r.verdict for r in url_filter.judge(df, entries.limit(0)).collect()} == {"allow"}
+    out = sorted(url_filter.judge(df, rules, listed).collect())
+    assert [r.rule for r in out] == [None, None, None, None, "net/", "example.net/en/", "net/", None, "net/", None, None, "net/", "net/", "net/", None, None]
+    assert [r.verdict for r in out] == ["allow"] * 4 + ["block", "allow", "block", "allow", "block", "block", "allow", "block", "block", "block", "block", "allow"]
+    assert [k for k, r in enumerate(out) if r.listed] == [4, 9, 14] and (out[4].host, out[4].path) == ("a.net", "/q") and (out[0].host, out[0].path) == ("", "")
+    assert url_filter.judge(df.limit(0), rules, listed).count() == 0
+    assert {r.verdict for r in url_filter.judge(df, rules.limit(0), listed.limit(0)).collect()} == {"allow"}
+    assert {r.rule for r in url_filter.judge(df, rules.limit(0), listed).collect()} == {None}
+
+
+def test_url_filter_with_a_long_list_of_many_lengths(spark):
+    rng = random.Random(4)
+    hosts = [f"h{k}.example.org" for k in range(40)]
+    word = lambda n: "".join(rng.choices("abc", k=n))
+    rules = {(rng.choice(hosts), "/" + word(rng.randint(0, 300)) * (rng.random() < 0.9), rng.choice(["allow", "block"])) for _ in range(20_000)}
+    long = [r for r in rules if r[1]]
+    urls = [f"http://www.{rng.choice(long)[0]}{rng.choice(long)[1]}x" for _ in range(2500)] + [f"http://{h}{path}tail?q" for h, path, _ in rng.sample(long, 2500)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    empty = spark.createDataFrame([], ENTRIES)
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(df, spark.createDataFrame(sorted(rules), ENTRIES), empty).collect()}
+    for k in rng.sample(range(5000), 150):
+        rest = urls[k].partition("://")[2].partition("?")[0]
+        host, slash, tail = rest.partition("/")
+        fits = [(len(h + path), v == "allow", h + path, v) for h, path, v in rules if (host == h or host.endswith("." + h)) and (slash + tail).startswith(path)]
+        best = max(fits, default=None, key=lambda x: x[:2])
+        assert out[k] == ((best[2], best[3]) if best else (None, "allow"))
 
 
 def test_bloom_filter_has_no_false_negatives(spark):
