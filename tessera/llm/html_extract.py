@@ -1,24 +1,27 @@
 """HTML extraction by a maximum-scoring subsequence of words and tags.
 
 A page becomes its sequence of words and tags. A word scores by the elements around it: the sum of
-weights of their tag names and of the words of their class and id, learnt from labelled pages so that
-words of articles score positive; every tag scores negative, with a weight learnt likewise. One linear
+weights of their tag names, of the words of their class and id and of the kinds of part these name, learnt from
+labelled pages so that words of articles score positive; every tag scores negative, with a weight learnt likewise.
+An element that holds the page's main heading (or is its body) and half of its words or more is no part beside the
+article, whatever its class says of the page's layout: only names of main text count there. One linear
 scan finds the contiguous region with the largest sum. Runs of words inside it that score negative
 themselves (an advert or a form within the article) are left out.
 
 The labelled pages are made by ``labelled_pages``: layouts of articles, menus, adverts, comments and so
 on, with the part of every text known. Weights are fitted once a process; pages are read in one pass
-without a shuffle.
+without a shuffle. Time and memory of a page are linear in its length, however deep its elements nest.
 
 Defined results: a null or empty page gives the empty text; a page without a positive word gives the
-empty text; an unclosed comment, script or style runs to the end of the page; a ``<`` that starts no tag
-is text; repeated rows are extracted alike, one result each; an empty table gives an empty result; other
+empty text; an unclosed comment, script or style runs to the end of the page; a head, button, select or drawing
+that isn't closed ends where an element starts that can't be in it; a ``<`` that starts no tag is text; repeated rows are extracted alike, one result each; an empty table gives an empty result; other
 columns pass through, and result columns replace input columns of the same name.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,10 +42,12 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i img in
 #: their content is never text of the page
 SKIPPED = frozenset("script style noscript template title svg math canvas iframe object select textarea button head".split())
 #: any other element, and words, end an open head
+#: elements that can't be in these end them
+CLOSED_BY_BLOCKS = ("button", "select", "svg", "math")
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "template", "iframe")
 CLOSES_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "button": ("button",)}
 BARRIERS = frozenset("ul ol dl table tr tbody".split())
 
 # fixed values: words that sites commonly use in class and id names of each kind of part
@@ -67,81 +72,137 @@ _WORD = re.compile(r"[a-z]+")
 
 
 @lru_cache(maxsize=65536)
-def _features(name: str, attr: str) -> tuple[str, ...]:
-    """A tag's name and the words of its class, id and role."""
+def _features(attr: str) -> tuple[str, ...]:
+    """The words of an element's class, id and role, and the kinds of part that they name."""
     named = [m.group(1) or m.group(2) or m.group(3) or "" for m in _NAMED.finditer(attr)] if attr else []
     words = {w for x in named for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())}
-    own = "~main" if name in ("article", "main") else f"<{name}>"
-    return (own, *sorted({f for w in words for f in _KINDS.get(w, (f".{w}",))}))
-
-
-ROOT = ("<>",)
+    return tuple(sorted({f for w in words for f in (f".{w}", *_KINDS.get(w, ()))}))
 
 
 class Run:
-    """Words between tags, with the features around them."""
-
-    __slots__ = ("around", "block", "tags_before", "text")
-
-    def __init__(self, text: str, around: tuple[str, ...], block: int, tags_before: int):
-        self.text, self.around, self.block, self.tags_before = text, around, block, tags_before
-
-
-def runs(page: str) -> list[Run]:
-    """The page's runs of text in order; runs of one block share its number."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    out: list[Run] = []
-    block, tags = 0, 0
-
-    def close(name: str, within: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return
-            if stack[k][0] in within:
-                return
-
-    for m in _TOKEN.finditer(page):
-        text = m.group("text")
-        if text is not None:
-            if stack and stack[-1][0] == "head" and text.strip():
-                close("head")
-            if not any(s[0] in SKIPPED for s in stack):
-                out.append(Run(text, stack[-1][1] if stack else ROOT, block, tags))
-                tags = 0
-            continue
-        name = m.group("name")
-        if name is None:
-            block += m.group("raw") is not None and m.group("raw").lower() not in ("noscript",)
-            continue
-        name = name.lower()
-        tags += 1
-        if name not in IN_HEAD and not m.group("end"):
-            close("head")
-        if name == "br":
-            out.append(Run(" ", stack[-1][1] if stack else ROOT, block, 0))
-            continue
-        if name not in INLINE:
-            block += 1
-        if m.group("end"):
-            close(name)
-            continue
-        if name in CLOSES_PARAGRAPH:
-            close("p", BARRIERS)
-        for sibling in SIBLINGS.get(name, ()):
-            close(sibling, BARRIERS - {name, "tr"} if name in ("td", "th", "tr") else BARRIERS)
-        if name in VOID or m.group("attr").endswith("/") and name in ("path", "use"):
-            continue
-        above = stack[-1][1] if stack else ROOT
-        if name == "a":  # a link in running text differs from one in a list or on its own
-            holder = next((n for n, _ in reversed(stack) if n not in INLINE), "")
-            around = (*above, f"<a>@{holder}", *_features(name, m.group("attr"))[1:])
-        elif name == "header" and "~main" in above:  # an article's own heading, not the site's
-            around = (*above, "<header>@main", *_features(name, m.group("attr"))[1:])
-        else:
-            around = above + _features(name, m.group("attr"))
-        stack.append((name, around))
-    return out
+    """Words between tags: their element and block, and the tags since the run before."""
+
+    __slots__ = ("block", "element", "tags_before", "text", "words")
+
+    def __init__(self, text: str, element: int, block: int, tags_before: int):
+        self.text, self.element, self.block, self.tags_before = html.unescape(text), element, block, tags_before
+        self.words = len(self.text.split())
+
+
+class Page:
+    """A page's elements in order of their starts (the first is the page itself), and its runs of text."""
+
+    def __init__(self, page: str):
+        self.names, self.attrs, self.parents, self.holders = [""], [""], [-1], [""]
+        self.runs: list[Run] = []
+        self._open = [0]
+        self._places: dict[str, list[int]] = {}
+        self._skipped = 0
+        self._read(page)
+
+    def _close(self, name: str, within: frozenset[str] = frozenset()) -> None:
+        """End the innermost open element of a name and all inside it, unless one of ``within`` is between."""
+        places = self._places.get(name)
+        if not places or any(self._places.get(other, [0])[-1:] > places[-1:] for other in within):
+            return
+        at = places[-1]
+        while len(self._open) > at:
+            ended = self.names[self._open.pop()]
+            self._places[ended].pop()
+            self._skipped -= ended in SKIPPED
+
+    def _start(self, name: str, attr: str) -> None:
+        above = self._open[-1]
+        self._places.setdefault(name, []).append(len(self._open))
+        self._open.append(len(self.names))
+        self._skipped += name in SKIPPED
+        self.names.append(name)
+        self.attrs.append(attr)
+        self.parents.append(above)
+        self.holders.append(self.holders[above] if name in INLINE else name)
+
+    def _read(self, page: str) -> None:
+        block, tags = 0, 0
+        for m in _TOKEN.finditer(page):
+            text = m.group("text")
+            if text is not None:
+                if self._skipped and self.names[self._open[-1]] == "head" and text.strip():
+                    self._close("head")
+                if not self._skipped:
+                    self.runs.append(Run(text, self._open[-1], block, tags))
+                    tags = 0
+                continue
+            name = m.group("name")
+            if name is None:
+                block += m.group("raw") is not None and m.group("raw").lower() not in ("noscript",)
+                continue
+            name = name.lower()
+            tags += 1
+            if name not in IN_HEAD and not m.group("end"):
+                self._close("head")
+            if name == "br":
+                self.runs.append(Run(" ", self._open[-1], block, 0))
+                continue
+            if name not in INLINE:
+                block += 1
+            if m.group("end"):
+                self._close(name)
+                continue
+            if name in CLOSES_PARAGRAPH:
+                self._close("p", BARRIERS)
+                if self._skipped:
+                    for closed in CLOSED_BY_BLOCKS:
+                        self._close(closed)
+            for sibling in SIBLINGS.get(name, ()):
+                self._close(sibling, BARRIERS - {name, "tr"} if name in ("td", "th", "tr") else BARRIERS)
+            if not (name in VOID or m.group("attr").endswith("/") and name in ("path", "use")):
+                self._start(name, m.group("attr"))
+
+    def wrappers(self) -> list[bool]:
+        """Which elements are the page's body or hold its heading and half of its words or more."""
+        words, heading = [0] * len(self.names), [n in ("h1", "main") for n in self.names]
+        for run in self.runs:
+            words[run.element] += run.words
+        for k in range(len(words) - 1, 0, -1):
+            words[self.parents[k]] += words[k]
+            heading[self.parents[k]] |= heading[k]
+        return [n in ("", "html", "body") or (h and 2 * w >= words[0]) for n, h, w in zip(self.names, heading, words, strict=True)]
+
+    def walk(self) -> Iterator[tuple[int, tuple[str, ...]]]:
+        """Elements in order with the features that each adds to those of the elements around it."""
+        wraps = self.wrappers()
+        added: list[tuple[str, ...]] = []
+        active: set[str] = set()
+        path: list[int] = []
+        for k, (name, attr) in enumerate(zip(self.names, self.attrs, strict=True)):
+            while path and path[-1] != self.parents[k]:
+                active.difference_update(added[path.pop()])
+            if name == "a":  # a link in running text differs from one in a list or on its own
+                tag = f"<a>@{self.holders[self.parents[k]]}"
+            elif name == "header" and "~main" in active:  # an article's own heading, not the site's
+                tag = "<header>@main"
+            else:
+                tag = "~main" if name in ("article", "main") else f"<{name}>"
+            words = _features(attr)
+            own = {tag, *(f for f in words if f == "~main")} if wraps[k] else {tag, *words}
+            added.append(tuple(own - active))
+            active.update(added[k])
+            path.append(k)
+            yield k, added[k]
+
+    def features(self) -> list[frozenset[str]]:
+        """All features around the text of each element; for pages that don't nest deep."""
+        out: list[frozenset[str]] = []
+        for k, own in self.walk():
+            out.append(frozenset(own) | (out[self.parents[k]] if k else frozenset()))
+        return out
+
+    def totals(self, weights: dict[str, float]) -> list[float]:
+        """Sums of the weights of the features around the text of each element."""
+        out: list[float] = []
+        for k, own in self.walk():
+            out.append((out[self.parents[k]] if k else 0.0) + sum(weights.get(f, 0.0) for f in own))
+        return out
 
 
 # ---- labelled pages ------------------------------------------------------------------------------
@@ -212,47 +273,42 @@ class Weights:
 
     def __init__(self, bias: float, by_feature: dict[str, float], tag: float):
         self.bias, self.by_feature, self.tag = bias, by_feature, tag
-        self._known: dict[tuple[str, ...], float] = {}
 
-    def word(self, around: tuple[str, ...]) -> float:
-        """Score of a word: bounded, and positive where main text is likelier than not; foreign words count less, as they are left out anyway."""
-        score = self._known.get(around)
-        if score is None:
-            total = self.bias + sum(self.by_feature.get(f, 0.0) for f in set(around))
-            score = float(np.tanh(total / 2)) * (1 if total > 0 else FOREIGN)
-            if len(self._known) < 100_000:
-                self._known[around] = score
-        return score
+    def words(self, page: Page) -> list[float]:
+        """Score of a word of each run: bounded, and positive where main text is likelier than not; foreign words count less, as they are left out anyway."""
+        scores = [math.tanh((self.bias + total) / 2) for total in page.totals(self.by_feature)]
+        return [s if s > 0 else FOREIGN * s for s in (scores[run.element] for run in page.runs)]
 
 
 @lru_cache(maxsize=4)
 def learn(n: int = 400, seed: int = 7, rounds: int = 400, penalty: float = 1e-4) -> Weights:
     """Logistic regression of "main text" on the features around each run, and the tag weight that their densities give."""
-    rows: dict[tuple[tuple[str, ...], bool], float] = {}
+    rows: dict[tuple[frozenset[str], bool], float] = {}
     tags_in = tags_out = words_in = words_out = 0.0
     for page in labelled_pages(n, seed):
         bounds = np.cumsum([len(fragment) for fragment, _ in page])
         marks = [main for _, main in page]
         whole = "".join(fragment for fragment, _ in page)
         at = 0
-        for run in runs(whole):
-            if not run.text.strip():
+        read = Page(whole)
+        around = read.features()
+        for run in read.runs:
+            if not run.words:
                 continue
             at = whole.index(run.text, at)
             main = marks[int(np.searchsorted(bounds, at, side="right"))]
             at += len(run.text)
-            count = len(run.text.split())
-            key = (tuple(sorted(set(run.around))), main)
+            count, key = run.words, (around[run.element], main)
             rows[key] = rows.get(key, 0.0) + np.sqrt(count)
             if main:
                 words_in, tags_in = words_in + count, tags_in + run.tags_before
             else:
                 words_out, tags_out = words_out + count, tags_out + run.tags_before
-    names = sorted({f for around, _ in rows for f in around})
+    names = sorted({f for held, _ in rows for f in held})
     place = {f: k for k, f in enumerate(names)}
     x = np.zeros((len(rows), len(names) + 1))
-    for k, (around, _) in enumerate(rows):
-        x[k, [place[f] for f in around]] = 1
+    for k, (held, _) in enumerate(rows):
+        x[k, [place[f] for f in held]] = 1
     x[:, -1] = 1
     y = np.array([main for _, main in rows], float)
     w = np.array(list(rows.values()))
@@ -286,14 +342,14 @@ def extract(page: str | None, weights: Weights) -> str:
     """The main text of a page: its blocks in order, two line breaks between."""
     if not page:
         return ""
-    found = runs(page)
-    words = [weights.word(r.around) for r in found]
-    lo, hi = region([w * len(r.text.split()) + weights.tag * r.tags_before for r, w in zip(found, words, strict=True)])
+    read = Page(page)
+    words = weights.words(read)
+    lo, hi = region([score for run, word in zip(read.runs, words, strict=True) for score in (weights.tag * run.tags_before, word * run.words)])
     blocks: dict[int, list[str]] = {}
-    for run, word in zip(found[lo:hi], words[lo:hi], strict=True):
+    for run, word in zip(read.runs[lo // 2 : hi // 2], words[lo // 2 : hi // 2], strict=True):
         if word > 0:
             blocks.setdefault(run.block, []).append(run.text)
-    texts = (" ".join(html.unescape("".join(parts)).split()) for parts in blocks.values())
+    texts = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(t for t in texts if t)
 
 

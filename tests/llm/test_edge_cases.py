@@ -328,6 +328,42 @@ def test_html_head_without_end_tag():
     assert html_extract.extract("<head><title>x</title>plain words of a page without tags", weights) == "plain words of a page without tags"
 
 
+ARTICLE = "<h1>T</h1><p>One two three four five six seven.</p><p>And eight nine ten eleven twelve.</p>"
+ARTICLE_TEXT = "T\n\nOne two three four five six seven.\n\nAnd eight nine ten eleven twelve."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='page-template single post-template comment-open sidebar-right has-header-image'>{}<div class='comments'><p>reader talks here</p></div></body>",
+        "<body class='archive no-sidebar'><div id='page' class='hfeed site sidebar-left'><div class='content-area'>{}</div><div class='sidebar'><p>other things to read</p></div></div></body>",
+        "<article class='share-more'>{}</article><footer>(c) some one</footer>",
+        "<main class='has-newsletter-popup'>{}</main><div class='cookie-notice'><p>we use cookies</p></div>",
+        "<button class=menu>Menu<article>{}</article>",
+        "<nav><button>Menu</nav><article>{}</article>",
+        "<select><option>a<option>b<article>{}</article>",
+        "<svg><path d='x'/><article>{}</article>",
+        "<html><head><title>x</title><body><ul class=nav><li><a href=x>home</a><li><a href=y>about</a></ul><article>{}",
+    ],
+)
+def test_html_of_real_sites(page):
+    assert html_extract.extract(page.format(ARTICLE), html_extract.learn()) == ARTICLE_TEXT
+
+
+def test_html_references_end_with_their_run():
+    assert html_extract.extract("<article><p>one &am<b>p;</b> two &lt;b&gt; three four five</p></article>", html_extract.learn()) == "one &amp; two <b> three four five"
+
+
+def test_html_deep_nesting_is_linear():
+    import time
+
+    weights, began = html_extract.learn(), time.perf_counter()
+    for opened in ("<div class='x'>", "<b>", "<p><table><tr><td>", "<ul><li>", "<p>a<div>", "<span><a href=x>"):
+        page = opened * 50_000 + "<article><p>" + "main words here " * 10 + "</p></article>" + "</div>" * 50_000
+        assert "main words here" in html_extract.extract(page, weights)
+    assert time.perf_counter() - began < 60
+
+
 def test_html_on_labelled_pages_not_learnt_from():
     import re
 
