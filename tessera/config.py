@@ -1,15 +1,17 @@
-"""Configuration in JSON: camel-case keys, unknown ones ignored, checked before any work (S1)."""
+"""Configuration in JSON: camel-case keys, a warning for unknown ones, checked before any work (S1)."""
 
 from __future__ import annotations
 
 import json
 import re
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import MISSING, dataclass, field, fields, replace
 from typing import Any
 
 from pyspark.sql import SparkSession
 
+from .functions.text import STOPWORDS
 from .operators.selection import Settings
 
 
@@ -22,11 +24,14 @@ def _snake(key: str) -> str:
 
 
 def build(kind: type, data: Mapping[str, Any]):
-    """A settings object of given keys; keys it does not know are ignored, required ones must be there."""
+    """A settings object of given keys; keys it does not know are left out with a warning, required ones must be there."""
+    check(isinstance(data, Mapping), f"{kind.__name__} needs an object, not {data!r}")
     given = {_snake(k): v for k, v in data.items()}
     known = {f.name: f for f in fields(kind)}
     if missing := [n for n, f in known.items() if n not in given and f.default is MISSING and f.default_factory is MISSING]:
         raise ConfigError(f"{kind.__name__} needs {missing}")
+    if unknown := sorted(k for k in data if _snake(k) not in known):
+        warnings.warn(f"{kind.__name__} does not know {unknown}", stacklevel=2)
     return kind(**{n: v for n, v in given.items() if n in known})
 
 
@@ -109,25 +114,24 @@ class ProfilingConfig:
 
 
 @dataclass(frozen=True)
-class AnalysisConfig:
+class SelectionConfig:
+    """How an alpha is chosen from a sweep: one criterion or several, and their bounds."""
+
     criterion: str | Sequence[str] = "smallest"
     min_separability: float = 0.2
     max_auc: float = 0.9
     target_resolvable: float = 0.5
     max_detect_auc: float = 0.7
-    start_value: float | None = None
-    step_count: int | None = None
-    step_size: float | None = None
-    gmm_restarts: int = 50
 
     def __post_init__(self) -> None:
-        check(self.step_count is None or self.step_count >= 1, "stepCount must be at least 1")
-        check(self.step_size is None or self.step_size >= 0.1, "stepSize must be at least 0.1")
-        check(0 <= self.min_separability <= 1 and 0.5 <= self.max_auc <= 1, "separability bounds are out of range")
-        self.selection  # noqa: B018  (unknown criteria fail here)
+        check(0.5 < self.max_auc <= 1, "maxAuc must lie above 0.5, at most at 1")
+        check(0 <= self.min_separability <= 2 * self.max_auc - 1, "minSeparability and maxAuc leave no band")
+        check(0 <= self.target_resolvable <= 1, "targetResolvable must lie in [0, 1]")
+        check(0.5 <= self.max_detect_auc <= 1, "maxDetectAuc must lie in [0.5, 1]")
+        self.settings  # noqa: B018  (unknown criteria fail here)
 
     @property
-    def selection(self) -> Settings:
+    def settings(self) -> Settings:
         names = (self.criterion,) if isinstance(self.criterion, str) else tuple(self.criterion)
         try:
             return Settings(names, self.min_separability, self.max_auc, self.target_resolvable, self.max_detect_auc)
@@ -135,6 +139,39 @@ class AnalysisConfig:
             raise ConfigError(str(e)) from e
 
 
+@dataclass(frozen=True)
+class ThresholdConfig:
+    """The sweep of thresholds (around the fitted one where not given) and the fit."""
+
+    start_value: float | None = None
+    step_count: int | None = None
+    step_size: float | None = None
+    gmm_restarts: int = 50
+
+    def __post_init__(self) -> None:
+        check(self.step_count is None or self.step_count >= 1, "stepCount must be at least 1")
+        check(self.step_size is None or self.step_size >= 0.1, "stepSize must be at least 0.1")
+        check(self.gmm_restarts >= 1, "gmmRestarts must be at least 1")
+
+
+def nested(settings: Any, **kinds: type) -> None:
+    """Turn a settings object's given blocks into their kinds."""
+    for name, kind in kinds.items():
+        if getattr(settings, name) is not None and not isinstance(getattr(settings, name), kind):
+            object.__setattr__(settings, name, build(kind, getattr(settings, name)))
+
+
+@dataclass(frozen=True)
+class AnalysisConfig:
+    """What only ``analyse`` reads."""
+
+    selection: SelectionConfig = field(default_factory=SelectionConfig)
+    threshold: ThresholdConfig = field(default_factory=ThresholdConfig)
+
+    def __post_init__(self) -> None:
+        nested(self, selection=SelectionConfig, threshold=ThresholdConfig)
+
+
 @dataclass(frozen=True)
 class PairingConfig:
     strategy: str = "greedy-cluster-reps"
@@ -156,22 +193,22 @@ class PairingConfig:
 @dataclass(frozen=True)
 class InputConfig:
     dataset: DatasetConfig
-    ambiguity_targets: Sequence[str]
     alphas: Sequence[float]
-    secondary_features: Sequence[str] = ()
+    ambiguity_targets: Sequence[str] | None = None
+    secondary_features: Sequence[str] | None = None
     min_ambiguity: float | str | None = None
     target_floor: float = 0.0
     target_links: int = 1
     max_length_ratio: float | None = None
-    pairing: Mapping[str, Any] = field(default_factory=dict)
-    analysis: Mapping[str, Any] | None = None
+    pairing: Mapping[str, Any] | None = None
+    analysis: AnalysisConfig | None = None
 
     def __post_init__(self) -> None:
-        if isinstance(self.dataset, Mapping):
-            object.__setattr__(self, "dataset", build(DatasetConfig, self.dataset))
+        nested(self, dataset=DatasetConfig, analysis=AnalysisConfig)
         object.__setattr__(self, "alphas", tuple(sorted(set(self.alphas))))
+        for name in ("ambiguity_targets", "secondary_features"):
+            object.__setattr__(self, name, tuple(getattr(self, name) or ()))
         check(bool(self.alphas) and all(0 < a < 1 for a in self.alphas), "alphas must lie between 0 and 1")
-        check(bool(self.ambiguity_targets), "ambiguityTargets must not be empty")
         check(0 <= self.target_floor <= 1, "targetFloor must lie in [0, 1]")
         check(self.target_links >= 1, "targetLinks must be at least 1")
         check(self.max_length_ratio is None or self.max_length_ratio >= 1, "maxLengthRatio must be at least 1")
@@ -187,26 +224,29 @@ class AmbiguityConfig:
     pairing_neighbours: int = 1
     pairing_scope: str = "any"
     pairing_max_block_size: int = 100
+    stop_words: Sequence[str] = STOPWORDS
 
     def __post_init__(self) -> None:
         put = lambda k, v: object.__setattr__(self, k, v)
         put("input_data", tuple(i if isinstance(i, InputConfig) else build(InputConfig, i) for i in self.input_data))
-        for name, kind in (("profiling", ProfilingConfig), ("analysis", AnalysisConfig)):
-            if isinstance(getattr(self, name), Mapping):
-                put(name, build(kind, getattr(self, name)))
+        put("stop_words", tuple(w.lower() for w in self.stop_words))
+        nested(self, profiling=ProfilingConfig, analysis=AnalysisConfig)
         check(bool(self.input_data), "inputData must not be empty")
         for entry in self.input_data:
             self.pairing_of(entry)
-            self.analysis_of(entry)
 
     def pairing_of(self, entry: InputConfig) -> PairingConfig:
         """The common settings with those of the entry laid over them, key by key."""
         base = PairingConfig(self.pairing_strategy, self.pairing_neighbours, self.pairing_scope, self.pairing_max_block_size)
-        return replace(base, **{_snake(k).removeprefix("pairing_"): v for k, v in entry.pairing.items()})
+        given = {_snake(k).removeprefix("pairing_"): v for k, v in (entry.pairing or {}).items() if v is not None}
+        known = {f.name for f in fields(PairingConfig)}
+        if unknown := sorted(set(given) - known):
+            warnings.warn(f"pairing does not know {unknown}", stacklevel=2)
+        return replace(base, **{k: v for k, v in given.items() if k in known})
 
     def analysis_of(self, entry: InputConfig) -> AnalysisConfig:
         """The entry's own settings, as a whole, or the common ones."""
-        return self.analysis if entry.analysis is None else build(AnalysisConfig, entry.analysis)
+        return entry.analysis or self.analysis
 
 
 @dataclass(frozen=True)
@@ -232,9 +272,7 @@ class BenchmarkConfig:
     dataset_alias: str | None = None
 
     def __post_init__(self) -> None:
-        for name, kind in (("dataset", DatasetConfig), ("comparison_space", SpaceConfig)):
-            if isinstance(getattr(self, name), Mapping):
-                object.__setattr__(self, name, build(kind, getattr(self, name)))
+        nested(self, dataset=DatasetConfig, comparison_space=SpaceConfig)
 
     @property
     def name(self) -> str:

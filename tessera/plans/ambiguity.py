@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from ..config import AmbiguityConfig, ConfigError, InputConfig
 from ..functions.sequence import record_similarity
-from ..functions.text import STOPWORDS
 from ..operators import bridges as B
 from ..operators import pairing as P
 from ..operators import profiles as R
-
 from ..operators import selection as L
 from ..operators.learning import Mixture, grouped_cv_auc, mixture
 from ..operators.metrics import class_metrics
@@ -45,7 +43,7 @@ class Generator:
     def _blocking(self) -> dict:
         if self.pairing.strategy != "simple-pairs":
             return {}
-        return {"neighbours": self.pairing.neighbours, "scope": self.pairing.scope, "max_block_size": self.pairing.max_block_size}
+        return {"neighbours": self.pairing.neighbours, "scope": self.pairing.scope, "max_block_size": self.pairing.max_block_size, "stopwords": self.config.stop_words}
 
     def seeds(self, min_score: float | None = None) -> DataFrame:
         found = P.seeds(self.records, self.fields, self.pairing.strategy, min_score, self.links, **self._blocking)
@@ -55,7 +53,7 @@ class Generator:
         return text_labels(found, self.data.name)
 
     def bridges(self) -> DataFrame:
-        terms = bridge_terms(self.records, self.fields, STOPWORDS)
+        terms = bridge_terms(self.records, self.fields, self.config.stop_words)
         made = B.synthesize(checkpoint(self.seeds(self.min_score)), self.records, self.fields, self.entry.alphas, terms, self.entry.target_floor, self.entry.max_length_ratio)
         return checkpoint(made)
 
@@ -80,7 +78,7 @@ def profile(variant: B.Variant, alpha: float, generator: Generator) -> dict:
             R.bridge_text_metrics(one.bridge_log, one.link_log), R.direction_metrics(scored),
         ]
     ).first()
-    out = {"dataset": generator.data.name, "alpha": alpha, **row.asDict(), **R.margin_mixture(scored, generator.config.analysis_of(generator.entry).gmm_restarts)}
+    out = {"dataset": generator.data.name, "alpha": alpha, **row.asDict(), **R.margin_mixture(scored, generator.config.analysis_of(generator.entry).threshold.gmm_restarts)}
     if options.negative_similarity:
         n = round(options.neg_pos_ratio * truth.count())
         negatives = R.sampled_negatives(clusters, truth, n, options.seed).withColumn("label", F.lit(0))
@@ -133,7 +131,7 @@ class Threshold:
 
 def analyse_threshold(generator: Generator) -> Threshold | None:
     """Fit a boundary to all pairing scores and pair at each threshold of the grid; None for fewer than two scores."""
-    options = generator.config.analysis_of(generator.entry)
+    options = generator.config.analysis_of(generator.entry).threshold
     scores = checkpoint(generator.seeds().select("score"))
     fitted = mixture(scores, restarts=options.gmm_restarts)
     if fitted is None:
@@ -155,7 +153,7 @@ def analyse_threshold(generator: Generator) -> Threshold | None:
 def analyse(spark: SparkSession, config: AmbiguityConfig, out: str, root: str = ".") -> bool:
     """``ambiguity analyse``: threshold and alpha sweeps, the alpha of each criterion, and report tables. False if nothing could be analysed."""
     for entry in config.input_data:
-        config.analysis_of(entry).selection.check(config.profiling.enabled)
+        config.analysis_of(entry).selection.settings.check(config.profiling.enabled)
     reports: dict[str, DataFrame] = {}
 
     def add(name: str, df: DataFrame) -> None:
@@ -171,7 +169,7 @@ def analyse(spark: SparkSession, config: AmbiguityConfig, out: str, root: str =
         variant = generator.variant()
         rows = [profile(variant, a, generator) for a in entry.alphas]
         table = checkpoint(_frame(spark, rows))
-        settings = config.analysis_of(entry).selection
+        settings = config.analysis_of(entry).selection.settings
         choices = checkpoint(L.choose(table, settings))
         fitted = threshold.fitted
         add("threshold_sweep", threshold.sweep)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import config as K
 from tessera.cli import main
+from tessera.operators.selection import threshold_grid
 
 NAMES = ["John Smith", "Jon Smith", "Mary Jones", "Marie Jones", "Peter Brown", "Pete Brown", "Ann Smith", "Anna Smithson"]
 
@@ -51,7 +52,7 @@ def test_generate(folder, spark):
 
 def test_analyse(folder, spark):
     entry = {"dataset": dataset(), "ambiguityTargets": ["name"], "alphas": [0.5, 0.8], "minAmbiguity": "auto"}
-    root = save(folder, {"inputData": [entry], "analysis": {"stepCount": 3, "gmmRestarts": 3}})
+    root = save(folder, {"inputData": [entry], "analysis": {"threshold": {"stepCount": 3, "gmmRestarts": 3}}})
     assert main([*root, "ambiguity", "generate", "-c", "config.json", "-O", "out"], spark) == 2
     assert main([*root, "ambiguity", "analyse", "-c", "config.json", "--plot-dir", "report"], spark) == 0
     read = lambda name: spark.read.csv(str(folder / "report" / name), header=True)
@@ -84,7 +85,7 @@ BASE = {"inputData": [{"dataset": dataset(), "ambiguityTargets": ["name"], "alph
 
 @pytest.mark.parametrize(
     "change",
-    [{"alphas": []}, {"alphas": [1.0]}, {"targetFloor": 2}, {"targetLinks": 0}, {"maxLengthRatio": 0.5}, {"ambiguityTargets": []}, {"minAmbiguity": "some"}, {"pairing": {"neighbours": 0}}, {"pairing": {"strategy": "x"}}, {"analysis": {"criterion": "x"}}, {"analysis": {"stepSize": 0.01}}],
+    [{"alphas": []}, {"alphas": [1.0]}, {"targetFloor": 2}, {"targetLinks": 0}, {"maxLengthRatio": 0.5}, {"minAmbiguity": "some"}, {"pairing": {"neighbours": 0}}, {"pairing": {"strategy": "x"}}] + [{"analysis": {"selection": s}} for s in ({"criterion": "x"}, {"maxAuc": 0.5}, {"minSeparability": 0.7, "maxAuc": 0.8}, {"targetResolvable": 1.5}, {"maxDetectAuc": 0.4}, 3)] + [{"analysis": {"threshold": {"stepSize": 0.01}}}, {"analysis": {"threshold": {"gmmRestarts": 0}}}],
 )
 def test_bad_entries(change):
     with pytest.raises(K.ConfigError):
@@ -98,10 +99,35 @@ def test_bad_settings(change):
 
 
 def test_defaults_and_overrides():
-    got = K.build(K.AmbiguityConfig, BASE | {"unknown": 1, "pairingNeighbours": 3, "analysis": {"maxAuc": 0.8}})
+    with pytest.warns(UserWarning, match="unknown"):
+        got = K.build(K.AmbiguityConfig, BASE | {"unknown": 1, "pairingNeighbours": 3, "analysis": {"selection": {"maxAuc": 0.8}}})
     entry = got.input_data[0]
-    assert got.pairing_of(entry) == K.PairingConfig(neighbours=3) and got.analysis_of(entry).max_auc == 0.8 and got.profiling.cv_folds == 5
-    over = K.build(K.AmbiguityConfig, {"inputData": [BASE["inputData"][0] | {"pairing": {"scope": "mutual"}, "analysis": {"minSeparability": 0.1}}], "pairingNeighbours": 3, "analysis": {"maxAuc": 0.8}})
-    assert over.pairing_of(over.input_data[0]) == K.PairingConfig(neighbours=3, scope="mutual") and over.analysis_of(over.input_data[0]).max_auc == 0.9
+    assert got.pairing_of(entry) == K.PairingConfig(neighbours=3) and got.analysis_of(entry).selection.max_auc == 0.8 and got.profiling.cv_folds == 5
+    over = K.build(K.AmbiguityConfig, {"inputData": [BASE["inputData"][0] | {"pairing": {"pairingScope": "mutual"}, "analysis": {"selection": {"minSeparability": 0.1}}}], "pairingNeighbours": 3, "analysis": {"selection": {"maxAuc": 0.8}}})
+    assert over.pairing_of(over.input_data[0]) == K.PairingConfig(neighbours=3, scope="mutual") and over.analysis_of(over.input_data[0]).selection.max_auc == 0.9
     with pytest.raises(K.ConfigError):
         K.build(K.AmbiguityConfig, {})
+
+
+def entry_with(analysis):
+    return K.build(K.AmbiguityConfig, {"inputData": [{"dataset": dataset(), "alphas": [0.65], "analysis": analysis}]})
+
+
+def test_nested_analysis():
+    config = entry_with({"selection": {"criterion": ["surface-gap", "smallest", "surface-gap"], "maxAuc": 0.8}, "threshold": {"stepCount": 3}})
+    found = config.analysis_of(config.input_data[0])
+    assert (found.selection.settings.criteria, found.selection.max_auc, found.threshold.step_count) == (("surface-gap", "smallest"), 0.8, 3)
+    only = entry_with({"threshold": {"stepCount": 3}})
+    assert only.analysis_of(only.input_data[0]).selection == K.SelectionConfig() and only.input_data[0].ambiguity_targets == ()
+    derived = entry_with({"selection": {"criterion": "smallest"}})
+    limits = derived.analysis_of(derived.input_data[0]).threshold
+    assert threshold_grid(1.0, limits.start_value, limits.step_count, limits.step_size) == pytest.approx([-4.0 + k for k in range(11)])
+    gap = entry_with({"selection": {"criterion": "surface-gap"}})
+    with pytest.raises(ValueError, match="surface_baseline"):
+        gap.analysis_of(gap.input_data[0]).selection.settings.check(gap.profiling.enabled)
+    with pytest.warns(UserWarning, match="criterion"):
+        entry_with({"criterion": "surface-gap"})
+
+
+def test_stop_words_of_the_configuration():
+    assert K.build(K.AmbiguityConfig, BASE | {"stopWords": ["The", "of"]}).stop_words == ("the", "of")
