@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import record_tokens
+from ..runtime import checkpoint
 from .graphs import degrade_results, match_graph, predicted_label, reciprocal
 from .metrics import confusion, matthews, pair_quality
+from .numbering import first_by_hash
 
 #: A matcher adds ``label`` and ``label_weights`` to rows with record structs ``a`` and ``b``.
 Matcher = Callable[[DataFrame], DataFrame]
@@ -114,16 +116,15 @@ def comparison_space(truth: DataFrame, negatives: DataFrame, neg_pos_ratio: floa
 
     negatives: left, right; more than are wanted.
     """
-    hashed = lambda df: df.withColumn("h", F.xxhash64("left", "right", F.lit(seed)))
+    ends = ["left", "right"]
+    first = lambda df, n: first_by_hash(checkpoint(df.select(*ends)), n, ends, seed)
     matches, bridged = truth.filter("label = 1"), truth.filter("label = 2")
     n2 = bridged.count()
     if match_bridge_ratio is not None and n2:
-        matches = hashed(matches).orderBy("h", "left", "right").limit(round(match_bridge_ratio * n2)).drop("h")
-    positives = matches.select("left", "right").unionByName(bridged.select("left", "right"))
-    wanted = round(neg_pos_ratio * positives.count())
-    chosen = hashed(negatives.select("left", "right")).orderBy("h", "left", "right").limit(wanted).drop("h")
-    space = positives.unionByName(chosen)
-    return space if max_samples is None else hashed(space).orderBy("h", "left", "right").limit(max_samples).drop("h")
+        matches = first(matches, round(match_bridge_ratio * n2))
+    positives = matches.select(*ends).unionByName(bridged.select(*ends))
+    space = positives.unionByName(first(negatives, round(neg_pos_ratio * positives.count())))
+    return space if max_samples is None else first(space, max_samples)
 
 
 def is_bridge(ref: Column, source: str) -> Column:

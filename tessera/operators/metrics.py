@@ -39,15 +39,17 @@ def distinct_ratio(n: Column, of: Column) -> Column:
     return ratio(n, of)
 
 
-def auc(df: DataFrame, value: str = "value", positive: str = "positive", by: Sequence[str] = ()) -> DataFrame:
-    """A18. ``auc``: the chance that a positive's value is above a negative's, ties half; null if a side is empty.
+def auc(df: DataFrame, value: str = "value", positive: str = "positive", by: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """A18. ``auc``: the chance that a positive's value is above a negative's, ties half; null if a side is empty. count: how often
+    a row occurs (once).
 
     By ranks instead of pairs, over distinct values with their counts, so ties and hot values are one row each.
     Running counts go over ranges of values between sampled quantiles, then over one row a range, so no task
     holds all values.
     """
     groups = list(by)
-    counted = df.filter(F.col(value).isNotNull() & F.col(positive).isNotNull()).groupBy(*groups, F.col(value).alias("__v")).agg(F.count_if(F.col(positive)).alias("__p"), F.count_if(~F.col(positive)).alias("__n"))
+    times = F.lit(1).cast("long") if count is None else F.col(count)
+    counted = df.filter(F.col(value).isNotNull() & F.col(positive).isNotNull()).groupBy(*groups, F.col(value).alias("__v")).agg(F.sum(F.when(F.col(positive), times).otherwise(0)).alias("__p"), F.sum(F.when(~F.col(positive), times).otherwise(0)).alias("__n"))
     marks = F.percentile_approx("__v", [k / RANGES for k in range(1, RANGES)], 1000).alias("__marks")
     # without groups the marks and ranges are a few rows; with groups they are as many as those, and joined as Spark sees fit
     ranged = (counted.join(counted.groupBy(*groups).agg(marks), groups) if groups else counted.join(F.broadcast(counted.agg(marks)))).withColumn("__range", F.size(F.filter("__marks", lambda m: m < F.col("__v")))).drop("__marks")

@@ -125,6 +125,17 @@ def drop_reserved(df: DataFrame) -> DataFrame:
     return df.drop(*RESERVED)
 
 
+def cluster_count(records: DataFrame) -> DataFrame:
+    """A28. ``n``, the number of clusters; by partial counts, so that no task holds all members."""
+    return records.groupBy("cluster_id").agg(F.lit(1).alias("one")).agg(F.count("*").alias("n"))
+
+
+def clusters_by_size(records: DataFrame) -> DataFrame:
+    """W11. (place, cluster_id, n): the largest cluster first, of equal ones that with the first member."""
+    sized = records.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("ref").alias("least"))
+    return number_rows(sized, [F.desc("n"), F.col("least")], "place").select("place", "cluster_id", "n")
+
+
 # ---- corpus terms --------------------------------------------------------------------------------
 
 

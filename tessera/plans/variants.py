@@ -18,7 +18,8 @@ from ..operators import selection as L
 from ..operators.matching import is_bridge
 from ..runtime import checkpoint, table
 from ..sources import sinks
-from .er import COMPARED, PARTS, SCORE, clusterings, compared, edges_sql, matched, parts, query, r6, truth_of_parts
+from ..sources.tables import row_count
+from .er import COMPARED, GRAPH, PARTS, SCORE, clusterings, compared, edges_sql, lev, matched, parts, query, r6, truth_of_parts
 
 ALPHAS = (0.5, 0.8)
 
@@ -202,12 +203,12 @@ def v6(spark, sf_dir):
 
 @query("a28_cluster_count", f"WITH {PARTS} SELECT count(DISTINCT cluster_id) AS n FROM rec")
 def a28(spark, sf_dir):
-    return parts(spark, sf_dir)[0].agg(F.count_distinct("cluster_id").alias("n"))
+    return D.cluster_count(parts(spark, sf_dir)[0])
 
 
 @query("s6_row_count", "SELECT count(*) AS n FROM lineitem")
 def s6(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
+    return spark.range(1).select(F.lit(row_count(spark, f"{sf_dir}/lineitem.parquet")).alias("n"))
 
 
 @query("p6_bridge_sources", f"WITH {SEEDS} SELECT is_bridge, count(*) AS n FROM (SELECT false AS is_bridge FROM rec UNION ALL SELECT true FROM sd) GROUP BY is_bridge")
@@ -221,12 +222,11 @@ def u4(spark, sf_dir):
     return compared(spark, sf_dir)[0].select(*M.unordered()).distinct().toDF("left_id", "right_id")
 
 
-@query("v1_merged_edges", f"""WITH {COMPARED}, e AS (SELECT l, r FROM cmp WHERE (l + r) % 3 > 0), x AS (SELECT coalesce(e.l, t.l) AS l, coalesce(e.r, t.r) AS r, CASE WHEN e.l IS NOT NULL AND t.l IS NOT NULL THEN 'TP' WHEN e.l IS NOT NULL THEN 'FP' ELSE 'FN' END AS status FROM e FULL JOIN tru t ON e.l = t.l AND e.r = t.r)
+@query("v1_merged_edges", f"""WITH {GRAPH}, x AS (SELECT coalesce(g.src, t.l) AS l, coalesce(g.dst, t.r) AS r, CASE WHEN g.src IS NOT NULL AND t.l IS NOT NULL THEN 'TP' WHEN g.src IS NOT NULL THEN 'FP' ELSE 'FN' END AS status FROM graph g FULL JOIN tru t ON g.src = t.l AND g.dst = t.r)
 SELECT least(l, r) AS left_id, greatest(l, r) AS right_id, status, count(*) > 1 AS both_ways FROM x GROUP BY 1, 2, 3""")
 def v1_merged(spark, sf_dir):
-    rows, true = compared(spark, sf_dir)
-    ends = lambda d: d.select(F.col("left").alias("src"), F.col("right").alias("dst"))
-    merged = G.merge_reciprocal(G.classify_edges(ends(rows.filter("(left + right) % 3 > 0")), ends(true), ordered=True))
+    results, _, true = matched(spark, sf_dir)
+    merged = G.merge_reciprocal(G.classify_edges(G.match_graph(results), true.select(F.col("left").alias("src"), F.col("right").alias("dst")), ordered=True))
     return merged.select(F.col("left").alias("left_id"), F.col("right").alias("right_id"), "status", "both_ways")
 
 
@@ -243,14 +243,15 @@ def m12(spark, sf_dir):
     return L.sweep_report(rows, L.choose(rows, L.Settings()), L.Settings()).select("alpha", "feasible", "chosen_by")
 
 
-@query("f7_bound", f"WITH {PARTS} SELECT a.id AS left_id, b.id AS right_id, true AS holds FROM rec a JOIN rec b ON a.cluster_id = b.cluster_id AND a.id < b.id WHERE {SCORE} < 100")
+BOUND = SCORE.replace(lev("lower(a.p_name)", "lower(b.p_name)"), "(least(length(a.p_name), length(b.p_name)) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE))")
+
+
+@query("f7_bound", f"WITH {PARTS} SELECT a.id AS left_id, b.id AS right_id, CAST(round({BOUND}, 6) AS DOUBLE) AS bound, {BOUND} >= {SCORE} - 1e-9 AS holds FROM rec a JOIN rec b ON a.cluster_id = b.cluster_id AND a.id < b.id")
 def f7_bound(spark, sf_dir):
     from ..operators.scoring import ambiguity, cluster_pairs, record
 
     records, fields = parts(spark, sf_dir)
     values = records.select("ref", record(fields).alias("r"))
     rows = cluster_pairs(records).join(values.toDF("left", "a"), "left").join(values.toDF("right", "b"), "right")
-    holds = ambiguity("a", "b", fields, bound=True) >= ambiguity("a", "b", fields) - 1e-9
-    return rows.select(F.col("left.label").alias("left_id"), F.col("right.label").alias("right_id"), holds.alias("holds"))
-
-
+    bound = ambiguity("a", "b", fields, bound=True)
+    return rows.select(F.col("left.label").alias("left_id"), F.col("right.label").alias("right_id"), r6(bound).alias("bound"), (bound >= ambiguity("a", "b", fields) - 1e-9).alias("holds"))

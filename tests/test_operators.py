@@ -223,8 +223,8 @@ def test_classifier_paths_agree(spark, monkeypatch):
     rows = [(k, k % 40, float(rng.normal() + (k % 40 < 20)), float(rng.normal())) for k in range(400)]
     df = spark.createDataFrame(rows, "k int, group int, x double, y double").withColumn("positive", F.col("group") < 20)
     near = learning.grouped_cv_auc(df, ["x", "y"], 4)
-    monkeypatch.setattr(learning, "MOST_SCORES", 10)
-    assert learning.grouped_cv_auc(df, ["x", "y"], 4) == pytest.approx(near, abs=0.02) and near > 0.65
+    monkeypatch.setattr(learning, "MOST_ROWS", 10)
+    assert learning.grouped_cv_auc(df, ["x", "y"], 4) == pytest.approx(near, abs=1e-9) and near > 0.65
 
 
 def test_boundary_falls_back_to_the_midpoint():

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,14 +10,15 @@ from tessera.operators import learning, matching, metrics, selection
 from tessera.operators import graphs as G
 from tessera.operators import profiles as R
 
-MEMBERS = {1: "a1 a2 b1", 2: "t1 t2", 3: "u1", 4: "e1 b2", 5: "f1 f2 b3", 6: "g1", 7: "h1"}
+# fixed values: the thirteen records, links and similarities, and the metrics below that are known for them
+MEMBERS = {1: ["a1", "a2", "b1"], 2: ["t1", "t2"], 3: ["u1"], 4: ["e1", "b2"], 5: ["f1", "f2", "b3"], 6: ["g1"], 7: ["h1"]}
 LINKS = [("t1", "b1"), ("t2", "b1"), ("t1", "b2"), ("u1", "b2"), ("h1", "b3")]
 SIMILAR = {("a1", "b1"): 0.9, ("a2", "b1"): 0.7, ("e1", "b2"): 0.6, ("f1", "b3"): 0.2, ("f2", "b3"): 0.4, ("t1", "b1"): 0.3, ("t2", "b1"): 0.5, ("t1", "b2"): 0.8, ("u1", "b2"): 0.6, ("h1", "b3"): 0.4, ("a1", "a2"): 1.0, ("t1", "t2"): 0.1, ("f1", "f2"): 0.5, ("a1", "t2"): 0.95}
 
 
 @pytest.fixture(scope="module")
 def clusters(spark):
-    return spark.createDataFrame([(m, c) for c, ms in MEMBERS.items() for m in ms.split()], "ref string, cluster_id long")
+    return spark.createDataFrame([(m, c) for c, ms in MEMBERS.items() for m in ms], "ref string, cluster_id long")
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +28,7 @@ def links(spark):
 
 @pytest.fixture(scope="module")
 def truth(spark):
-    within = [(a, b, 1) for ms in MEMBERS.values() for k, a in enumerate(ms.split()) for b in ms.split()[k + 1 :]]
+    within = [(a, b, 1) for ms in MEMBERS.values() for k, a in enumerate(ms) for b in ms[k + 1 :]]
     return spark.createDataFrame(within + [(t, b, 2) for t, b in LINKS], "left string, right string, label int")
 
 
@@ -113,6 +115,33 @@ def test_mixture(spark):
     assert learning.mixture(rows.limit(1)) is None and learning.mixture(rows.limit(0)) is None
 
 
+def test_mixture_of_many_scores_is_that_of_few(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(0.01, 0.004, 700), rng.normal(0.03, 0.006, 300)])
+    rows = spark.createDataFrame([(float(x),) for x in values], "score double").repartition(5)
+    near = learning.mixture(rows, restarts=5)
+    monkeypatch.setattr(learning, "MOST_ROWS", 50)
+    monkeypatch.setattr(learning, "CHUNK", 64)
+    far = learning.mixture(rows, restarts=5)
+    assert (far.boundary, far.share, *far.means, *far.deviations) == pytest.approx((near.boundary, near.share, *near.means, *near.deviations), rel=1e-6)
+    assert near.means == pytest.approx((0.01, 0.03), abs=0.003) and near.boundary_type == learning.BAYES
+
+
+def test_drawn_negatives(spark, monkeypatch):
+    """Few of many pairs are drawn; as many as asked for, none twice, none positive; also where nearly all records share a cluster."""
+    for size, n in ((lambda k: k // 3, 400), (lambda k: 0 if k < 180 else k, 300)):
+        clusters = spark.createDataFrame([(f"r{k:03}", size(k)) for k in range(200)], "ref string, cluster_id long")
+        truth = spark.createDataFrame([(f"r{k:03}", f"r{(k * 7 + 1) % 200:03}") for k in range(200) if k != (k * 7 + 1) % 200], "left string, right string")
+        of = {r.ref: r.cluster_id for r in clusters.collect()}
+        true = {frozenset(r) for r in truth.collect()}
+        got = [tuple(r) for r in R.sampled_negatives(clusters, truth, n).collect()]
+        assert len(got) == len(set(got)) == n
+        assert all(a < b and of[a] != of[b] and frozenset((a, b)) not in true for a, b in got)
+        assert sorted(got) == sorted(tuple(r) for r in R.sampled_negatives(clusters.repartition(3), truth, n).collect())
+        every = R.sampled_negatives(clusters, truth, 10**6).collect()
+        assert len(every) == sum(of[a] != of[b] and frozenset((a, b)) not in true for a in of for b in of if a < b)
+
+
 SWEEP = [(0.5, 0.1), (0.65, 0.3), (0.8, 0.5), (0.95, 0.9)]
 
 

@@ -1,4 +1,4 @@
-"""Registered queries without SQL, over whole tables, against brute force on small ones."""
+"""Registered queries over whole tables, against brute force on small ones."""
 
 from collections import defaultdict
 from itertools import combinations
@@ -36,9 +36,9 @@ def copies(spark, tmp_path_factory):
 
 def test_blocks_of_more_than_ten(spark, copies):
     at, pairs, top = copies
-    assert {(r.left_id, r.right_id): r.weight for r in QUERIES["j5_all_block_pairs"](spark, at).collect()} == {k: round(w, 6) for k, w in pairs.items()}
-    assert {(r.id, r.partner) for r in QUERIES["w4_all_top_partners"](spark, at).collect()} == top
-    for name, test in (("g1_all_token_blocking", any), ("j12_all_mutual_blocking", all)):
+    assert {(r.left_id, r.right_id): r.weight for r in QUERIES["j5_block_pairs"](spark, at).collect()} == {k: round(w, 6) for k, w in pairs.items()}
+    assert {(r.id, r.partner) for r in QUERIES["w4_top_partners"](spark, at).collect()} == top
+    for name, test in (("g1_token_blocking", any), ("j12_mutual_blocking", all)):
         got = {tuple(sorted((r.home, r.target))) for r in QUERIES[name](spark, at).collect()}
         assert got == {(x, y) for x, y in pairs if test([(x, y) in top, (y, x) in top])} and len(got) > 2
 
@@ -69,7 +69,7 @@ def united(edges):
 
 def test_components_of_all_line_items(spark, items):
     at, links, _ = items
-    got = {r.node: r.component for r in QUERIES["g8_all_components"](spark, at).collect()}
+    got = {r.node: r.component for r in QUERIES["g8_components"](spark, at).collect()}
     assert got == united((p, s + 1000000) for p, s in links) and len(set(got.values())) == 2
 
 
@@ -77,18 +77,18 @@ def test_bridges_of_all_line_items(spark, items):
     at, links, kind = items
     made = {(p, s * 20) for p, s in links if s * 20 in kind and p != s * 20}
     feet = {b: ({kind[p] for p, x in made if x == b}, sum(x == b for _, x in made)) for b in {b for _, b in made}}
-    assert {r.bridge: (r.n_targets, r.n_links) for r in QUERIES["a9_all_footprints"](spark, at).collect()} == {b: (len(t), n) for b, (t, n) in feet.items()}
+    assert {r.bridge: (r.n_targets, r.n_links) for r in QUERIES["a9_footprints"](spark, at).collect()} == {b: (len(t), n) for b, (t, n) in feet.items()}
     parts = united((kind[b], t) for b, (found, _) in feet.items() for t in found)
-    w8, a10 = QUERIES["w8_all_bridge_components"](spark, at).collect(), QUERIES["a10_all_component_metrics"](spark, at).first()
+    w8, a10 = QUERIES["w8_bridge_components"](spark, at).collect(), QUERIES["a10_component_metrics"](spark, at).first()
     assert len(w8) == a10.component_count == len(set(parts.values())) and sum(r.n_label2 for r in w8) == len(made) and sum(r.n_bridges for r in w8) == len(feet)
-    a7 = QUERIES["a7_a8_all_bridged_clusters"](spark, at).first()
+    a7 = QUERIES["a7_a8_bridged_clusters"](spark, at).first()
     assert a7.n_home_clusters == len({kind[b] for b in feet}) and a7.n_target_clusters == len({t for found, _ in feet.values() for t in found})
-    assert {(r.left_id, r.right_id) for r in QUERIES["u2_all_directed_truth"](spark, at).collect() if r.label == 2} == made
+    assert {(r.left_id, r.right_id) for r in QUERIES["u2_directed_truth"](spark, at).collect() if r.label == 2} == made
 
 
 def test_score_mixture_starts_as_often_as_by_default(spark, smoke_dir, monkeypatch):
     from tessera.operators import learning
 
     seen, fit = [], learning.fit_mixture
-    monkeypatch.setattr(learning, "fit_mixture", lambda values, counts, restarts: seen.append(restarts) or fit(values, counts, restarts))
+    monkeypatch.setattr(learning, "fit_mixture", lambda counted, restarts: seen.append(restarts) or fit(counted, restarts))
     assert QUERIES["m1_m2_score_mixture"](spark, smoke_dir).count() == 1 and seen == [50]
