@@ -31,14 +31,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, buckets: tuple[int, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     Unlike a checkpoint the table is columnar and compressed, so later passes read only the columns
-    they need.
+    they need. buckets: a number and a column to bucket the rows by, without any shuffle; joins on that column then leave
+    the table where it is.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    if buckets:
+        title = f"{name}_{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").option("path", path).bucketBy(*buckets).format("parquet").saveAsTable(title)
+        return spark.table(title)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import pairing as P
 from tessera.operators import scoring as C
+from tessera.operators import components
 from tessera.operators.components import connected_components
 from tessera.operators.records import Fields, ref
 
@@ -96,7 +97,9 @@ def test_representative_with_no_positive_mean(spark):
     assert [(r.ref.label, r.rank) for r in C.rank_members(df, fields).orderBy("rank").collect()] == [(1, 0), (2, 1), (3, 2)]
 
 
-def test_components_against_union_find(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components_against_union_find(spark, few, monkeypatch):
+    monkeypatch.setattr(components, "FEW_EDGES", few)
     rng = random.Random(3)
     for n, m in ((60, 40), (200, 400), (300, 150)):
         pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(k, k + 1) for k in range(1000, 1040)]
@@ -112,3 +115,5 @@ def test_components_against_union_find(spark):
         linked = {x for a, b in pairs if a != b for x in (a, b)}
         assert got == {x: c for x, c in label.items() if x in linked}
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
+    texts = connected_components(spark.createDataFrame([("b", "c"), ("c", "a"), ("x", "y"), ("z", None)], "src string, dst string"))
+    assert {r.node: r.component for r in texts.collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
