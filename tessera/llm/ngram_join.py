@@ -3,7 +3,7 @@
 Two documents link when ``100 * overlap >= 80 * union`` of their sets of five-word shingles. Overlaps
 are counted by a blocked sparse matrix product of documents by shingles; size bounds discard pairs.
 
-1. Documents with equal sets are one class, represented by its least id.
+1. Documents with equal sets are one class, named by its digest and represented by its least id.
 2. Shingle frequencies over all documents are kept as a sketch of one byte a slot, of bounded size. It
    only orders shingles, rare ones first, and any one order gives the same result.
 3. By prefix filtering, sets that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of each.
@@ -20,8 +20,8 @@ arrays between groups of bounded size; nothing of the order of documents reaches
 
 Defined results: a null or empty text, or one of white space, has an empty set and is its own component;
 a text of one to four words has one shingle, the whole sequence; repeated rows are copies, one result
-row each; rows that share an id share a component; a null id has a null component unless a copy has
-an id, and is not compared; an empty table gives an empty result; other columns are ignored.
+row each; rows that share an id are judged each by its own text; a null id has a null component unless a copy
+has an id, and is not compared; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,15 +93,15 @@ def _slices(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(id, n, d1, d2): the size and digests of every document's set; docs has ``id`` and ``text``."""
+    """(id, mark, n, d1, d2): the size and digests of every document's set; docs has ``id``, ``mark`` and ``text``."""
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(rows):
             grams, counts = gram_sets(batch.column("text"))
             d1, d2 = digests(grams, counts)
-            yield pa.record_batch({"id": batch.column("id"), "n": pa.array(counts, pa.int64()), "d1": pa.array(d1.view(np.int64)), "d2": pa.array(d2.view(np.int64))})
+            yield pa.record_batch({"id": batch.column("id"), "mark": batch.column("mark"), "n": pa.array(counts, pa.int64()), "d1": pa.array(d1.view(np.int64)), "d2": pa.array(d2.view(np.int64))})
 
-    return docs.mapInArrow(make, f"id {docs.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long")
+    return docs.mapInArrow(make, "id long, mark long, n long, d1 long, d2 long")
 
 
 # ---- frequency sketch ----------------------------------------------------------------------------
@@ -265,7 +265,7 @@ def links_within(sizes: np.ndarray, grams: np.ndarray, typical: np.ndarray, left
 def _verify(table: pa.Table) -> pa.Table:
     """Links within each part of an exchange group; rows with ``left`` set are compared with all others, others not among themselves."""
     parts = table.column("part").to_numpy()
-    ids = table.column("rep").to_numpy()
+    ids = table.column("d1").to_numpy()
     left = table.column("outlier").to_numpy(zero_copy_only=False)
     typical = table.column("typical").to_numpy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
@@ -308,36 +308,36 @@ def class_sets(docs: DataFrame, members: DataFrame, n_members: int, sketch: np.n
 
 
 def link_parts(sets: DataFrame) -> DataFrame:
-    """(src, dst): links within parts; ``sets`` has part, size, rep, typical and grams."""
+    """(src, dst): links of classes, by d1, within parts; ``sets`` has part, size, d1, typical and grams."""
     blocks = F.ceil(F.col("size") / BLOCK_DOCS).cast("long")
-    cut = sets.withColumn("blocks", blocks).withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), F.col("blocks"))).otherwise(0))
+    cut = sets.withColumn("blocks", blocks).withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("d1"), F.col("blocks"))).otherwise(0))
     # parts of one block share exchange groups; each block of a larger part is one
     n_small = sets.filter(F.col("size") <= BLOCK_DOCS).count()
     shared_groups = max(1, n_small // (BLOCK_DOCS // 2))
     bucket = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("part"), F.lit(shared_groups))).otherwise(F.xxhash64("part", "block"))
-    own = cut.select(bucket.alias("bucket"), "part", "rep", F.lit(False).alias("outlier"), "typical", "grams")
+    own = cut.select(bucket.alias("bucket"), "part", "d1", F.lit(False).alias("outlier"), "typical", "grams")
     big = cut.filter("blocks > 1")
-    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("typical"), "rep"))
-    centers = big.select("part", "rep", "typical", "blocks").withColumn("rank", rank).filter(F.col("rank") <= CENTERS).select("part", "rep")
-    everywhere = big.join(centers, ["part", "rep"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = everywhere.select(F.xxhash64("part", "block").alias("bucket"), "part", "rep", F.lit(False).alias("outlier"), "typical", "grams")
+    rank = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("typical"), "d1"))
+    centers = big.select("part", "d1", "typical", "blocks").withColumn("rank", rank).filter(F.col("rank") <= CENTERS).select("part", "d1")
+    everywhere = big.join(centers, ["part", "d1"], "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = everywhere.select(F.xxhash64("part", "block").alias("bucket"), "part", "d1", F.lit(False).alias("outlier"), "typical", "grams")
     links = checkpoint(own.unionByName(placed).groupBy("bucket").applyInArrow(_verify, "src long, dst long"))
     if big.limit(1).count() == 0:
         return links
     # the rest of large parts: what is not in a part's largest component meets all of its blocks
     found = connected_components(links)
-    named = big.select("part", "rep").join(found, F.col("rep") == F.col("node"), "left").select("part", "rep", F.coalesce("component", "rep").alias("component"))
+    named = big.select("part", "d1").join(found, F.col("d1") == F.col("node"), "left").select("part", "d1", F.coalesce("component", "d1").alias("component"))
     counts = named.groupBy("part", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("part").agg(F.max(F.struct("n", "component")).alias("top")).select("part", F.col("top.component").alias("component"))
-    outliers = named.join(largest, ["part", "component"], "left_anti").select("part", "rep")
+    outliers = named.join(largest, ["part", "component"], "left_anti").select("part", "d1")
     sides = outliers.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("long").alias("sides"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["part", "block", "side", "rep", "outlier", "typical", "grams"]
+    columns = ["part", "block", "side", "d1", "outlier", "typical", "grams"]
     met = big.join(sides, "part")
-    moving = met.join(outliers, ["part", "rep"], "left_semi").withColumn("side", F.pmod(F.xxhash64("rep", F.lit("side")), F.col("sides"))).withColumn("block", every("blocks"))
+    moving = met.join(outliers, ["part", "d1"], "left_semi").withColumn("side", F.pmod(F.xxhash64("d1", F.lit("side")), F.col("sides"))).withColumn("block", every("blocks"))
     staying = met.withColumn("side", every("sides"))
     pairs = moving.withColumn("outlier", F.lit(True)).select(*columns).unionByName(staying.withColumn("outlier", F.lit(False)).select(*columns))
-    more = pairs.select(F.xxhash64("part", "block", "side").alias("bucket"), "part", "rep", "outlier", "typical", "grams").groupBy("bucket").applyInArrow(_verify, "src long, dst long")
+    more = pairs.select(F.xxhash64("part", "block", "side").alias("bucket"), "part", "d1", "outlier", "typical", "grams").groupBy("bucket").applyInArrow(_verify, "src long, dst long")
     return links.unionByName(more)
 
 
@@ -346,23 +346,29 @@ def link_parts(sets: DataFrame) -> DataFrame:
 
 def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
+    return _components(docs, key, text).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, mark, n, component_id, group) of every row; mark is a hash of the text, and group names the component by its texts."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
     sets = materialize(document_sets(texts), "sets")
     classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     total = sets.agg(F.sum("n")).first()[0] or 0
-    empty_id = sets.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    alone = sets.filter("n = 0").select("id", "mark", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("group"))
     if not total:
-        return empty_id.toDF(key, "n_shingles", "component_id")
+        return alone
     sketch = frequency_sketch(texts, total)
     tied = connected_components(ties(texts, total, sketch))
     sizes = tied.groupBy("component").agg(F.count("*").alias("size"))
     parts = tied.join(sizes, "component").select(F.col("node").alias("d1"), F.col("component").alias("part"), "size")
     members = checkpoint(classes.filter("rep IS NOT NULL").join(parts, "d1").select("rep", "d1", "d2", "part", "size"))
     linked = connected_components(link_parts(materialize(class_sets(texts, members, members.count(), sketch), "grams")))
-    named = classes.join(linked, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.filter("n > 0").join(named, ["d1", "d2", "n"]).select("id", "n", "component_id")
-    return out.unionByName(empty_id).toDF(key, "n_shingles", "component_id")
+    grouped = classes.join(linked, F.col("d1") == F.col("node"), "left").withColumn("component", F.coalesce("component", "d1"))
+    least = grouped.filter(F.col("node").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"))
+    named = grouped.join(least, "component", "left").select("d1", "d2", "n", F.coalesce("least", "rep").alias("component_id"), F.col("component").alias("group"))
+    return sets.filter("n > 0").join(named, ["d1", "d2", "n"]).select("id", "mark", "n", "component_id", "group").unionByName(alone)
 
 
 ORACLE_SQL = r"""
@@ -381,16 +387,20 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(seen) AS compone
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that represent their component: those whose id is its least.
+    """The documents that represent their component: of each one row, that with its least id.
 
-    Of rows that share an id and the text one stays; rows that share an id with different texts all do. Rows
-    without an id stay, and documents with an empty set represent themselves.
+    Where several texts of a component have that id, the one with the smallest hash stays; texts of an id that are not
+    linked represent a component each. Of rows that share an id and the text one stays. Rows without an id stay, and
+    documents with an empty set represent themselves.
     """
-    named = checkpoint(link_components(docs, key, text).select(F.col(key).alias("__id"), "component_id"))
-    again = named.filter("__id IS NOT NULL").groupBy("__id").agg(F.count("*").alias("__rows"), F.max(F.col("__id") != F.col("component_id")).alias("__drop"))
-    marks = checkpoint(again.filter("__drop OR __rows > 1").select("__id", "__drop"))
-    marked = docs.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, F.col(key) == F.col("__id"), "left")
+    named = checkpoint(_components(docs, key, text).filter("id IS NOT NULL"))
+    texts = named.groupBy("group", "id", "mark").agg(F.count("*").alias("rows"))
+    kept = texts.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("id", "mark")).alias("kept"))
+    judged = texts.join(kept, "group", "left").withColumn("__drop", F.coalesce(F.struct("id", "mark") != F.col("kept"), F.lit(False)))
+    marks = checkpoint(judged.filter("__drop OR rows > 1").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__drop"))
+    same = (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__mark"))
+    marked = docs.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, same, "left")
     single = marked.filter("__id IS NULL").select(docs.columns)
-    order = F.row_number().over(Window.partitionBy(key, text).orderBy(F.xxhash64(*docs.columns)))
+    order = F.row_number().over(Window.partitionBy(key, "__mark").orderBy(F.xxhash64(*docs.columns)))
     repeated = marked.filter("NOT __drop").withColumn("__order", order).filter("__order = 1").select(docs.columns)
     return single.unionByName(repeated)

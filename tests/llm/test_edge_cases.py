@@ -276,6 +276,19 @@ def test_ngram_join_odd_rows(odd, none):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5", "6", "7", "9", "None"]
 
 
+def test_ngram_join_of_texts_that_share_an_id(spark):
+    """Links of every text count, whatever its id; of each component one row stays."""
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    rows = [(5, a), (5, b), (7, a + " x"), (8, b + " y"), (9, b + " y z"), (10, c), (5, c + " w"), (11, None), (11, c + " v")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles > 0, r.component_id) for r in ngram_join.link_components(docs).collect())
+    assert got == [(5, True, 5)] * 3 + [(7, True, 5), (8, True, 5), (9, True, 5), (10, True, 5), (11, False, 11), (11, True, 5)]
+    kept = {(r.doc_id, r.text) for r in ngram_join.one_of_each(docs).collect()}
+    assert kept == {(5, a), (5, b), (5, c + " w"), (11, None)}
+    near = spark.createDataFrame([(5, a), (5, a + " x"), (5, a), (6, a + " y")], "doc_id long, text string")
+    assert [r.doc_id for r in ngram_join.one_of_each(near).collect()] == [5]
+
+
 def test_ngram_join_of_large_parts(spark, small_dir, monkeypatch):
     docs = spark.read.parquet(f"{small_dir}/documents.parquet").select("doc_id", "text")
     want = sorted(ngram_join.link_components(docs).collect())
