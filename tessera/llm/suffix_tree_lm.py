@@ -7,13 +7,17 @@ nats for each symbol it lists. Listed are next symbols seen at least ``LEAST`` t
 gathered grows with the texts and the rule is the same at every size. Distributions are smoothed by
 absolute discounts whose mass goes to the suffix's distribution, down to the root: the discounted
 frequencies of all training words, and one symbol for any unknown word (the same events as the unigram
-base). A text is scored with the longest kept suffix at each token.
-
-Distribution: texts become slices of token numbers, written once. Each slice sends its distinct words
-with counts to groups by hash, and gets the corpus counts of just those words back. Then, depth by depth,
-it sends its contexts with their next symbols, local counts and probabilities after the suffix; a group has
-all next symbols of its contexts, runs the divergence test and returns counts and sums for just what each
-slice sent. No task, broadcast or driver holds the vocabulary or a level of the tree.
+base). A text is scored with the longest kept suffix at each token. The test takes probabilities after the
+suffix to a quarter of a bit and the context's own without the share its suffix adds, so that what a group finds of
+a context adds up.
+
+Distribution: texts become slices of token numbers, written once, in buckets by slice. Each slice sends its distinct
+words with counts to groups by hash, and gets the corpus counts and numbers of just those words back. Then, depth by
+depth, it sends its contexts with their next symbols, local counts and probabilities after the suffix; a group has
+all next symbols of its contexts and returns counts and sums for just what each slice sent. A context that occurs
+more than ``GROUP_PAIRS`` times (or a ``MOST_HOT``-th of all tokens) is split over several groups by next symbol; only the sums of
+such contexts, of which there are no more than ``MOST_HOT``, pass the driver. No task, broadcast or driver holds the vocabulary
+or a level of the tree, and the slices themselves are never shuffled.
 
 Defined results: a null or empty text, or one of white space, is the end symbol alone; repeated rows
 are scored each and count each in training; a null id counts as the empty text for the split; with no
@@ -24,7 +28,6 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import bounded_batches, materialize
-from .words import batches, mix, split_words
+from .words import batches, mix, release, split_words
 
 MAX_DEPTH = 3
 LEAST = 2
@@ -41,7 +44,9 @@ DISCOUNT = 0.5
 COST = 3.0
 BASE_ADD = 0.1
 SLICE_BYTES = 8 << 20
-GROUP_WORDS = 1 << 21
+GROUP_PAIRS = 1 << 19
+MOST_HOT = 1 << 19
+STEPS = 4
 
 _U = np.uint64
 END = _U(0x2545F4914F6CDD1D)
@@ -51,18 +56,6 @@ def is_held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def pair_keys(contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mix(words ^ mix(contexts.astype(_U) + _U(0x51ED2701)))
-
-
-def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of keys in a sorted table; -1 where absent."""
-    if not len(table):
-        return np.full(len(keys), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return np.where(table[at] == keys, at, -1)
-
-
 def root(counts: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
     """Root probabilities of words by their training counts; 0 is unknown."""
     if not n:
@@ -70,59 +63,18 @@ def root(counts: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
     return np.where(counts > 0, (counts - DISCOUNT) / n, DISCOUNT * vocabulary / n)
 
 
-@dataclass
-class Level:
-    """Contexts of one depth: sorted keys, occurrences; the next symbols listed for them; and what the test kept."""
-
-    keys: np.ndarray
-    totals: np.ndarray
-    rest: np.ndarray
-    kept: np.ndarray
-    pair: np.ndarray
-    share: np.ndarray
-
-
-class Tree:
-    """All levels in one place, and the paths of a token stream through them; for corpora whose tree is small."""
-
-    def __init__(self, n: int, vocabulary: int):
-        self.n, self.vocabulary = n, vocabulary
-        self.levels: list[Level] = []
-
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        """Root probabilities of words by their training counts; 0 is unknown."""
-        return root(counts, self.n, self.vocabulary)
-
-    def states(self, tokens: np.ndarray, words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For each depth, the context that ends at each token (-1: none). first: flags of documents' first tokens."""
-        out: list[np.ndarray] = []
-        for depth, level in enumerate(self.levels):
-            if not depth:
-                by_word = find(level.keys, words)
-                out.append(by_word[tokens])
-                continue
-            state = np.full(len(tokens), -1, np.int64)
-            before = np.full(len(tokens), -1, np.int64)
-            before[1:] = out[-1][:-1]
-            before[first] = -1
-            at = np.flatnonzero((before >= 0) & (out[0] >= 0))
-            state[at] = find(level.keys, pair_keys(self.levels[depth - 1].keys[before[at]], words[tokens[at]]))
-            out.append(state)
-        return out
-
-    def probabilities(self, tokens: np.ndarray, words: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Probability of each token after the longest kept suffix before it."""
-        p = self.root(counts)[tokens]
-        for level, state in zip(self.levels, self.states(tokens, words, first), strict=True):
-            before = np.full(len(tokens), -1, np.int64)
-            before[1:] = state[:-1]
-            before[first] = -1
-            at = np.flatnonzero(before >= 0)
-            at = at[level.kept[before[at]]]
-            place = find(level.pair, pair_keys(level.keys[before[at]], words[tokens[at]]))
-            own = np.where(place >= 0, level.share[np.maximum(place, 0)], 0.0) if len(level.pair) else 0.0
-            p[at] = own + level.rest[before[at]] * p[at]
-        return p
+def rest_of(listed: np.ndarray, symbols: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Mass of contexts that goes to their suffix: listed is the sum of the counts of their listed symbols."""
+    return np.maximum(1 - (listed - DISCOUNT * symbols) / np.maximum(totals, 1), 1e-12)
+
+
+def is_kept(gain: np.ndarray, listed: np.ndarray, symbols: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The divergence test. gain: what the listed symbols win, in nats."""
+    lost = np.maximum(totals - listed, 0) * np.log(rest_of(listed, symbols, totals))
+    return (symbols > 0) & (gain + lost >= COST * symbols)
+
+
+# ---- packed numbers ------------------------------------------------------------------------------
 
 
 def _first(counts: np.ndarray) -> np.ndarray:
@@ -153,6 +105,28 @@ def unpack_tokens(by_frequency: np.ndarray, data) -> np.ndarray:
     return by_frequency[whole(data, np.uint32)].astype(np.int64)
 
 
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers in one compressed piece: the length of each, then its bytes from the lowest."""
+    lengths = np.array([len(c) for c in columns], np.int64).tobytes()
+    raw = lengths + b"".join(planes(c) for c in columns)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    out, at = [], 8 * len(kinds)
+    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)), kinds, strict=True):
+        size = int(n) * np.dtype(kind).itemsize
+        out.append(whole(raw[at : at + size], kind))
+        at += size
+    return out
+
+
+def steps(rising: np.ndarray) -> np.ndarray:
+    """Differences of rising numbers; ``np.cumsum`` undoes it."""
+    return np.diff(rising, prepend=rising.dtype.type(0))
+
+
 # ---- slices --------------------------------------------------------------------------------------
 
 
@@ -190,52 +164,50 @@ def opened(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 
 def _bits(n: float) -> int:
-    return max(0, int(np.ceil(np.log2(max(n / GROUP_WORDS, 1)))))
-
-
-def _cuts(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
-    if not bits:
-        return np.array([0, len(sorted_hashes)])
-    return np.searchsorted(sorted_hashes >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=_U))
-
-
-def _numbers(column: pa.ChunkedArray, kind: type) -> list[np.ndarray]:
-    return [whole(x.as_buffer(), kind) for x in column]
+    return max(0, int(np.ceil(np.log2(max(n / GROUP_PAIRS, 1)))))
 
 
 def _packed(values: list[np.ndarray]) -> pa.Array:
     return pa.array([planes(v) for v in values], pa.binary())
 
 
-def word_counts(held: DataFrame, n_words: int, least: int) -> DataFrame:
-    """Rows (slice, g, counts): corpus counts of each slice's words, group by group; the first row of a group also has
-    the group's vocabulary, and the words counted at least ``least`` times."""
+def _blobs(rows: pa.Table, *kinds: type) -> list[list[np.ndarray]]:
+    """Columns of all packed pieces of a group: for each column, a list by piece."""
+    return [list(c) for c in zip(*(unpack(x.as_py(), *kinds) for x in rows.column("data")), strict=True)]
+
+
+def word_counts(held: DataFrame, n_words: int) -> DataFrame:
+    """Rows (slice, g, data): corpus counts of each slice's words, group by group, and the numbers of those that occur
+    ``LEAST`` times: the group, and the place by falling count. The first row of a group also has its vocabulary."""
     bits = _bits(n_words)
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            for number, words, trained in zip(batch.column("slice").to_pylist(), _numbers(batch.column("words"), _U), _numbers(batch.column("trained"), np.uint32), strict=True):
-                cuts = _cuts(words, bits)
-                g = [k for k in range(1 << bits) if cuts[k + 1] > cuts[k]]
-                yield pa.record_batch({"g": pa.array(g, pa.int32()), "slice": pa.array([number] * len(g), pa.int64()), "words": _packed([words[cuts[k] : cuts[k + 1]] for k in g]), "n": _packed([trained[cuts[k] : cuts[k + 1]] for k in g])})
+            for k in range(batch.num_rows):
+                words, trained = (whole(batch.column(c)[k].as_buffer(), t) for c, t in (("words", _U), ("trained", np.uint32)))
+                cuts = np.searchsorted(words >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=_U)) if bits else np.array([0, len(words)])
+                g = [x for x in range(1 << bits) if cuts[x + 1] > cuts[x]]
+                data = [pack(steps(words[cuts[x] : cuts[x + 1]]), trained[cuts[x] : cuts[x + 1]]) for x in g]
+                yield pa.record_batch({"g": pa.array(g, pa.int32()), "slice": pa.array([batch.column("slice")[k].as_py()] * len(g), pa.int64()), "data": pa.array(data, pa.binary())})
 
     def total(table: pa.Table) -> pa.Table:
-        parts = _numbers(table.column("words"), _U)
+        release()
+        parts, trained = _blobs(table, _U, np.uint32)
+        parts = [np.cumsum(p, dtype=_U) for p in parts]
         words, place = np.unique(np.concatenate(parts), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate(_numbers(table.column("n"), np.uint32)).astype(np.float64)).astype(np.int64)
+        counts = np.bincount(place, weights=np.concatenate(trained)).astype(np.int64)
+        number = np.empty(len(words), np.uint32)
+        number[np.argsort(-counts, kind="stable")] = np.arange(len(words), dtype=np.uint32)
         ends = np.cumsum([len(p) for p in parts])
-        back = [counts[place[e - len(p) : e]] for e, p in zip(ends, parts, strict=True)]
-        common = counts >= least
-        rest = len(parts) - 1
-        return pa.table(
-            {
-                "slice": table.column("slice"), "g": table.column("g"), "counts": _packed(back), "vocabulary": pa.array([int((counts > 0).sum())] + [0] * rest, pa.int64()),
-                "common": _packed([words[common]] + [words[:0]] * rest), "common_n": _packed([counts[common]] + [counts[:0]] * rest),
-            }
-        )
+        back = []
+        for e, p in zip(ends, parts, strict=True):
+            at = place[e - len(p) : e]
+            back.append(pack(counts[at], number[at[counts[at] >= LEAST]]))
+        vocabulary = [int((counts > 0).sum())] + [0] * (len(parts) - 1)
+        return pa.table({"slice": table.column("slice"), "g": table.column("g"), "data": pa.array(back, pa.binary()), "vocabulary": pa.array(vocabulary, pa.int64())})
 
-    sent = held.select("slice", "words", "trained").mapInArrow(send, "g int, slice long, words binary, n binary")
-    return sent.groupBy("g").applyInArrow(total, "slice long, g int, counts binary, vocabulary long, common binary, common_n binary")
+    sent = held.select("slice", "words", "trained").mapInArrow(send, "g int, slice long, data binary")
+    return sent.groupBy("g").applyInArrow(total, "slice long, g int, data binary, vocabulary long")
 
 
 # ---- learning ------------------------------------------------------------------------------------
@@ -256,157 +228,183 @@ def distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return both[new], place[new], number
 
 
-def rest_of(listed: np.ndarray, symbols: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Mass of contexts that goes to their suffix: listed is the sum of the counts of their listed symbols."""
-    return np.maximum(1 - (listed - DISCOUNT * symbols) / np.maximum(totals, 1), 1e-12)
+class Hot:
+    """Sums of the contexts that are split over groups: those kept, by number."""
 
+    def __init__(self, rows: list | None = None):
+        rows = sorted(rows or [])
+        self.ids = np.array([r[0] for r in rows], np.int64).astype(_U)
+        totals, listed, symbols, gain = (np.array([r[k] for r in rows], float) for k in range(1, 5))
+        kept = is_kept(gain, listed, symbols, totals) if rows else np.zeros(0, bool)
+        self.listed, self.symbols = np.where(kept, listed, 0).astype(np.int64), np.where(kept, symbols, 0).astype(np.int64)
 
-class Paths:
-    """A slice's tokens on their way down the tree: at each depth the contexts that end before tokens, and probabilities so far."""
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
+        there = self.ids[at] == ids
+        return np.where(there, self.listed[at], 0), np.where(there, self.symbols[at], 0)
 
-    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, counts: np.ndarray, n: int, vocabulary: int):
-        self.words, self.tokens, self.first = words, tokens, _first(lengths)
-        self.p = root(counts, n, vocabulary)[tokens]
-        self.may_list = (counts >= LEAST)[tokens]  # a symbol can only be listed where it was after the suffix
-        self.keys, self.totals = words, counts
-        self.state = np.where(self.may_list & (words != END)[tokens], tokens, -1)
 
-    def meet(self) -> None:
-        """Contexts before tokens by rising key, and their next symbols."""
+class Paths:
+    """A slice's tokens on their way down the tree: at each depth the context that ends before each token, and probabilities so far.
+
+    Words are numbered within the slice by rising global number, those that may not be listed last, and so are the
+    contexts of a depth; so what is sent rises within each group.
+    """
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, counts: np.ndarray, ids: np.ndarray, n: int, vocabulary: int):
+        """ids: global numbers of the words that occur ``LEAST`` times."""
+        common = counts >= LEAST
+        order = np.concatenate([np.flatnonzero(common)[np.argsort(ids)], np.flatnonzero(~common)])
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        self.words, self.tokens, self.first = words[order], place[tokens], _first(lengths)
+        counts = counts[order]
+        self.counts, self.ids = counts, np.sort(ids)
+        self.p = root(counts, n, vocabulary)[self.tokens]
+        self.may_list = self.tokens < len(ids)  # a symbol can only be listed where it was after the suffix
+        self.keys, self.totals = self.ids, counts[: len(ids)]
+        self.state = np.where(self.may_list & (self.words != END)[self.tokens], self.tokens, -1)
+
+    def _groups(self, contexts: np.ndarray, words: np.ndarray | None, bits: int, hot: int) -> np.ndarray:
+        """Groups of contexts; those that are split go on by next symbol."""
+        ways = -(-self.totals[contexts] // hot)
+        salt = np.zeros(len(contexts), _U) if words is None else np.where(ways > 1, mix(self.words[words]) % ways.astype(_U), _U(0))
+        return (mix(mix(self.keys[contexts]) + salt) >> _U(64 - bits)).astype(np.uint32) if bits else np.zeros(len(contexts), np.uint32)
+
+    def meet(self, bits: int, hot: int) -> None:
+        """Contexts and their next symbols, by group and then by rising numbers."""
         before = np.concatenate([[-1], self.state[:-1]])
-        self.after = np.flatnonzero((before >= 0) & ~self.first)
-        seen = np.zeros(len(self.keys), bool)
-        seen[before[self.after]] = True
-        used = np.flatnonzero(seen)
-        used = used[np.argsort(self.keys[used], kind="stable")]
-        rank = np.zeros(len(self.keys), np.int64)
-        rank[used] = np.arange(len(used))
-        self.context_keys, self.context_totals = self.keys[used], self.totals[used]
-        self.context = rank[before[self.after]]
-        self.open = np.flatnonzero(self.may_list[self.after])
-        at = self.after[self.open]
-        codes, self.example, self.pair = distinct(self.context[self.open] * len(self.words) + self.tokens[at])
-        self.pair_context, self.pair_word = codes // len(self.words), codes % len(self.words)
-
-    def take(self, n: np.ndarray, listed: np.ndarray, symbols: np.ndarray) -> None:
-        """Counts of the pairs (0: not listed), and sums of the contexts (0 symbols: not kept); then one depth down."""
-        kept, rest = symbols > 0, rest_of(listed, symbols, self.context_totals)
-        own = np.zeros(len(self.after))
-        share = np.where(n > 0, (n - DISCOUNT) / np.maximum(self.context_totals[self.pair_context], 1), 0.0)
-        own[self.open] = share[self.pair]
-        down = np.flatnonzero(kept[self.context])
-        at = self.after[down]
-        self.p[at] = own[down] + rest[self.context[down]] * self.p[at]
-        found = self.open[(n > 0)[self.pair]]
+        before[self.first] = -1
+        self.context_of = before
+        self.open = np.flatnonzero((before >= 0) & self.may_list)
+        width = max(len(self.ids), 1)
+        codes, self.example, self.pair = distinct(before[self.open] * width + self.tokens[self.open])
+        self.pair_context, self.pair_word = codes // width, codes % width
+        group = self._groups(self.pair_context, self.pair_word, bits, hot)
+        self.sent = np.argsort(group.astype(np.uint16) if bits <= 16 else group, kind="stable")
+        self.pair_group, context = group[self.sent], self.pair_context[self.sent]
+        starts = np.flatnonzero(np.concatenate([[True], (self.pair_group[1:] != self.pair_group[:-1]) | (context[1:] != context[:-1])])) if len(context) else np.zeros(0, np.int64)
+        # contexts that are met here before no symbol that may be listed need their sums as well; those of split ones come to all
+        bare = np.zeros(len(self.keys), bool)
+        bare[before[before >= 0]] = True
+        bare[context] = False
+        bare = np.flatnonzero(bare & (self.totals <= hot))
+        contexts, groups = np.concatenate([context[starts], bare]), np.concatenate([self.pair_group[starts], self._groups(bare, None, bits, hot)])
+        order = np.lexsort((contexts, groups))
+        self.run_context, self.run_group = contexts[order], groups[order]
+        self.runs = np.concatenate([np.diff(np.append(starts, len(context))), np.zeros(len(bare), np.int64)])[order].astype(np.uint32)
+
+    def pieces(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        """(group, packed contexts and pairs); train: flags of the tokens that count."""
+        times = np.bincount(self.pair, weights=train[self.open], minlength=len(self.pair_word)).astype(np.uint32)[self.sent]
+        below = np.minimum(np.round(-STEPS * np.log2(self.p[self.open[self.example]])), 255).astype(np.uint8)[self.sent]
+        word = self.ids[self.pair_word[self.sent]]
+        keys, totals = self.keys[self.run_context], self.totals[self.run_context]
+        groups = np.unique(self.run_group)
+        sides = [[np.searchsorted(held, groups, side) for side in ("left", "right")] for held in (self.run_group, self.pair_group)]
+        for g, a, b, c, d in zip(groups, *sides[0], *sides[1], strict=True):
+            yield int(g), pack(steps(keys[a:b]), totals[a:b], self.runs[a:b], word[c:d], times[c:d], below[c:d])
+
+    def take(self, back: list[tuple[int, bytes]], hot: Hot, hot_from: int) -> None:
+        """What the groups returned, by group; then one depth down."""
+        parts = [unpack(data, np.uint32, np.uint32, np.int64, np.int64) for _, data in sorted(back)]
+        empty = [np.zeros(0, k) for k in (np.uint32, np.uint32, np.int64, np.int64)]
+        n_sent, _, listed_run, symbols_run = (np.concatenate([e, *[x[k] for x in parts]]) for k, e in enumerate(empty))
+        ids_sent = np.concatenate([np.zeros(0, _U), *[(_U(g) << _U(32)) + np.cumsum(x[1], dtype=_U) for (g, _), x in zip(sorted(back), parts, strict=True)]])
+        listed, symbols = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        listed[self.run_context], symbols[self.run_context] = listed_run, symbols_run
+        split = np.flatnonzero(self.totals > hot_from)
+        listed[split], symbols[split] = hot.of(self.keys[split])
+        n = np.empty(len(self.sent), np.int64)
+        n[self.sent] = n_sent
+        rest, kept = rest_of(listed, symbols, self.totals), symbols > 0
+        down = np.flatnonzero(self.context_of >= 0)
+        down = down[kept[self.context_of[down]]]
+        self.p[down] *= rest[self.context_of[down]]
+        share = np.where((n > 0) & kept[self.pair_context], (n - DISCOUNT) / np.maximum(self.totals[self.pair_context], 1), 0.0)
+        self.p[self.open] += share[self.pair]
+        # listed pairs are the contexts of the next depth, by rising number
+        found = np.zeros(len(n), _U)
+        found[self.sent[n_sent > 0]] = ids_sent
+        some = np.flatnonzero(n > 0)
+        some = some[np.argsort(found[some])]
+        number = np.full(len(n), -1, np.int64)
+        number[some] = np.arange(len(some))
+        self.keys, self.totals = found[some], n[some]
         self.may_list = np.zeros(len(self.tokens), bool)
-        self.may_list[self.after[found]] = True
+        self.may_list[self.open[(n > 0)[self.pair]]] = True
         self.state = np.full(len(self.tokens), -1, np.int64)
-        self.state[self.after[self.open]] = np.where(((n > 0) & (self.words[self.pair_word] != END))[self.pair], self.pair, -1)
-        self.keys, self.totals = pair_keys(self.context_keys[self.pair_context], self.words[self.pair_word]), n
+        self.state[self.open] = np.where((self.words != END)[self.pair_word], number, -1)[self.pair]
 
 
-_BACK = ("n", "listed", "symbols")
+def paths_of(batch: pa.RecordBatch, k: int, n: int, vocabulary: int, bits: int, hot: int, hots: list[Hot]) -> tuple[Paths, np.ndarray]:
+    """A slice's paths down to a depth with what its groups returned, and its lengths."""
+    words, tokens, lengths = opened(batch, k)
+    back = lambda name: [(x["g"], x["data"]) for x in batch.column(name)[k].as_py() or []]
+    parts = [(g, *unpack(data, np.int64, np.uint32)) for g, data in sorted(back("words_back"))]
+    counts = np.concatenate([np.zeros(0, np.int64), *[c for _, c, _ in parts]])
+    ids = np.concatenate([np.zeros(0, _U), *[(_U(g) << _U(32)) + i for g, _, i in parts]])
+    paths = Paths(words, tokens, lengths, counts, ids, n, vocabulary)
+    for d, sums in enumerate(hots):
+        paths.meet(bits, hot)
+        paths.take(back(f"back{d}"), sums, hot)
+    return paths, lengths
 
 
-def paths_of(batch: pa.RecordBatch, k: int, n: int, vocabulary: int, depth: int) -> tuple[Paths, np.ndarray, np.ndarray]:
-    """A slice's paths down to a depth with what its groups returned, its words' corpus counts and its lengths."""
-    words, tokens, lengths = opened(batch, k)
-    back = lambda name: sorted(batch.column(name)[k].as_py() or [], key=lambda x: x["g"])
-    joined = lambda parts, c: np.concatenate([np.zeros(0, np.int64), *[whole(x[c], np.int64) for x in parts]])
-    counts = joined(back("words_back"), "counts")
-    paths = Paths(words, tokens, lengths, counts, n, vocabulary)
-    for d in range(depth):
-        parts = back(f"back{d}")
-        paths.meet()
-        paths.take(*[joined(parts, c) for c in _BACK])
-    return paths, counts, lengths
-
-
-def level_counts(sent_back: DataFrame, depth: int, n: int, vocabulary: int, n_tokens: float, model: bool = False) -> DataFrame:
-    """Rows (slice, g, n, listed, symbols): what the contexts of a depth and their next symbols have over all training
-    texts, for those each slice sent, group by group. model: also all contexts and pairs of a group, in its first row."""
-    bits = _bits(n_tokens * 2)
+def level_counts(sent_back: DataFrame, n: int, vocabulary: int, bits: int, hot: int, hots: list[Hot]) -> DataFrame:
+    """Rows (slice, g, data): what the contexts of the next depth and their next symbols have over all training texts, for
+    those each slice sent, group by group. The first row of a group also has the sums of its parts of split contexts."""
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for k in range(batch.num_rows):
-                paths, _, lengths = paths_of(batch, k, n, vocabulary, depth)
-                paths.meet()
-                train = ~np.repeat(np.array(batch.column("held")[k].as_py(), bool), lengths)
-                at = paths.after[paths.open]
-                times = np.bincount(paths.pair, weights=train[at], minlength=len(paths.pair_word)).astype(np.uint32)
-                below, word = paths.p[at[paths.example]].astype(np.float32), paths.words[paths.pair_word]
-                cuts = _cuts(paths.context_keys, bits)
-                runs = np.bincount(paths.pair_context, minlength=len(paths.context_keys)).astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum(runs)])
-                g = [x for x in range(1 << bits) if cuts[x + 1] > cuts[x]]
-                contexts = lambda v: _packed([v[cuts[x] : cuts[x + 1]] for x in g])  # noqa: E731, B023
-                pairs = lambda v: _packed([v[ends[cuts[x]] : ends[cuts[x + 1]]] for x in g])  # noqa: E731, B023
-                yield pa.record_batch(
-                    {
-                        "g": pa.array(g, pa.int32()), "slice": pa.array([batch.column("slice")[k].as_py()] * len(g), pa.int64()), "context": contexts(paths.context_keys), "total": contexts(paths.context_totals),
-                        "run": contexts(runs), "word": pairs(word), "n": pairs(times), "below": pairs(below),
-                    }
-                )
+                release()
+                paths, lengths = paths_of(batch, k, n, vocabulary, bits, hot, hots)
+                paths.meet(bits, hot)
+                pieces = list(paths.pieces(~np.repeat(np.array(batch.column("held")[k].as_py(), bool), lengths)))
+                yield pa.record_batch({"g": pa.array([g for g, _ in pieces], pa.int32()), "slice": pa.array([batch.column("slice")[k].as_py()] * len(pieces), pa.int64()), "data": pa.array([d for _, d in pieces], pa.binary())})
 
     def total(table: pa.Table) -> pa.Table:
-        runs, words = (_numbers(table.column(c), t) for c, t in (("run", np.int64), ("word", _U)))
-        run, word = np.concatenate(runs), np.concatenate(words)
-        keys, place = np.unique(np.concatenate(_numbers(table.column("context"), _U)), return_inverse=True)
-        totals = np.zeros(len(keys), np.int64)
-        totals[place] = np.concatenate(_numbers(table.column("total"), np.int64))
-        context = np.repeat(place, run)
-        pair = pair_keys(keys[context], word)
-        order = np.argsort(pair)
-        pair = pair[order]
-        new = np.concatenate([np.ones(min(len(pair), 1), bool), pair[1:] != pair[:-1]])
-        which = np.empty(len(pair), np.int64)
-        which[order] = np.cumsum(new) - 1
-        pair, example = pair[new], order[new]
-        counts = np.bincount(which, weights=np.concatenate(_numbers(table.column("n"), np.uint32)), minlength=len(pair)).astype(np.int64)
-        below = np.concatenate(_numbers(table.column("below"), np.float32))[example].astype(float)
-        owner = context[example]
+        release()
+        contexts, sums, runs, words, times, below = _blobs(table, _U, np.int64, np.uint32, _U, np.uint32, np.uint8)
+        contexts = [np.cumsum(c, dtype=_U) for c in contexts]
+        keys, at, place = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
+        totals = np.concatenate(sums)[at]
+        word_ids, word = np.unique(np.concatenate(words), return_inverse=True)
+        codes, example, which = distinct(np.repeat(place, np.concatenate(runs)) * len(word_ids) + word)
+        owner = codes // max(len(word_ids), 1)
+        counts = np.bincount(which, weights=np.concatenate(times), minlength=len(codes)).astype(np.int64)
         counts[counts < LEAST] = 0
-        at = np.flatnonzero(counts)
-        symbols = np.bincount(owner[at], minlength=len(keys))
-        listed = np.bincount(owner[at], weights=counts[at], minlength=len(keys)).astype(np.int64)
-        rest = rest_of(listed, symbols, totals)
-        gain = np.bincount(owner[at], weights=counts[at] * np.log(((counts[at] - DISCOUNT) / totals[owner[at]] + rest[owner[at]] * below[at]) / below[at]), minlength=len(keys))
-        kept = (symbols > 0) & (gain + np.maximum(totals - listed, 0) * np.log(rest) >= COST * symbols)
-        symbols, listed = np.where(kept, symbols, 0), np.where(kept, listed, 0)
-        run_ends, pair_ends = np.cumsum([len(x) for x in runs]), np.cumsum([len(x) for x in words])
-        by_run = lambda v: _packed([v[place[e - len(x) : e]] for e, x in zip(run_ends, runs, strict=True)])
-        out = {"slice": table.column("slice"), "g": table.column("g"), "n": _packed([counts[which[e - len(x) : e]] for e, x in zip(pair_ends, words, strict=True)]), "listed": by_run(listed), "symbols": by_run(symbols)}
-        if model:
-            some = at[kept[owner[at]]]
-            first = lambda v: _packed([v] + [v[:0]] * (len(runs) - 1))
-            out |= {"keys": first(keys), "totals": first(totals), "rest": first(rest), "kept": first(kept.astype(np.uint8)), "pair": first(pair[some]), "share": first((counts[some] - DISCOUNT) / totals[owner[some]])}
-        return pa.table(out)
-
-    sent = sent_back.mapInArrow(send, "g int, slice long, context binary, total binary, run binary, word binary, n binary, below binary")
-    return sent.groupBy("g").applyInArrow(total, "slice long, g int, n binary, listed binary, symbols binary" + (", keys binary, totals binary, rest binary, kept binary, pair binary, share binary" if model else ""))
-
-
-def with_back(held: DataFrame, counted: DataFrame, levels: list[DataFrame], *columns: str) -> DataFrame:
-    """Slices with what their groups returned."""
-    out = held.select("slice", "held", "lengths", "words", "order", "tokens", *columns)
-    out = out.join(counted.groupBy("slice").agg(F.collect_list(F.struct("g", "counts")).alias("words_back")), "slice")
-    for d, level in enumerate(levels):
-        out = out.join(level.groupBy("slice").agg(F.collect_list(F.struct("g", *_BACK)).alias(f"back{d}")), "slice", "left")
-    return out
-
-
-def learn(held: DataFrame, counted: DataFrame, n: int, n_tokens: float) -> Tree:
-    """The whole tree on the driver, to look into; scoring does not gather it."""
-    tree = Tree(n, counted.agg(F.sum("vocabulary")).first()[0])
-    done: list[DataFrame] = []
-    for depth in range(MAX_DEPTH):
-        done.append(materialize(level_counts(with_back(held, counted, done), depth, n, tree.vocabulary, n_tokens, model=True), f"level{depth}"))
-        rows = done[-1].select("keys", "totals", "rest", "kept", "pair", "share").collect()
-        keys, totals, rest, kept, pair, share = (np.concatenate([np.zeros(0, t), *[whole(r[k], t) for r in rows]]) for k, t in enumerate((_U, np.int64, float, np.uint8, _U, float)))
-        by_key, by_pair = np.argsort(keys), np.argsort(pair)
-        tree.levels.append(Level(keys[by_key], totals[by_key], rest[by_key], kept[by_key].astype(bool), pair[by_pair], share[by_pair]))
-    return tree
+        there = np.flatnonzero(counts)
+        number = (np.cumsum(counts > 0) - 1).astype(np.uint32)
+        p = np.exp2(-np.concatenate(below)[example[there]].astype(float) / STEPS)
+        of = owner[there]
+        gains = counts[there] * np.log((counts[there] - DISCOUNT) / totals[of] / p)
+        symbols, listed, gain = (np.bincount(of, weights=v, minlength=len(keys)) for v in (None, counts[there], gains))
+        listed, parted = listed.astype(np.int64), totals > hot
+        kept = is_kept(gain, listed, symbols, totals)
+        back, pair_at, run_at = [], 0, 0
+        for c, w in zip(contexts, words, strict=True):
+            mine, own = which[pair_at : pair_at + len(w)], place[run_at : run_at + len(c)]
+            pair_at, run_at = pair_at + len(w), run_at + len(c)
+            n_of = counts[mine].astype(np.uint32)
+            returned = lambda v, own=own: np.where(kept[own] & ~parted[own], v[own], 0).astype(np.int64)
+            back.append(pack(n_of, steps(number[mine[n_of > 0]]), returned(listed), returned(symbols)))
+        hot_rows = [{"id": int(keys[k]), "total": int(totals[k]), "listed": int(listed[k]), "symbols": int(symbols[k]), "gain": float(gain[k])} for k in np.flatnonzero(parted)]
+        kind = pa.list_(pa.struct([("id", pa.int64()), ("total", pa.int64()), ("listed", pa.int64()), ("symbols", pa.int64()), ("gain", pa.float64())]))
+        return pa.table({"slice": table.column("slice"), "g": table.column("g"), "data": pa.array(back, pa.binary()), "split": pa.array([hot_rows] + [[]] * (len(back) - 1), kind)})
+
+    sent = sent_back.mapInArrow(send, "g int, slice long, data binary")
+    return sent.groupBy("g").applyInArrow(total, "slice long, g int, data binary, split array<struct<id:bigint,total:bigint,listed:bigint,symbols:bigint,gain:double>>")
+
+
+def returned(df: DataFrame, buckets: int, name: str, other: str) -> DataFrame:
+    """What the groups returned, a row a slice, written as the slices are; ``other`` is what first rows of groups have besides."""
+    rows = df.select("slice", F.struct("g", "data").alias("x"), other).repartition(buckets, "slice")
+    total = F.flatten(F.collect_list(other)) if dict(df.dtypes)[other].startswith("array") else F.sum(other)
+    return materialize(rows.groupBy("slice").agg(F.collect_list("x").alias(name), total.alias(f"{name}_{other}")), name, buckets=(buckets, "slice"))
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -414,24 +412,33 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     columns = f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    held = materialize(slices(docs.select(F.col(key).alias("id"), is_held_out(key).alias("held"), F.col(text).cast("string").alias("text"))), "slices")
+    made = docs.select(F.col(key).alias("id"), is_held_out(key).alias("held"), F.col(text).cast("string").alias("text"))
+    buckets = max(1, min(made.rdd.getNumPartitions(), 100_000))
+    held = materialize(slices(made), "slices", buckets=(buckets, "slice"))
     n, n_words, n_tokens = held.agg(F.sum("n_train"), F.sum("n_words"), F.sum(F.length("tokens") / 4)).first()
     if n is None:
         return docs.sparkSession.createDataFrame([], columns)
-    counted = materialize(word_counts(held, n_words, LEAST).select("slice", "g", "counts", "vocabulary"), "counts")
-    vocabulary = counted.agg(F.sum("vocabulary")).first()[0]
-    levels: list[DataFrame] = []
+    counted = returned(word_counts(held, n_words), buckets, "words_back", "vocabulary")
+    vocabulary = counted.agg(F.sum("words_back_vocabulary")).first()[0]
+    bits, hot = _bits(n_tokens), max(GROUP_PAIRS, int(n // MOST_HOT))
+    with_back = lambda base, back, name: base.join(back.select("slice", name).hint("shuffle_hash"), "slice", "left")
+    base = with_back(held.select("slice", "ids", "held", "lengths", "words", "order", "tokens"), counted, "words_back")
+    hots: list[Hot] = []
     for depth in range(MAX_DEPTH):
-        levels.append(materialize(level_counts(with_back(held, counted, levels), depth, n, vocabulary, n_tokens), f"level{depth}"))
+        level = returned(level_counts(base.drop("ids"), n, vocabulary, bits, hot, list(hots)), buckets, f"back{depth}", "split")
+        parts = level.select(F.inline(f"back{depth}_split")).groupBy("id").agg(F.max("total"), F.sum("listed"), F.sum("symbols"), F.sum("gain"))
+        hots.append(Hot([tuple(r) for r in parts.collect()]))
+        base = with_back(base, level, f"back{depth}")
 
     def apply(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base_of = n + BASE_ADD * (vocabulary + 1)
         for batch in rows:
             for k in range(batch.num_rows):
-                paths, counts, lengths = paths_of(batch, k, n, vocabulary, MAX_DEPTH)
+                release()
+                paths, lengths = paths_of(batch, k, n, vocabulary, bits, hot, hots)
                 starts = np.cumsum(lengths) - lengths
                 ids, flags = batch.column("ids")[k].values, batch.column("held")[k].values
-                sums = [np.add.reduceat(x, starts) for x in ((counts > 0)[paths.tokens].astype(np.int64), np.log10((counts + BASE_ADD) / base_of)[paths.tokens], np.log10(paths.p))]
+                sums = [np.add.reduceat(x, starts) for x in ((paths.counts > 0)[paths.tokens].astype(np.int64), np.log10((paths.counts + BASE_ADD) / base_of)[paths.tokens], np.log10(paths.p))]
                 yield pa.RecordBatch.from_arrays([ids, flags, pa.array(lengths), pa.array(sums[0]), pa.array(np.full(len(lengths), n)), pa.array(sums[1]), pa.array(sums[2])], names=[c.split()[0] for c in columns.split(", ")])
 
-    return with_back(held, counted, levels, "ids").drop("slice").mapInArrow(apply, columns)
+    return base.drop("slice").mapInArrow(apply, columns)

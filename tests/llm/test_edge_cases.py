@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, one operator after the other."""
 
+import collections
 import math
 import random
 import zlib
@@ -227,23 +228,69 @@ def test_language_model_odd_rows(odd, none):
     assert suffix_tree_lm.score(none).count() == 0
 
 
-def test_language_model_is_a_distribution(spark):
-    rows = [(k, prose(30, k % 3) + " the end of it", "") for k in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    held = suffix_tree_lm.slices(docs.select(F.col("doc_id").alias("id"), F.lit(False).alias("held"), "text")).checkpoint()
-    n, n_words, n_tokens = held.agg(F.sum("n_train"), F.sum("n_words"), F.sum(F.length("tokens") / 4)).first()
-    tree = suffix_tree_lm.learn(held, suffix_tree_lm.word_counts(held, n_words, 2), n, n_tokens)
-    assert any(level.kept.any() for level in tree.levels)
-    counted = suffix_tree_lm.word_counts(held, n_words, 1).collect()
-    vocabulary = np.concatenate([suffix_tree_lm.whole(r["common"], np.uint64) for r in counted])
-    counts = np.concatenate([suffix_tree_lm.whole(r["common_n"], np.int64) for r in counted])
-    stranger = np.append(vocabulary, np.uint64(12345))
-    for context in range(0, len(vocabulary), max(1, len(vocabulary) // 20)):
-        total = 0.0
-        for word in range(len(stranger)):
-            tokens, first = np.array([context, word]), np.array([True, False])
-            total += tree.probabilities(tokens, stranger, np.append(counts, 0), first)[1]
-        assert total == pytest.approx(1, abs=1e-6)
+class PlainTree:
+    """The model from its definition, with dictionaries."""
+
+    def __init__(self, texts):
+        lm = suffix_tree_lm
+        self.n, self.counts = sum(map(len, texts)), collections.Counter(w for t in texts for w in t)
+        self.levels = []
+        totals = {(w,): c for w, c in self.counts.items() if c >= lm.LEAST and w is not None}
+        allowed = {(): {w for w, c in self.counts.items() if c >= lm.LEAST}}
+        for depth in range(1, lm.MAX_DEPTH + 1):
+            after = collections.defaultdict(collections.Counter)
+            for t in texts:
+                for k in range(depth, len(t)):
+                    context = tuple(t[k - depth : k])
+                    if context in totals and t[k] in allowed.get(context[1:], ()):
+                        after[context][t[k]] += 1
+            listed = {c: {w: m for w, m in seen.items() if m >= lm.LEAST} for c, seen in after.items()}
+            kept = {}
+            for context, found in listed.items():
+                total, held = totals[context], sum(found.values())
+                rest = max(1 - (held - lm.DISCOUNT * len(found)) / total, 1e-12)
+                below = {w: 2.0 ** (-round(-lm.STEPS * math.log2(self.probability(context[1:], w, depth - 1))) / lm.STEPS) for w in found}
+                gain = sum(m * math.log((m - lm.DISCOUNT) / total / below[w]) for w, m in found.items())
+                if found and gain + (total - held) * math.log(rest) >= lm.COST * len(found):
+                    kept[context] = (found, total, rest)
+            self.levels.append(kept)
+            allowed = {c: set(found) for c, found in listed.items()}
+            totals = {(*c, w): m for c, found in listed.items() for w, m in found.items() if w is not None}
+
+    def probability(self, before, word, depth=None):
+        lm = suffix_tree_lm
+        c = self.counts.get(word, 0)
+        p = (c - lm.DISCOUNT) / self.n if c else lm.DISCOUNT * len(self.counts) / self.n
+        for d, kept in enumerate(self.levels[: len(self.levels) if depth is None else depth], 1):
+            context = tuple(before[-d:])
+            if len(before) >= d and context in kept:
+                found, total, rest = kept[context]
+                p = max(found.get(word, 0) - lm.DISCOUNT, 0) / total + rest * p
+        return p
+
+    def score(self, text):
+        return sum(math.log10(self.probability(text[max(0, k - suffix_tree_lm.MAX_DEPTH) : k], w)) for k, w in enumerate(text))
+
+
+@pytest.mark.parametrize("group", [1 << 19, 40])
+def test_language_model_against_its_definition(spark, group, monkeypatch):
+    """Scores equal those of the plain tree, also where contexts are split over groups and texts over slices; its distributions sum to one."""
+    monkeypatch.setattr(suffix_tree_lm, "GROUP_PAIRS", group)
+    monkeypatch.setattr(suffix_tree_lm, "SLICE_BYTES", 4000)
+    rng = random.Random(8)
+    words_ = [prose(1, k)[:-1] for k in range(60)]
+    phrase = lambda: " ".join(rng.choices(words_, weights=[1 / (k + 1) for k in range(60)], k=rng.randint(1, 25)))
+    some = [phrase() for _ in range(40)]
+    rows = [(k, " ".join(rng.choice(some) if rng.random() < 0.6 else phrase() for _ in range(3)) + (f" new{k}" if k % 9 == 0 else "")) for k in range(250)] + [(k, None) for k in range(250, 255)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = {k: [*(t or "").lower().split(), None] for k, t in rows}
+    tree = PlainTree([t for k, t in texts.items() if zlib.crc32(str(k).encode()) % 10])
+    assert all(tree.levels)
+    got = {r.doc_id: r.score for r in suffix_tree_lm.score(docs).collect()}
+    assert got == pytest.approx({k: tree.score(t) for k, t in texts.items()}, rel=1e-9)
+    for context in [(), *(c for kept in tree.levels for c in list(kept)[:30])]:
+        assert sum(tree.probability(context, w) for w in [*tree.counts, "stranger"]) == pytest.approx(1, abs=1e-9)
+
 
 def test_language_model_lists_what_occurs_twice_at_any_size(spark):
     phrase = "alpha beta gamma"
