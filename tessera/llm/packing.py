@@ -207,7 +207,7 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: tuple[str | None, str | None] = (None, None)) -> DataFrame:
-    """Rows for each piece: key, piece, start, length, ids_crc32, and part, a hash that spreads equal lengths."""
+    """Rows for each piece: key, piece, start, length, ids_crc32, and part, a number of the row that spreads equal lengths, whatever the keys."""
     kind = docs.schema[key].dataType.simpleString()
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,8 +230,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
                 }
             )
 
-    part = F.xxhash64(F.col(key), F.lit("part"))
-    made = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), part.alias("part")).mapInArrow(make, PIECES.format(key=kind))
+    made = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("part")).mapInArrow(make, PIECES.format(key=kind))
     return made.withColumnRenamed("doc_id", key) if key != "doc_id" else made
 
 
@@ -242,7 +241,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
     counts = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
     placement = Placement(plan(counts, capacity))
     parts = max(1, sum(counts.values()) // GROUP_ROWS)
-    grouped = made.withColumn("part", F.pmod("part", F.lit(parts)))
+    grouped = made.withColumn("part", F.pmod(F.xxhash64("part", "piece"), F.lit(parts)))
     held = grouped.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = held.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -174,6 +174,18 @@ def test_packing_odd_rows(odd, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_spreads_rows_that_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 50)
+    docs = spark.createDataFrame([(None, "same text")] * 900 + [(1, prose(9000, 4))], "doc_id long, text string")
+    parts = packing.pieces(docs).select(F.pmod(F.xxhash64("part", "piece"), F.lit(18)).alias("g"), "length").groupBy("length", "g").count()
+    assert parts.agg(F.max("count")).first()[0] < 100
+    out = packing.pack(docs).collect()
+    spans = {}
+    for r in out:
+        spans.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all([a for a, _ in sorted(s)] == list(np.cumsum([0, *[n for _, n in sorted(s)][:-1]])) and sum(n for _, n in s) <= 2048 for s in spans.values())
+
+
 # ---- pivot search ----
 
 
