@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,13 +14,15 @@ _CHECKPOINT = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) a temporary folder takes its place.
+    Only where that is unset in a session of one machine (as in tests) a temporary folder takes its place.
     """
     named = spark.sparkContext.getConf().get(_CHECKPOINT) or spark.conf.get(_CHECKPOINT, None)
     if named:
         return named
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"a cluster has to name its shared folder in {_CHECKPOINT}")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         held = spark.sparkContext.getCheckpointDir()
     return held
@@ -48,6 +51,12 @@ def materialize(df: DataFrame, name: str, buckets: tuple[int, str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(spark: SparkSession) -> None:
+    """Delete what ``materialize`` has written; for callers that are done with all results that read it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/tables")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: texts handed to Python at once, in bytes
 BATCH_BYTES = 8 << 20
 

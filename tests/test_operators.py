@@ -232,3 +232,17 @@ def test_boundary_falls_back_to_the_midpoint():
     assert same.boundary_type == learning.MIDPOINT and same.boundary == 1.0
     assert learning.boundary_of((0.0, 4.0), (1.0, 1.0), 0.5).boundary == pytest.approx(2.0)
     assert not math.isnan(learning.boundary_of((0.0, 1.0), (1.0, 1.0), 0.001).boundary)
+
+
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tessera import runtime
+
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master=master, setCheckpointDir=lambda _: None))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="shared folder"):
+            runtime.shared_dir(unset(master))
+    made = runtime.materialize(spark.range(100).withColumn("k", F.col("id") % 7), "some", buckets=(4, "k"))
+    plan = made.join(made.groupBy("k").count(), "k")._jdf.queryExecution().executedPlan().toString()
+    assert made.count() == 100 and "Exchange hashpartitioning" not in plan.replace("BroadcastExchange", "")
