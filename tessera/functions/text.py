@@ -57,16 +57,25 @@ def token_similarity(a: Column, b: Column) -> Column:
     return jaccard(words(F.lower(a)), words(F.lower(b)))
 
 
+def normal(text: Column) -> Column:
+    """Lower-cased and stripped: what edit similarities compare."""
+    return strip(F.lower(text))
+
+
 def edit_similarity(a: Column, b: Column) -> Column:
     """F6. One less the Levenshtein distance over the longer length, of lower-cased, stripped texts."""
-    a, b = strip(F.lower(a)), strip(F.lower(b))
+    return normal_similarity(normal(a), normal(b))
+
+
+def normal_similarity(a: Column, b: Column) -> Column:
+    """F6 of texts that are normal already."""
     longest = F.greatest(F.char_length(a), F.char_length(b))
     return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
 
 
-def edit_similarity_bound(a: Column, b: Column) -> Column:
-    """No edit similarity is larger: the shorter length over the longer. Cheap, for pruning before F6."""
-    a, b = F.char_length(strip(a)), F.char_length(strip(b))
+def normal_bound(a: Column, b: Column) -> Column:
+    """No edit similarity of normal texts is larger: the shorter length over the longer. Cheap, for pruning before F6."""
+    a, b = F.char_length(a), F.char_length(b)
     return F.when(F.greatest(a, b) == 0, F.lit(1.0)).otherwise(F.least(a, b) / F.greatest(a, b))
 
 

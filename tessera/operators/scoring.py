@@ -5,42 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import edit_similarity, edit_similarity_bound, strip
+from ..functions.text import normal, normal_bound, normal_similarity
 from .records import Fields
 
 #: means are compared at this many decimals, as sums of parts come in any order
 PLACES = 9
 
 
-def field_score(a: Column, b: Column, *, text: bool, target: bool, null_is_absent: bool, bound: bool = False) -> Column:
+NORMAL = "__normal_"
+
+
+def field_score(a: Column, b: Column, *, text: bool, target: bool, null_is_absent: bool, bound: bool = False, normals: tuple[Column, Column] | None = None) -> Column:
     """One field's part of the ambiguity score (F7).
 
     Equal +2. Different texts: of a target +2 where one holds the other, else twice their edit similarity; else -0.5.
     Present on one side only: -0.5. Any other difference: -1. ``bound``: at least the score, without an edit distance.
+    normals: both values lower-cased and stripped, where that is done once a value and not once a pair.
     """
     equal = F.when(a.eqNullSafe(b), F.lit(2.0))
     if null_is_absent:
         equal = F.when(a.isNull() & b.isNull(), F.lit(0.0)).when(a.isNull() | b.isNull(), F.lit(-0.5)).when(a == b, F.lit(2.0))
     if not text:
         return equal.otherwise(F.lit(-1.0))
-    x, y = strip(F.lower(a)), strip(F.lower(b))
     if not target:
         apart = F.lit(-0.5)
     else:
-        similar = edit_similarity_bound(a, b) if bound else edit_similarity(a, b)
+        x, y = normals or (normal(a), normal(b))
+        similar = normal_bound(x, y) if bound else normal_similarity(x, y)
         apart = F.when(F.contains(x, y) | F.contains(y, x), F.lit(2.0)).otherwise(2.0 * similar)
     return equal.when(a.isNotNull() & b.isNotNull(), apart).otherwise(F.lit(-1.0))
 
 
-def ambiguity(left: str, right: str, fields: Fields, bound: bool = False) -> Column:
-    """F7. The score of two records, structs ``left`` and ``right``: the sum over all fields."""
-    parts = [field_score(F.col(f"{left}.{f}"), F.col(f"{right}.{f}"), text=f in fields.text, target=f in fields.targets, null_is_absent=fields.null_is_absent, bound=bound) for f in fields.names]
+def ambiguity(left: str, right: str, fields: Fields, bound: bool = False, normals: bool = False) -> Column:
+    """F7. The score of two records, structs ``left`` and ``right``: the sum over all fields. normals: of ``record``."""
+
+    def score(f: str) -> Column:
+        sides = (F.col(f"{left}.{NORMAL}{f}"), F.col(f"{right}.{NORMAL}{f}")) if normals and f in fields.targets and f in fields.text else None
+        return field_score(F.col(f"{left}.{f}"), F.col(f"{right}.{f}"), text=f in fields.text, target=f in fields.targets, null_is_absent=fields.null_is_absent, bound=bound, normals=sides)
+
+    parts = [score(f) for f in fields.names]
     return sum(parts[1:], parts[0])
 
 
 def record(fields: Fields) -> Column:
-    """The fields of a record as one struct."""
-    return F.struct(*fields.names)
+    """The fields of a record as one struct, with the target texts lower-cased and stripped."""
+    return F.struct(*fields.names, *[normal(F.col(f)).alias(NORMAL + f) for f in fields.names if f in fields.targets and f in fields.text])
 
 
 def score_pairs(pairs: DataFrame, records: DataFrame, fields: Fields, left: str = "left", right: str = "right") -> DataFrame:
@@ -48,7 +57,7 @@ def score_pairs(pairs: DataFrame, records: DataFrame, fields: Fields, left: str
     values = records.select("ref", record(fields).alias("__r"))
     a = values.select(F.col("ref").alias(left), F.col("__r").alias("__a"))
     b = values.select(F.col("ref").alias(right), F.col("__r").alias("__b"))
-    return pairs.join(a, left).join(b, right).withColumn("score", ambiguity("__a", "__b", fields)).drop("__a", "__b")
+    return pairs.join(a, left).join(b, right).withColumn("score", ambiguity("__a", "__b", fields, normals=True)).drop("__a", "__b")
 
 
 def mean_ambiguity(records: DataFrame, fields: Fields) -> DataFrame:
@@ -63,9 +72,10 @@ def mean_ambiguity(records: DataFrame, fields: Fields) -> DataFrame:
     self_score = F.lit(0.0)
     sums = []
     for k, f in enumerate(fields.names):
-        values = held.groupBy("cluster_id", F.col(f).alias("v")).agg(F.count("*").alias("n"))
-        other = values.select("cluster_id", F.col("v").alias("w"), F.col("n").alias("m"))
-        score = field_score(F.col("v"), F.col("w"), text=f in fields.text, target=f in fields.targets, null_is_absent=fields.null_is_absent)
+        compared = f in fields.text and f in fields.targets
+        values = held.groupBy("cluster_id", F.col(f).alias("v")).agg(F.count("*").alias("n")).withColumn("x", normal(F.col("v")) if compared else F.lit(None))
+        other = values.select("cluster_id", F.col("v").alias("w"), F.col("n").alias("m"), F.col("x").alias("y"))
+        score = field_score(F.col("v"), F.col("w"), text=f in fields.text, target=f in fields.targets, null_is_absent=fields.null_is_absent, normals=(F.col("x"), F.col("y")) if compared else None)
         by_value = values.join(other, "cluster_id").groupBy("cluster_id", "v").agg(F.sum(score * F.col("m")).alias(f"__s{k}"))
         sums.append((f, k, by_value))
     out = held
@@ -109,8 +119,8 @@ def affinity(records: DataFrame, ranked: DataFrame, fields: Fields, links: int =
     apart = F.col("target") > F.col("home") if later_only else F.col("target") != F.col("home")
     pairs = homes.join(targets, "block").filter(apart)
     if min_score is not None:
-        pairs = pairs.filter(ambiguity("a", "b", fields, bound=True) >= min_score)
-    scored = pairs.select("home", "target", ambiguity("a", "b", fields).alias("s")).groupBy("home", "target").agg(F.min("s").alias("score"), F.count("*").alias("__n"))
+        pairs = pairs.filter(ambiguity("a", "b", fields, bound=True, normals=True) >= min_score)
+    scored = pairs.select("home", "target", ambiguity("a", "b", fields, normals=True).alias("s")).groupBy("home", "target").agg(F.min("s").alias("score"), F.count("*").alias("__n"))
     if min_score is not None:  # a pair that lost a member to the bound is below the threshold as a whole
         expected = rows.groupBy(F.col("cluster_id").alias("target")).agg(F.count("*").alias("__all"))
         scored = scored.join(expected, "target").filter("__n = __all").drop("__all").filter(F.col("score") >= min_score)
