@@ -43,7 +43,7 @@ LEAST = 2
 DISCOUNT = 0.5
 COST = 3.0
 BASE_ADD = 0.1
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 GROUP_PAIRS = 1 << 19
 MOST_HOT = 1 << 19
 STEPS = 4
