@@ -92,12 +92,118 @@ def test_classifier_held_out_accuracy(spark, small_dir):
     assert np.mean([got[d].predicted == q for d, q in labels.items()]) >= 0.95
 
 
-def base_features(text):
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def repeated_words(words):
+    """Flags of the words in windows of three that occur twice."""
     windows = collections.Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
-    covered = {k + j for k in range(len(words) - 2) for j in range(3) if windows[tuple(words[k : k + 3])] > 1}
+    flags = [False] * len(words)
+    for k in range(len(words) - 2):
+        if windows[tuple(words[k : k + 3])] > 1:
+            flags[k : k + 3] = [True] * 3
+    return flags
+
+
+def plain_lines(text):
+    """(features, weight) of the lines with words, from their definition."""
+    out, seen, at = [], set(), 0
+    flags = repeated_words(WORD.findall(text))
+    pieces = text.split("\n")
+    for k, line in enumerate(pieces):
+        words = WORD.findall(line)
+        n = len(words)
+        if not n:
+            continue
+        chars, size = sum(map(len, words)), len(line.encode()) + (k < len(pieces) - 1)
+        count = lambda marks, line=line: sum(c in marks for c in line)
+        symbol, bang, upper = count("#*$%&|<>") / n, count("!") / n, count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size
+        high = sum(b >= 0x80 for b in line.encode())
+        repeat = sum(flags[at : at + n])
+        at += n
+        out.append(([1, math.log1p(n) / 4, abs(chars / n - 5) / 2, chars / n > 7.5, min(symbol, 2), symbol > 0.1, min(bang, 2), bang > 0.2, upper, upper > 0.3, count("0123456789") / size, 4 * count(".,;:") / size, high / size, tuple(words) in seen, 1 - len(set(words)) / n if n >= 8 else 0.3, repeat / n], chars))
+        seen.add(tuple(words))
+    return out or [([1] + [0] * 15, 1)]
+
+
+def plain_quality(text, field):
+    """Length-weighted mean of the lines' marginals, by sums over paths."""
+    lines = plain_lines(text)
+    x = [np.array(f, float) for f, _ in lines]
+    none = np.zeros(16)
+    scores = [np.concatenate([x[k], x[k - 1] if k else none, x[k + 1] if k + 1 < len(x) else none]) @ field.weights for k in range(len(x))]
+    unary = [np.array([0.0, s]) for s in scores]
+    both = lambda a: np.logaddexp.reduce(a, axis=0)
+    ahead, behind = [unary[0]], [np.zeros(2)]
+    for u in unary[1:]:
+        ahead.append(both(ahead[-1][:, None] + field.transition) + u)
+    for u in unary[:0:-1]:
+        behind.insert(0, np.logaddexp.reduce(field.transition + (u + behind[0])[None], axis=1))
+    good = [1 / (1 + math.exp(min(700, (a + b)[0] - (a + b)[1]))) for a, b in zip(ahead, behind, strict=True)]
+    weights = [w for _, w in lines]
+    return float(np.dot(weights, good) / sum(weights))
+
+
+def test_classifier_scores_against_the_definition(spark, small_dir):
+    from tessera.llm import quality_crf
+
+    docs = {r.doc_id: r.text or "" for r in rows(spark, small_dir, "documents", "doc_id", "text")} | {-1: "", -2: " \n\t", -3: "one line\n\none line\nDAS IST ÄRGER!!!\n" * 4}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    field = quality_crf.fit(df, spark.read.parquet(f"{small_dir}/labels.parquet").select("doc_id", "quality"))
+    got = {r.doc_id: r.score for r in quality_crf.score(df, field, keep=["doc_id"]).collect()}
+    assert got == pytest.approx({d: plain_quality(t, field) for d, t in docs.items()}, abs=1e-6)
+
+
+def base_features(text):
+    words = WORD.findall(text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), sum(repeated_words(words))
+
+
+def plain_votes(text):
+    """The votes of all rules on a text, from their definitions."""
+    from tessera.llm import quality_rules as rules
+
+    words = WORD.findall(text)
+    n, chars = len(words), sum(map(len, words))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    marks = lambda some: sum(c in some for c in text)
+    shares = {
+        "symbol_share": marks("#*$%&|<>") / max(n, 1), "dup_line_share": (len(lines) - len(set(lines))) / max(len(lines), rules.FEW_LINES), "repeat_share": sum(repeated_words(words)) / max(n, 1),
+        "upper_share": marks("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / max(chars, 1), "bang_share": marks("!") / max(n, 1), "top_word_share": max(collections.Counter(words).values()) / n if n >= 50 else 0.0,
+        "word_length_off": abs(chars / max(n, 1) - rules.USUAL_WORD_LENGTH),
+    }
+    return tuple("bad" if shares[name] >= bad else "good" if shares[name] <= good else None for name, good, bad in rules.RULES)
+
+
+def plain_posteriors(votes):
+    """Expectation-maximisation over documents' votes, rule by rule."""
+    count = collections.Counter(votes)
+    good = {v: 0.1 if "bad" in v else 0.9 for v in count}
+    for _ in range(500):
+        prior = (sum(count[v] * good[v] for v in count) + 1) / (sum(count.values()) + 2)
+        odds = {v: math.log(prior / (1 - prior)) for v in count}
+        for k in range(len(next(iter(count)))):
+            held = {(side, x): 0.1 + sum(count[v] * (good[v] if side else 1 - good[v]) for v in count if v[k] == x) for side in (0, 1) for x in ("bad", "good", None)}
+            whole = [sum(held[side, x] for x in ("bad", "good", None)) for side in (0, 1)]
+            for v in count:
+                odds[v] += math.log(held[1, v[k]] / whole[1]) - math.log(held[0, v[k]] / whole[0])
+        new = {v: 1 / (1 + math.exp(max(-700, min(700, -odds[v])))) for v in count}
+        moved, good = max(abs(new[v] - good[v]) for v in count), new
+        if moved < 1e-10:
+            break
+    return good
+
+
+def test_rule_posteriors_against_the_definition(spark, small_dir):
+    from tessera.llm import quality_rules
+
+    docs = {r.doc_id: r.text or "" for r in rows(spark, small_dir, "documents", "doc_id", "text")}
+    votes = {d: plain_votes(t) for d, t in docs.items()}
+    want = plain_posteriors(votes.values())
+    got = {r.doc_id: r for r in quality_rules.judge(spark.read.parquet(f"{small_dir}/documents.parquet"), keep=["doc_id"]).collect()}
+    assert {d: r.posterior for d, r in got.items()} == pytest.approx({d: want[v] for d, v in votes.items()}, abs=1e-6)
+    assert all(r.kept == (not r.base_failed and r.posterior >= 0.5) for r in got.values())
 
 
 def test_quality_rules(spark, small_dir):
