@@ -3,6 +3,10 @@
 quality classifier -> quality rules -> near-duplicate removal -> source mixing -> packing. Every stage
 takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
 documents. All but the last return the columns of documents.
+
+Defined results, of every stage: an empty table gives an empty result; a null text counts as empty and a null id or
+source as a value of its own; columns beyond those of documents stay, whatever their names; repeated rows are
+judged alike, but for near duplicates, of which one stays, and the mix, which takes each.
 """
 
 from __future__ import annotations
@@ -14,27 +18,27 @@ from tessera.runtime import materialize, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field predicts to be good; it learns from labels of documents not held out."""
+    """Documents that the line field predicts to be good; it learns from labels of documents not held out. Empty texts are scored as one empty line; without labels of both classes all share one score."""
     return quality_crf.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def quality_rule_votes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' posterior keeps."""
+    """Documents that the rules' posterior keeps; those of fewer than 50 words, so empty ones too, fail the base rules."""
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one with the least id."""
+    """One document of each group of linked documents: the one with the least id. Empty texts and rows without an id stay."""
     return ngram_join.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix; repeated where a source is upsampled, the last one of a source cut to its target."""
+    """The documents of the mix in the order of its schedule; repeated where a source is upsampled, the last one of a source cut to its target. Texts without a word give nothing."""
     return mixing.mix_documents(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences of 2048 tokens."""
+    """Pieces of all documents, packed into sequences of 2048 tokens; an empty text is its end id alone."""
     return packing.pack(docs)
 
 
