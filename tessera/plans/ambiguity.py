@@ -61,8 +61,57 @@ class Generator:
         return B.variant(self.bridges() if bridges is None else bridges, self.records, self.fields, self.entry.alphas)
 
 
+# fixed values: names that metrics have in profiles, sweeps and metadata
+REPORTED = {
+    "n_original": "n_original_records",
+    "n_singletons": "n_singleton_clusters",
+    "targets_per_bridge_avg": "target_clusters_per_bridge_avg",
+    "targets_per_bridge_stdev": "target_clusters_per_bridge_stdev",
+    "bridges_per_home_avg": "bridges_per_home_cluster_avg",
+    "bridges_per_home_stdev": "bridges_per_home_cluster_stdev",
+    "bridges_per_target_avg": "bridges_per_target_cluster_avg",
+    "bridges_per_target_stdev": "bridges_per_target_cluster_stdev",
+    "n_positive": "n_undirected",
+    "n_space": "comparison_space_size",
+    "n_label0": "n_label0_implicit",
+    "imbalance": "neg_pos_imbalance",
+    "component_count": "bridge_component_count",
+    "component_size_avg": "bridge_component_size_avg",
+    "component_size_stdev": "bridge_component_size_stdev",
+    "component_largest": "largest_bridge_component_clusters",
+    "component_largest_records": "largest_bridge_component_records",
+    "component_largest_label2": "largest_bridge_component_label2",
+    "split_load": "largest_bridge_component_split_load",
+    "share_home_median": "field_share_home_median",
+    "share_home_iqr": "field_share_home_iqr",
+    "sim_home_median": "field_sim_home_median",
+    "sim_home_iqr": "field_sim_home_iqr",
+    "sim_target_median": "field_sim_target_median",
+    "sim_target_iqr": "field_sim_target_iqr",
+    "n_fallback": "n_fallback_values",
+    "auc_source_target": "content_auc_source_vs_target",
+    "auc_extra_target": "content_auc_extra_vs_target",
+    "win_rate": "content_winrate_source_vs_target",
+    "source_similarity_avg": "sim_source_avg",
+    "source_similarity_stdev": "sim_source_stdev",
+    "target_similarity_avg": "sim_target_avg",
+    "target_similarity_stdev": "sim_target_stdev",
+    "extra_similarity_avg": "sim_extra_avg",
+    "extra_similarity_stdev": "sim_extra_stdev",
+    "margin_boundary": "margin_theta",
+    "n_negatives": "neg_sample_size",
+    "negative_similarity_avg": "sim_label0_avg",
+    "negative_similarity_stdev": "sim_label0_stdev",
+    "auc_label1_label0": "content_auc_label1_vs_label0",
+    "auc_label2_label0": "content_auc_label2_vs_label0",
+    "detect_feature": "detect_best_feature",
+    "detect_auc_best": "detect_auc_best_single",
+    "n_empty": "n_empty_fields",
+}
+
+
 def profile(variant: B.Variant, alpha: float, generator: Generator) -> dict:
-    """M11. One flat row of a variant: the core metrics, then those enabled, in a fixed order."""
+    """M11. One flat row of a variant: the core metrics, then those enabled, in a fixed order, named as reported."""
     one, options, fields = variant.at(alpha), generator.config.profiling, generator.fields
     clusters = checkpoint(one.clusters.select("ref", "cluster_id"))
     truth = checkpoint(one.directed.select("left", "right", "label"))
@@ -96,7 +145,12 @@ def profile(variant: B.Variant, alpha: float, generator: Generator) -> dict:
             rows = checkpoint(R.shape_rows(one.records, fields.names).join(group, "ref").join(made, "ref", "left").withColumn("positive", F.coalesce("b", F.lit(False))))
             best = R.best_feature(rows).first()
             out |= {"detect_feature": best.feature, "detect_auc_best": best.auc, "detect_auc_lr": grouped_cv_auc(rows, R.SHAPE, options.cv_folds, options.seed)}
-    return out
+    found = {REPORTED.get(k, k): v for k, v in out.items()}
+    one = None if not found["n_bridges"] else 1.0  # a bridge has one home
+    found |= {"home_clusters_per_bridge_avg": one, "home_clusters_per_bridge_stdev": None if one is None else 0.0}
+    if "detect_best_feature" in found:
+        found["detect_best_feature"] = REPORTED.get(found["detect_best_feature"], found["detect_best_feature"])
+    return found
 
 
 def generate(spark: SparkSession, config: AmbiguityConfig, out: str, root: str = ".") -> None:

@@ -46,6 +46,9 @@ def test_generate(folder, spark):
     assert read("amb_people_a050_k2", "mapping.csv").filter("label <> 1").count() == 0
     meta = spark.read.parquet(str(folder / "out" / "metadata.parquet"))
     assert meta.count() == 2 and meta.agg(F.min("n_bridges")).first()[0] == 3
+    # fixed values: names of metrics that readers of the metadata rely on
+    names = "n_original_records n_singleton_clusters home_clusters_per_bridge_avg target_clusters_per_bridge_stdev bridges_per_home_cluster_avg bridges_per_target_cluster_avg comparison_space_size n_label0_implicit neg_pos_imbalance bridge_component_count largest_bridge_component_label2 largest_bridge_component_split_load field_sim_home_median field_share_home_iqr n_fallback_values link_ambiguity_avg content_auc_source_vs_target content_separability content_auc_extra_vs_target content_winrate_source_vs_target sim_source_avg sim_target_avg sim_extra_stdev margin_pi_resolvable margin_theta margin_boundary_type"
+    assert set(names.split()) <= set(meta.columns)
     log = read("people_link_log.csv")
     assert log.count() == 12 and {"rank", "ambiguity", "target_label"} <= set(log.columns)
 
@@ -65,6 +68,8 @@ def test_simple_pairs(folder, spark):
     with pytest.warns(UserWarning, match="one link"):
         assert main([*root, "ambiguity", "generate", "-c", "config.json", "-O", "out"], spark) == 0
     assert (folder / "out" / "amb_people_a050_dir").exists()
+    meta = spark.read.parquet(str(folder / "out" / "metadata.parquet"))
+    assert {"neg_sample_size", "sim_label0_avg", "sim_label0_stdev", "content_auc_label1_vs_label0", "surface_auc_full", "surface_auc_gap", "detect_auc_best_single", "detect_best_feature", "detect_auc_lr"} <= set(meta.columns)
 
 
 def test_evaluate(folder, spark):
