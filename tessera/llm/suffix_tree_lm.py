@@ -47,6 +47,8 @@ SLICE_BYTES = 4 << 20
 GROUP_PAIRS = 1 << 19
 MOST_HOT = 1 << 19
 STEPS = 4
+#: groups that travel together, as a binary logarithm: a slice sends them in one piece, and a task counts one after the other
+TOGETHER = 3
 
 _U = np.uint64
 END = _U(0x2545F4914F6CDD1D)
@@ -296,16 +298,18 @@ class Paths:
         self.run_context, self.run_group = contexts[order], groups[order]
         self.runs = np.concatenate([np.diff(np.append(starts, len(context))), np.zeros(len(bare), np.int64)])[order].astype(np.uint32)
 
-    def pieces(self, train: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        """(group, packed contexts and pairs); train: flags of the tokens that count."""
+    def pieces(self, train: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+        """(groups that travel together, their packed contexts and pairs); train: flags of the tokens that count."""
         times = np.bincount(self.pair, weights=train[self.open], minlength=len(self.pair_word)).astype(np.uint32)[self.sent]
         below = np.minimum(np.round(-STEPS * np.log2(self.p[self.open[self.example]])), 255).astype(np.uint8)[self.sent]
         word = self.ids[self.pair_word[self.sent]]
         keys, totals = self.keys[self.run_context], self.totals[self.run_context]
-        groups = np.unique(self.run_group)
-        sides = [[np.searchsorted(held, groups, side) for side in ("left", "right")] for held in (self.run_group, self.pair_group)]
-        for g, a, b, c, d in zip(groups, *sides[0], *sides[1], strict=True):
-            yield int(g), pack(steps(keys[a:b]), totals[a:b], self.runs[a:b], word[c:d], times[c:d], below[c:d])
+        together = bits - max(bits - TOGETHER, 0)
+        for whole_group in np.unique(self.run_group >> np.uint32(together)):
+            edges = (int(whole_group) << together) + np.arange((1 << together) + 1)
+            cuts, pair_cuts = np.searchsorted(self.run_group, edges), np.searchsorted(self.pair_group, edges)
+            a, b, c, d = cuts[0], cuts[-1], pair_cuts[0], pair_cuts[-1]
+            yield int(whole_group), pack(steps(keys[a:b]), totals[a:b], self.runs[a:b], word[c:d], times[c:d], below[c:d], cuts - a, pair_cuts - c)
 
     def take(self, back: list[tuple[int, bytes]], hot: Hot, hot_from: int) -> None:
         """What the groups returned, by group; then one depth down."""
@@ -363,13 +367,12 @@ def level_counts(sent_back: DataFrame, n: int, vocabulary: int, bits: int, hot:
                 release()
                 paths, lengths = paths_of(batch, k, n, vocabulary, bits, hot, hots)
                 paths.meet(bits, hot)
-                pieces = list(paths.pieces(~np.repeat(np.array(batch.column("held")[k].as_py(), bool), lengths)))
+                pieces = list(paths.pieces(~np.repeat(np.array(batch.column("held")[k].as_py(), bool), lengths), bits))
                 yield pa.record_batch({"g": pa.array([g for g, _ in pieces], pa.int32()), "slice": pa.array([batch.column("slice")[k].as_py()] * len(pieces), pa.int64()), "data": pa.array([d for _, d in pieces], pa.binary())})
 
-    def total(table: pa.Table) -> pa.Table:
-        release()
-        contexts, sums, runs, words, times, below = _blobs(table, _U, np.int64, np.uint32, _U, np.uint32, np.uint8)
-        contexts = [np.cumsum(c, dtype=_U) for c in contexts]
+    def count(pieces: list[tuple[np.ndarray, ...]], first: int) -> tuple[list[tuple[np.ndarray, ...]], list[dict], int]:
+        """For each piece of one group what goes back; the sums of split contexts; how many pairs are listed, numbered from ``first``."""
+        contexts, sums, runs, words, times, below = zip(*pieces, strict=True)
         keys, at, place = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)
         totals = np.concatenate(sums)[at]
         word_ids, word = np.unique(np.concatenate(words), return_inverse=True)
@@ -378,7 +381,7 @@ def level_counts(sent_back: DataFrame, n: int, vocabulary: int, bits: int, hot:
         counts = np.bincount(which, weights=np.concatenate(times), minlength=len(codes)).astype(np.int64)
         counts[counts < LEAST] = 0
         there = np.flatnonzero(counts)
-        number = (np.cumsum(counts > 0) - 1).astype(np.uint32)
+        number = (first + np.cumsum(counts > 0) - 1).astype(np.uint32)
         p = np.exp2(-np.concatenate(below)[example[there]].astype(float) / STEPS)
         of = owner[there]
         gains = counts[there] * np.log((counts[there] - DISCOUNT) / totals[of] / p)
@@ -390,11 +393,32 @@ def level_counts(sent_back: DataFrame, n: int, vocabulary: int, bits: int, hot:
             mine, own = which[pair_at : pair_at + len(w)], place[run_at : run_at + len(c)]
             pair_at, run_at = pair_at + len(w), run_at + len(c)
             n_of = counts[mine].astype(np.uint32)
-            returned = lambda v, own=own: np.where(kept[own] & ~parted[own], v[own], 0).astype(np.int64)
-            back.append(pack(n_of, steps(number[mine[n_of > 0]]), returned(listed), returned(symbols)))
-        hot_rows = [{"id": int(keys[k]), "total": int(totals[k]), "listed": int(listed[k]), "symbols": int(symbols[k]), "gain": float(gain[k])} for k in np.flatnonzero(parted)]
+            here = kept[own] & ~parted[own]
+            back.append((n_of, number[mine[n_of > 0]], np.where(here, listed[own], 0).astype(np.int64), np.where(here, symbols[own], 0).astype(np.int64)))
+        split = [{"id": int(keys[k]), "total": int(totals[k]), "listed": int(listed[k]), "symbols": int(symbols[k]), "gain": float(gain[k])} for k in np.flatnonzero(parted)]
+        return back, split, len(there)
+
+    def total(table: pa.Table) -> pa.Table:
+        release()
+        pieces = [unpack(x.as_py(), _U, np.int64, np.uint32, _U, np.uint32, np.uint8, np.int64, np.int64) for x in table.column("data")]
+        pieces = [[np.cumsum(x[0], dtype=_U), *x[1:]] for x in pieces]
+        made, split, first = [[] for _ in pieces], [], 0
+        for k in range(len(pieces[0][6]) - 1):
+            part = []
+            for context, sums, runs, word, times, below, cuts, pair_cuts in pieces:
+                r, q = slice(cuts[k], cuts[k + 1]), slice(pair_cuts[k], pair_cuts[k + 1])
+                part.append((context[r], sums[r], runs[r], word[q], times[q], below[q]))
+            if any(len(x[0]) for x in part):
+                back, more, n_listed = count(part, first)
+                split, first = split + more, first + n_listed
+                for out, x in zip(made, back, strict=True):
+                    out.append(x)
+        back = []
+        for out in made:
+            n_of, number, listed, symbols = (np.concatenate(c) for c in zip(*out, strict=True))
+            back.append(pack(n_of, steps(number), listed, symbols))
         kind = pa.list_(pa.struct([("id", pa.int64()), ("total", pa.int64()), ("listed", pa.int64()), ("symbols", pa.int64()), ("gain", pa.float64())]))
-        return pa.table({"slice": table.column("slice"), "g": table.column("g"), "data": pa.array(back, pa.binary()), "split": pa.array([hot_rows] + [[]] * (len(back) - 1), kind)})
+        return pa.table({"slice": table.column("slice"), "g": table.column("g"), "data": pa.array(back, pa.binary()), "split": pa.array([split] + [[]] * (len(back) - 1), kind)})
 
     sent = sent_back.mapInArrow(send, "g int, slice long, data binary")
     return sent.groupBy("g").applyInArrow(total, "slice long, g int, data binary, split array<struct<id:bigint,total:bigint,listed:bigint,symbols:bigint,gain:double>>")
