@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, tokens
+from ..runtime import checkpoint
 from .records import Fields
 from .scoring import affinity, rank_members, score_pairs
 
 SEPARATOR = "\x1f"
+#: edges of open homes that one task settles
+FEW_EDGES = 1 << 20
 WEIGHT_PLACES = 12
 
 
@@ -83,40 +86,51 @@ def greedy_all(edges: DataFrame) -> DataFrame:
     return later.groupBy("home").agg(F.max_by(F.struct("target", "score"), F.struct("score", -F.col("target"))).alias("p")).select("home", "p.target", "p.score")
 
 
-_PAIRED = "threshold double, home long, target long, score double"
-
-
 def greedy_from(edges: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """W6. Greedy pairing for each threshold: homes in order; the best target that is no accepted home; accepted from the threshold on.
 
-    Only edges from the threshold up can matter, and the decision for a home depends on those before it, so the
-    fold runs within one group for each threshold and connected part of its edges - parts never meet.
+    A home that has a target after it is accepted, as that one cannot have been accepted yet; so is one with a target that
+    is not accepted. A home whose targets are all accepted homes before it is not. So homes are settled in rounds over
+    all thresholds at once; when the edges of homes left open are few, one task settles them in order.
     """
-    from .components import connected_components
-
-    out = None
-    for t in thresholds:
-        held = edges.filter(F.col("score") >= t)
-        part = connected_components(held, "home", "target").select(F.col("node").alias("home"), F.col("component").alias("part"))
-        one = held.join(part, "home").withColumn("threshold", F.lit(float(t)))
-        out = one if out is None else out.unionByName(one)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows, homes = [], set()
-        ordered = group.sort_values(["home", "score", "target"], ascending=[True, False, True])
-        for home, options in ordered.groupby("home", sort=True):
-            best = next(((x, s) for x, s in zip(options["target"], options["score"], strict=True) if x not in homes), None)
-            if best:
-                homes.add(home)
-                rows.append((group["threshold"].iloc[0], home, *best))
-        return pd.DataFrame(rows, columns=["threshold", "home", "target", "score"])
-
-    return out.groupBy("threshold", "part").applyInPandas(fold, _PAIRED)
+    spark = edges.sparkSession
+    grid = F.array(*[F.lit(float(t)) for t in thresholds])
+    rows = checkpoint(edges.withColumn("threshold", F.explode(F.filter(grid, lambda t: t <= F.col("score")))))
+    keys = ["threshold", "home"]
+    later = F.max(F.col("target") > F.col("home"))
+    state = checkpoint(rows.groupBy(*keys).agg(later.alias("accepted")).withColumn("accepted", F.when(F.col("accepted"), True)))
+
+    def of_targets(some: DataFrame) -> DataFrame:
+        """Rows with their targets' state; targets that are no homes are free."""
+        named = state.select("threshold", F.col("home").alias("target"), F.coalesce(F.col("accepted").cast("int"), F.lit(-1)).alias("taken"))
+        return some.join(named, ["threshold", "target"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+
+    def in_order(group: pd.DataFrame) -> pd.DataFrame:
+        accepted: dict[int, bool] = {}
+        for home, options in group.sort_values(["home", "target"]).groupby("home", sort=True):
+            accepted[home] = any(taken == 0 or taken == -1 and not accepted[target] for target, taken in zip(options["target"], options["taken"], strict=True))
+        return pd.DataFrame({"threshold": group["threshold"].iloc[0], "home": list(accepted), "accepted": list(accepted.values())})
+
+    while True:
+        open_rows = checkpoint(of_targets(rows.join(state.filter("accepted IS NULL").select(*keys), keys, "left_semi")))
+        n = open_rows.count()
+        if not n:
+            break
+        if n <= FEW_EDGES:
+            settled = open_rows.groupBy("threshold").applyInPandas(in_order, "threshold double, home long, accepted boolean")
+        else:
+            free, taken = F.max(F.col("taken") == 0), F.min(F.col("taken") == 1)
+            settled = open_rows.groupBy(*keys).agg(F.when(free, True).when(taken, False).alias("accepted"))
+        state = checkpoint(state.filter("accepted IS NOT NULL").unionByName(settled))
+    free = of_targets(rows).filter((F.col("target") > F.col("home")) | (F.col("taken") != 1))
+    best = F.max_by(F.struct("target", "score"), F.struct("score", -F.col("target"))).alias("p")
+    found = free.groupBy(*keys).agg(best).select("threshold", "home", "p.target", "p.score")
+    return found if thresholds else spark.createDataFrame([], "threshold double, home long, target long, score double")
 
 
 def greedy_seeds(records: DataFrame, fields: Fields, min_score: float | None = None, links: int = 1) -> DataFrame:
     """G3. A seed for each accepted pair of clusters: the home's representative and the target's first ``links`` members."""
-    ranked = rank_members(records, fields)
+    ranked = checkpoint(rank_members(records, fields))
     edges = affinity(records, ranked, fields, links, min_score, later_only=min_score is None)
     pairs = greedy_all(edges) if min_score is None else greedy_from(edges, [min_score]).drop("threshold")
     members = ranked.filter(F.col("rank") < links).groupBy(F.col("cluster_id").alias("target")).agg(F.sort_array(F.collect_list(F.struct("rank", "ref"))).alias("m"))
@@ -144,8 +158,6 @@ def summary(found: DataFrame) -> DataFrame:
 
 def greedy_summaries(records: DataFrame, fields: Fields, thresholds: Sequence[float], links: int = 1) -> DataFrame:
     """G4. Bridges, links and short bridges for each threshold, from one affinity table."""
-    from ..runtime import checkpoint
-
     ranked = checkpoint(rank_members(records, fields))
     edges = checkpoint(affinity(records, ranked, fields, links, min(thresholds)))
     sizes = ranked.groupBy(F.col("cluster_id").alias("target")).agg(F.least(F.count("*"), F.lit(links)).alias("n"))

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal, normal_bound, normal_similarity
+from ..runtime import checkpoint
 from .records import Fields
 
 #: means are compared at this many decimals, as sums of parts come in any order
 PLACES = 9
+#: representatives on a side of a block of pairs
+BLOCK_ROWS = 1024
 
 
 NORMAL = "__normal_"
@@ -103,21 +106,24 @@ def rank_members(records: DataFrame, fields: Fields) -> DataFrame:
     return rows.withColumn("is_first", first).withColumn("rank", (F.row_number().over(ordered) - 1).cast("int")).select("cluster_id", "ref", "rank", "mean")
 
 
-def affinity(records: DataFrame, ranked: DataFrame, fields: Fields, links: int = 1, min_score: float | None = None, later_only: bool = False, blocks: int | None = None) -> DataFrame:
+def affinity(records: DataFrame, ranked: DataFrame, fields: Fields, links: int = 1, min_score: float | None = None, later_only: bool = False) -> DataFrame:
     """J4, A14, W3. (home, target, score): each cluster's representative against every other cluster.
 
-    The score is the least over the target's first ``links`` members. The pairs are dealt out by blocks of homes
-    and targets, so that no side is broadcast and no task meets them all. With ``min_score`` pairs whose cheap
-    bound stays below are dropped before any edit distance; ``later_only`` keeps targets after their home.
+    The score is the least over the target's first ``links`` members. Pairs are dealt out by a grid of blocks, a side of
+    each holding about ``BLOCK_ROWS`` rows however many clusters there are, so a row is copied once for that many partners.
+    With ``min_score`` pairs whose cheap bound stays below are dropped before any edit distance; ``later_only`` keeps
+    targets after their home.
     """
     values = records.select("ref", record(fields).alias("r"))
-    rows = ranked.filter(F.col("rank") < links).join(values, "ref").select("cluster_id", "rank", "r")
-    blocks = blocks or max(1, min(64, records.sparkSession.sparkContext.defaultParallelism * 2))
-    side = F.pmod(F.xxhash64("cluster_id"), F.lit(blocks))
-    homes = rows.filter("rank = 0").select(F.col("cluster_id").alias("home"), F.col("r").alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    targets = rows.select(F.col("cluster_id").alias("target"), F.col("r").alias("b"), side.alias("block"))
+    rows = checkpoint(ranked.filter(F.col("rank") < links).join(values, "ref").select("cluster_id", "rank", "r"))
+    n_homes, n_targets = rows.agg(F.count_if(F.col("rank") == 0), F.count("*")).first()
+    across, down = (max(1, -(-n // BLOCK_ROWS)) for n in (n_targets, n_homes))
+    side = lambda n, seed: F.pmod(F.xxhash64("cluster_id", F.lit(seed)), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    homes = rows.filter("rank = 0").select(F.col("cluster_id").alias("home"), F.col("r").alias("a"), side(down, 0).alias("__row"), every(across).alias("__column"))
+    targets = rows.select(F.col("cluster_id").alias("target"), F.col("r").alias("b"), side(across, 1).alias("__column"), every(down).alias("__row"))
     apart = F.col("target") > F.col("home") if later_only else F.col("target") != F.col("home")
-    pairs = homes.join(targets, "block").filter(apart)
+    pairs = homes.join(targets, ["__row", "__column"]).filter(apart)
     if min_score is not None:
         pairs = pairs.filter(ambiguity("a", "b", fields, bound=True, normals=True) >= min_score)
     scored = pairs.select("home", "target", ambiguity("a", "b", fields, normals=True).alias("s")).groupBy("home", "target").agg(F.min("s").alias("score"), F.count("*").alias("__n"))

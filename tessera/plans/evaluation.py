@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BenchmarkConfig, ConfigError, EvaluationConfig, MatcherConfig
@@ -13,6 +13,7 @@ from ..operators import graphs as G
 from ..operators import matching as M
 from ..operators.clustering import cluster
 from ..operators.metrics import cluster_quality
+from ..operators.numbering import number_rows
 from ..operators.profiles import sampled_negatives
 from ..operators.records import restrict_clusters
 from ..runtime import checkpoint
@@ -100,7 +101,7 @@ def clustering(spark: SparkSession, config: EvaluationConfig, out: str, orders:
         for model in config.matching:
             for order in M.check_orders(orders):
                 nodes, edges = tables.graph(spark, f"{out}/graphs/{name}/{model.name}/{order}")
-                placed = nodes.withColumn("position", F.row_number().over(Window.orderBy("ref")))
+                placed = number_rows(nodes, ["ref"], "position")
                 true = checkpoint(restrict_clusters(data.records.select("ref", "cluster_id"), placed))
                 for algorithm in config.algorithms:
                     found = cluster(nodes, edges, algorithm)

@@ -7,8 +7,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..operators.bridges import Variant
+from ..operators.numbering import number_rows
 from .tables import exists
 
 
@@ -121,10 +123,19 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def gml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """K13. A graph as lines of GML, one row a line, in order."""
-    q = lambda c: F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
-    name = lambda c: F.format_string('"%s|%s"', q(F.col(f"{c}.source")), q(F.col(f"{c}.label")))
-    n = nodes.select(F.lit(1).alias("k"), F.format_string("  node [ label %s ]", name("ref")).alias("line"))
-    e = edges.select(F.lit(2).alias("k"), F.format_string("  edge [ source %s target %s label %d weight %s ]", name("src"), name("dst"), F.col("label"), F.col("weight").cast("string")).alias("line"))
-    frame = nodes.sparkSession.createDataFrame([(0, "graph [\n  directed 1"), (3, "]")], "k int, line string")
-    return frame.unionByName(n).unionByName(e).orderBy("k", "line").select("line")
+    """K13. A graph as lines of GML, one row a line, in order: nodes with a number, a source and a ref, edges with a label and a weight."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c.cast("string"), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
+    whole = isinstance(nodes.schema["ref"].dataType["label"].dataType, IntegralType)
+    name = F.col("ref.label").cast("string") if whole else quoted(F.col("ref.label"))
+    named = number_rows(nodes.select("ref"), ["ref"], "id")
+    n = named.select(F.lit(1).alias("k"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b"), F.format_string("  node [ id %d source %s ref %s ]", "id", quoted(F.col("ref.source")), name).alias("line"))
+    end = lambda c, key: named.select(F.col("ref").alias(c), F.col("id").alias(key))
+    joined = edges.join(end("src", "a"), "src").join(end("dst", "b"), "dst")
+    e = joined.select(F.lit(2).alias("k"), "a", "b", F.format_string("  edge [ source %d target %d label %d weight %s ]", "a", "b", F.col("label").cast("int"), F.col("weight").cast("double").cast("string")).alias("line"))
+    frame = nodes.sparkSession.createDataFrame([(0, 0, 0, "graph ["), (0, 0, 1, "  directed 1"), (3, 0, 0, "]")], "k int, a long, b long, line string")
+    return frame.unionByName(n).unionByName(e).orderBy("k", "a", "b").select("line")
+
+
+def write_gml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """K13. A graph as one GML file in a folder; GML is one document, so its lines are gathered in order."""
+    gml_lines(nodes, edges).coalesce(1).write.mode("overwrite").text(path)

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graphs import without_pairs
+from ..operators.numbering import number_rows
 from ..operators.records import pivoted_names, ref
+from ..runtime import checkpoint
+from .events import read_events
 
 
 def read(spark: SparkSession, path: str, schema: str | None = None, header: bool = True) -> DataFrame:
@@ -88,8 +91,16 @@ def result_pairs(df: DataFrame) -> DataFrame:
 
 
 def scalars(spark: SparkSession, path: str, model: str | None = None, feature: str | None = None) -> DataFrame:
-    """S9. (step, tag, value, ordinal) tables of a folder and those below; by model, and by the name of the folder they lie in."""
+    """S9. (step, tag, value, ordinal) of a folder and those below: of event files where there are any, with the model as
+    their tag, else of tables; by model, and by a feature that is in the name of the folder they lie in."""
     try:
+        events = read_events(spark, path)
+        if events.limit(1).count():
+            if model is not None:
+                events = events.filter(F.col("tag") == model)
+            if feature is not None:
+                events = events.filter(F.contains(F.element_at(F.split("path", "/"), -2), F.lit(feature)))
+            return number_rows(events, ["path", "place"], "ordinal").select("step", "tag", "value", "ordinal")
         rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], "step long, tag string, value double, ordinal long")
@@ -100,6 +111,27 @@ def scalars(spark: SparkSession, path: str, model: str | None = None, feature: s
     return rows.select("step", "tag", "value", "ordinal")
 
 
+#: an element of a GML file that holds no further one; brackets within quotes are text
+_ELEMENT = r'\bNAME\s*\[((?:[^\[\]"]|"[^"]*")*)\]'
+
+
+def read_gml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S8, K13. (nodes, edges) of a GML file, with refs as ``sinks.write_gml`` names them; edges have a label and a weight."""
+    text = spark.read.text(path, wholetext=True).select(F.col("value").alias("gml"))
+    kind = lambda name: text.select(F.explode(F.regexp_extract_all("gml", F.lit(_ELEMENT.replace("NAME", name)), F.lit(1))).alias("e"))
+    number = lambda key: F.regexp_extract("e", rf"\b{key}\s+(-?[0-9.eE+-]+)", 1)
+    plain = lambda c: F.replace(F.replace(c, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    quoted = lambda key: plain(F.regexp_extract("e", rf'\b{key}\s+"([^"]*)"', 1))
+    whole = F.regexp_like(F.col("e"), F.lit(r"\bref\s+-?[0-9]"))
+    named = kind("node").select(number("id").cast("long").alias("id"), ref(quoted("source"), F.when(whole, number("ref")).otherwise(quoted("ref"))).alias("ref"), whole.alias("whole"))
+    nodes = checkpoint(named)
+    if nodes.filter("NOT whole").limit(1).count() == 0:
+        nodes = nodes.withColumn("ref", ref(F.col("ref.source"), F.col("ref.label").cast("long")))
+    ends = kind("edge").select(number("source").cast("long").alias("s"), number("target").cast("long").alias("t"), number("label").cast("int").alias("label"), number("weight").cast("double").alias("weight"))
+    end = lambda key, name: nodes.select(F.col("id").alias(key), F.col("ref").alias(name))
+    return nodes.select("ref"), ends.join(end("s", "src"), "s").join(end("t", "dst"), "t").select("src", "dst", "label", "weight")
+
+
 def layout(spark: SparkSession, path: str) -> DataFrame:
     """S10. (ref, x, y) of a saved layout."""
     return spark.read.json(path).select("ref", "x", "y")

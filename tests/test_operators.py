@@ -176,7 +176,7 @@ def test_graph_files(spark, tmp_path, two):
     n, e = tables.graph(spark, str(tmp_path / "g"))
     assert n.count() == 2 and e.count() == 1
     lines = [r.line for r in sinks.gml_lines(n, e).collect()]
-    assert lines[0].startswith("graph [") and lines[-1] == "]" and any('source "home|1" target "prox|2"' in x for x in lines)
+    assert lines[0].startswith("graph [") and lines[-1] == "]" and any("edge [ source 1 target 2 label 1 weight 0.5 ]" in x for x in lines)
 
 
 # ---- clusterings and learning ----
@@ -246,3 +246,40 @@ def test_shared_folder(spark, tmp_path):
     made = runtime.materialize(spark.range(100).withColumn("k", F.col("id") % 7), "some", buckets=(4, "k"))
     plan = made.join(made.groupBy("k").count(), "k")._jdf.queryExecution().executedPlan().toString()
     assert made.count() == 100 and "Exchange hashpartitioning" not in plan.replace("BroadcastExchange", "")
+
+
+def test_gml_round_trip(spark, tmp_path):
+    kind = "struct<source:string,label:{}>"
+    for label, names in (("long", [(f"s{k % 2}", k) for k in range(30)]), ("string", [("a b", 'x "q" & [y]'), ("a b", "z\\n"), ("ü", "7")])):
+        nodes = spark.createDataFrame([(n,) for n in names], f"ref {kind.format(label)}").repartition(3)
+        edges = spark.createDataFrame([(names[k], names[(k + 1) % len(names)], k % 3, k / 7) for k in range(len(names))], f"src {kind.format(label)}, dst {kind.format(label)}, label int, weight double")
+        sinks.write_gml(nodes, edges, f"{tmp_path}/{label}.gml")
+        back = tables.read_gml(spark, f"{tmp_path}/{label}.gml")
+        assert [sorted(d.collect()) for d in back] == [sorted(d.collect()) for d in (nodes, edges)]
+    (tmp_path / "other.gml").write_text('graph [\n  directed 1\n  node [\n    id 4\n    source "a"\n    ref "b]"\n  ]\n  node [\n    id 5\n    source "a"\n    ref "c"\n  ]\n  edge [\n    source 4\n    target 5\n    label 1\n    weight 0.5\n  ]\n]\n')
+    nodes, edges = tables.read_gml(spark, f"{tmp_path}/other.gml")
+    assert [tuple(r.ref) for r in nodes.orderBy("ref").collect()] == [("a", "b]"), ("a", "c")] and [(r.src.label, r.dst.label, r.label, r.weight) for r in edges.collect()] == [("b]", "c", 1, 0.5)]
+
+
+def event_file(values):
+    """Records of an event file: a version, then a scalar each."""
+    import struct
+
+    varint = lambda n: bytes([n & 0x7F | 0x80]) + varint(n >> 7) if n > 0x7F else bytes([n])
+    sized = lambda field, data: varint(field << 3 | 2) + varint(len(data)) + data
+    events = [struct.pack("<Bd", 9, 1.0) + sized(3, b"brain.Event:2")]
+    for step, tag, value in values:
+        scalar = sized(1, tag.encode()) + struct.pack("<Bf", 2 << 3 | 5, value)
+        events.append(struct.pack("<Bd", 9, 2.0) + varint(2 << 3) + varint(step) + sized(5, sized(1, scalar)))
+    return b"".join(struct.pack("<Q", len(e)) + bytes(4) + e + bytes(4) for e in events)
+
+
+def test_event_files(spark, tmp_path):
+    for folder, values in (("run_loss", [(0, "m", 1.0), (300, "m", 0.5), (300, "other", 9.0), (300, "m", 0.25)]), ("run_f1", [(1, "m", 0.75)])):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "events.out.tfevents.1.host").write_bytes(event_file(values) + b"\x40\x00\x00\x00\x00\x00\x00\x00cut")
+    got = [tuple(r) for r in tables.scalars(spark, str(tmp_path), "m", "loss").orderBy("ordinal").collect()]
+    assert got == [(0, "m", 1.0, 1), (300, "m", 0.5, 2), (300, "m", 0.25, 3)]
+    last = {(r.step, r.tag): r.value for r in V.last_values(tables.scalars(spark, str(tmp_path), "m", "loss")).collect()}
+    assert last == {(0, "m"): 1.0, (300, "m"): 0.25}
+    assert tables.scalars(spark, str(tmp_path)).count() == 5 and tables.scalars(spark, str(tmp_path), "none").count() == 0

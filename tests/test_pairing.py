@@ -76,7 +76,9 @@ def literal_greedy(n, score, threshold):
     return out
 
 
-def test_greedy_against_the_rule(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_greedy_against_the_rule(spark, few, monkeypatch):
+    monkeypatch.setattr(P, "FEW_EDGES", few)
     rng = random.Random(5)
     for _ in range(3):
         n = 9
