@@ -47,8 +47,10 @@ SLICE_BYTES = 4 << 20
 GROUP_PAIRS = 1 << 19
 MOST_HOT = 1 << 19
 STEPS = 4
+#: a plane of fewer bytes is not compressed
+FEW_BYTES = 64
 #: groups that travel together, as a binary logarithm: a slice sends them in one piece, and a task counts one after the other
-TOGETHER = 3
+TOGETHER = 4
 
 _U = np.uint64
 END = _U(0x2545F4914F6CDD1D)
@@ -108,19 +110,34 @@ def unpack_tokens(by_frequency: np.ndarray, data) -> np.ndarray:
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of numbers in one compressed piece: the length of each, then its bytes from the lowest."""
-    lengths = np.array([len(c) for c in columns], np.int64).tobytes()
-    raw = lengths + b"".join(planes(c) for c in columns)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """Columns of numbers in one piece: byte by byte from the lowest, each such plane compressed on its own, as planes
+    differ; planes without a set bit take no room."""
+    head, body = [], []
+    for c in columns:
+        bytes_of = np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize)
+        used = [k for k in range(c.itemsize) if bytes_of[:, k].any()]
+        head += [len(c), len(used)]
+        for k in used:
+            raw = bytes_of[:, k].tobytes()
+            small = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) >= FEW_BYTES else raw
+            small = small if len(small) < len(raw) else raw
+            head += [k, len(small)]
+            body.append(small)
+    return np.array([len(head), *head], np.uint32).tobytes() + b"".join(body)
 
 
 def unpack(data: bytes, *kinds: type) -> list[np.ndarray]:
-    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-    out, at = [], 8 * len(kinds)
-    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)), kinds, strict=True):
-        size = int(n) * np.dtype(kind).itemsize
-        out.append(whole(raw[at : at + size], kind))
-        at += size
+    n_head = int(np.frombuffer(data, np.uint32, 1)[0])
+    head, at, out = iter(np.frombuffer(data, np.uint32, n_head, 4).tolist()), 4 * (n_head + 1), []
+    for kind in kinds:
+        n, used = next(head), next(head)
+        bytes_of = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+        for _ in range(used):
+            k, size = next(head), next(head)
+            raw = data[at : at + size]
+            at += size
+            bytes_of[:, k] = np.frombuffer(raw if size == n else pa.decompress(raw, decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+        out.append(bytes_of.view(kind).ravel())
     return out
 
 
