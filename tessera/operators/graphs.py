@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import degrade as degraded
+from .members import member_pairs
 from .metrics import unordered
 
 
@@ -80,10 +81,9 @@ def directed_truth(clusters: DataFrame, seeds: DataFrame) -> DataFrame:
 
     clusters: ref, cluster_id, is_bridge. seeds: bridge, linked. Bridges stand right, but for pairs of two.
     """
-    a = clusters.select("cluster_id", F.col("ref").alias("x"), F.col("is_bridge").alias("bx"))
-    b = clusters.select("cluster_id", F.col("ref").alias("y"), F.col("is_bridge").alias("by"))
     swap = F.col("bx") & ~F.col("by")
-    within = a.join(b, "cluster_id").filter("x < y").select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("left"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("right"), F.lit(1).alias("label"))
+    pairs = member_pairs(clusters.select("cluster_id", "ref", "is_bridge"), "cluster_id", "ref", {"x": "ref", "bx": "is_bridge"}, {"y": "ref", "by": "is_bridge"})
+    within = pairs.filter("x < y").select(F.when(swap, F.col("y")).otherwise(F.col("x")).alias("left"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("right"), F.lit(1).alias("label"))
     across = seeds.select(F.explode("linked").alias("left"), F.col("bridge").alias("right"), F.lit(2).alias("label"))
     return within.unionByName(across).groupBy("left", "right").agg(F.max("label").alias("label"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normal, normal_bound, normal_similarity
 from ..runtime import checkpoint
+from .members import member_pairs
 from .records import Fields
 
 #: means are compared at this many decimals, as sums of parts come in any order
@@ -77,9 +78,9 @@ def mean_ambiguity(records: DataFrame, fields: Fields) -> DataFrame:
     for k, f in enumerate(fields.names):
         compared = f in fields.text and f in fields.targets
         values = held.groupBy("cluster_id", F.col(f).alias("v")).agg(F.count("*").alias("n")).withColumn("x", normal(F.col("v")) if compared else F.lit(None))
-        other = values.select("cluster_id", F.col("v").alias("w"), F.col("n").alias("m"), F.col("x").alias("y"))
+        pairs = member_pairs(values, "cluster_id", "v", {"v": "v", "x": "x"}, {"w": "v", "m": "n", "y": "x"})
         score = field_score(F.col("v"), F.col("w"), text=f in fields.text, target=f in fields.targets, null_is_absent=fields.null_is_absent, normals=(F.col("x"), F.col("y")) if compared else None)
-        by_value = values.join(other, "cluster_id").groupBy("cluster_id", "v").agg(F.sum(score * F.col("m")).alias(f"__s{k}"))
+        by_value = pairs.groupBy("cluster_id", "v").agg(F.sum(score * F.col("m")).alias(f"__s{k}"))
         sums.append((f, k, by_value))
     out = held
     for f, k, by_value in sums:
@@ -135,6 +136,4 @@ def affinity(records: DataFrame, ranked: DataFrame, fields: Fields, links: int =
 
 def cluster_pairs(records: DataFrame) -> DataFrame:
     """J3. All pairs (left, right) within clusters, left first."""
-    rows = records.select("cluster_id", "ref")
-    other = rows.select("cluster_id", F.col("ref").alias("right"))
-    return rows.withColumnRenamed("ref", "left").join(other, "cluster_id").filter("left < right")
+    return member_pairs(records.select("cluster_id", "ref"), "cluster_id", "ref", {"left": "ref"}, {"right": "ref"}).filter("left < right")

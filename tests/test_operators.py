@@ -195,7 +195,50 @@ def two_groups():
 
 @pytest.mark.parametrize("name", sorted(clustering.ALGORITHMS))
 def test_algorithms_find_two_groups(name):
-    assert sorted(map(sorted, clustering.ALGORITHMS[name](two_groups()))) == [[0, 1, 2, 3], [4, 5, 6, 7]]
+    assert sorted(map(sorted, clustering.ALGORITHMS[name](graph_of(two_groups())))) == [[0, 1, 2, 3], [4, 5, 6, 7]]
+
+
+def graph_of(w):
+    i, j = np.nonzero(np.triu(w, 1))
+    return clustering.Graph.of_edges(len(w), i, j, w[i, j])
+
+
+def test_markov_equals_the_dense_walk(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(clustering, "CHUNK", 100)
+    for _ in range(5):
+        n = 30
+        w = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.12), 1)
+        w += w.T
+        flow = w + np.eye(n) * max(w.max(), 1.0)
+        flow /= flow.sum(axis=0)
+        for _ in range(100):
+            new = (flow @ flow) ** 2
+            new /= new.sum(axis=0)
+            new[new < clustering.LEAST_FLOW] = 0
+            new /= new.sum(axis=0)
+            if np.abs(new - flow).max() < 1e-8:
+                break
+            flow = new
+        owner = flow.argmax(axis=0)
+        assert clustering.markov(graph_of(w)) == [np.flatnonzero(owner == k).tolist() for k in np.unique(owner)]
+
+
+@pytest.mark.parametrize("name", sorted(clustering.ALGORITHMS))
+def test_algorithms_on_many_nodes(name):
+    """A ring of cliques whose square would not be held: what is kept follows the edges."""
+    import tracemalloc
+
+    n, size = 1600, 8
+    inside = [(a, b, 0.9) for k in range(0, n, size) for a in range(k, k + size) for b in range(a + 1, k + size)]
+    i, j, w = zip(*inside, *[(k + size - 1, (k + size) % n, 0.01) for k in range(0, n, size)], strict=True)
+    tracemalloc.start()
+    found = clustering.ALGORITHMS[name](clustering.Graph.of_edges(n, i, j, w))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(x for part in found for x in part) == list(range(n)) and peak < n * n * 8 / 2
+    if name in ("markov", "leiden"):
+        assert all(len({x // size for x in part}) <= 2 for part in found) and len(found) >= n // size // 2
 
 
 @pytest.mark.parametrize("name", ["wcc", *sorted(clustering.ALGORITHMS)])

@@ -119,3 +119,15 @@ def test_components_against_union_find(spark, few, monkeypatch):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
     texts = connected_components(spark.createDataFrame([("b", "c"), ("c", "a"), ("x", "y"), ("z", None)], "src string, dst string"))
     assert {r.node: r.component for r in texts.collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+def test_pairs_of_members_in_blocks(spark, monkeypatch):
+    """A group larger than a block gives the same pairs."""
+    from tessera.operators import members
+
+    rows = spark.createDataFrame([(k, 0 if k < 40 else k % 5 + 1) for k in range(70)], "ref long, cluster_id long")
+    pairs = lambda: sorted(tuple(r) for r in members.member_pairs(rows, "cluster_id", "ref", {"a": "ref"}, {"b": F.col("ref") + 0}).collect())
+    whole = pairs()
+    assert len(whole) == 40 * 40 + 5 * 36
+    monkeypatch.setattr(members, "BLOCK_ROWS", 7)
+    assert pairs() == whole
