@@ -287,6 +287,11 @@ class MatcherConfig:
     match: float = 0.5
     one_way: float = 0.8
 
+    def path_for(self, dataset: str) -> str:
+        """F28. The model's path, with the dataset's name in place of ``{dataset_name}``."""
+        check(bool(self.path), f"matcher {self.name} needs a path")
+        return self.path.replace("{dataset_name}", dataset)
+
 
 @dataclass(frozen=True)
 class EvaluationConfig:

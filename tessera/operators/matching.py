@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import record_tokens
+from ..functions.text import FULL_FEATURES, overlap_features, record_tokens
 from ..runtime import checkpoint
 from .graphs import degrade_results, match_graph, predicted_label, reciprocal
 from .metrics import confusion, matthews, pair_quality
@@ -39,6 +39,41 @@ def coverage_matcher(fields: Sequence[str], match: float = 0.5, one_way: float =
     return run
 
 
+def _surface(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``rows`` with the token features of each field, in one vector ``features``."""
+    from pyspark.ml.feature import VectorAssembler
+
+    made = {}
+    for f in fields:
+        found = overlap_features(record_tokens([F.col(f"a.{f}")]), record_tokens([F.col(f"b.{f}")]))
+        made |= {f"__{f}_{k}": found[k].cast("double") for k in FULL_FEATURES}
+    return VectorAssembler(inputCols=list(made), outputCol="features").transform(rows.withColumns(made)).drop(*made)
+
+
+def fit_matcher(rows: DataFrame, fields: Sequence[str], classes: int = 3):
+    """E10. A pipeline model over token features of pairs; rows: record structs ``a`` and ``b``, and a label below ``classes``."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+
+    learner = LogisticRegression(labelCol="label", family="multinomial", regParam=1e-3)
+    model = Pipeline(stages=[learner]).fit(_surface(rows.withColumn("label", F.col("label").cast("double")), fields))
+    if model.stages[0].numClasses > classes:
+        raise ValueError(f"labels must lie below {classes}")
+    return model
+
+
+def model_matcher(model, fields: Sequence[str], classes: int = 3) -> Matcher:
+    """E10. A matcher of a fitted Spark ML model: its prediction is the label, its probabilities the weights."""
+    from pyspark.ml.functions import vector_to_array
+
+    def run(rows: DataFrame) -> DataFrame:
+        found = model.transform(_surface(rows, fields))
+        weights = F.concat(vector_to_array("probability"), F.array_repeat(F.lit(0.0), classes))
+        return found.select(*rows.columns, F.col("prediction").cast("int").alias("label"), F.slice(weights, 1, classes).alias("label_weights"))
+
+    return run
+
+
 def orders_of(order: str) -> tuple[str, ...]:
     return (NORMAL, REVERSE) if order == BOTH else (order,)
 

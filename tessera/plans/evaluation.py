@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BenchmarkConfig, ConfigError, EvaluationConfig, MatcherConfig
+from ..functions.messages import stale_message
 from ..operators import graphs as G
 from ..operators import matching as M
 from ..operators.clustering import cluster
@@ -20,14 +21,20 @@ from ..runtime import checkpoint
 from ..sources import sinks, tables
 from .datasets import Dataset, load_dataset
 
+def _spark_model(config: MatcherConfig, fields: Sequence[str], dataset: str) -> M.Matcher:
+    from pyspark.ml import PipelineModel
+
+    return M.model_matcher(PipelineModel.load(config.path_for(dataset)), fields)
+
+
 #: Matchers by configured type; others can be added.
-MATCHERS = {"coverage": lambda c, fields: M.coverage_matcher(fields, c.match, c.one_way)}
+MATCHERS = {"coverage": lambda c, fields, dataset: M.coverage_matcher(fields, c.match, c.one_way), "spark-ml": _spark_model}
 
 
-def matcher_of(config: MatcherConfig, fields: Sequence[str]) -> M.Matcher:
+def matcher_of(config: MatcherConfig, fields: Sequence[str], dataset: str) -> M.Matcher:
     if config.type not in MATCHERS:
         raise ConfigError(f"no matcher of type {config.type!r} is registered")
-    return MATCHERS[config.type](config, fields)
+    return MATCHERS[config.type](config, fields, dataset)
 
 
 def space_of(spark: SparkSession, config: BenchmarkConfig, data: Dataset, out: str, seed: int) -> DataFrame:
@@ -69,10 +76,10 @@ def matching(spark: SparkSession, config: EvaluationConfig, out: str, orders: Se
                 refs = comparisons.select(F.explode(F.array("left", "right")).alias("ref")).distinct()
                 stale = G.staleness(nodes, graph, refs, comparisons).first()
                 if any(stale):
-                    raise ValueError(f"{graph_path} does not fit its comparisons: {stale.asDict()}")
+                    raise ValueError(stale_message(graph_path, *stale))
                 results = spark.read.parquet(f"{out}/results/{benchmark.name}/{model.name}/{order}")
             else:
-                results = checkpoint(M.run_matcher(matcher_of(model, data.fields), comparisons, data.records, data.fields, order))
+                results = checkpoint(M.run_matcher(matcher_of(model, data.fields, benchmark.name), comparisons, data.records, data.fields, order))
                 if degrade:
                     graph = G.match_graph(results, degrade=True)
                 else:
@@ -139,7 +146,7 @@ def asymmetry(spark: SparkSession, config: EvaluationConfig, out: str, root: str
     """``evaluate asymmetry``: labels of both input orders side by side."""
     rows = None
     for benchmark, data, comparisons, model in _units(spark, config, out, root):
-        results = M.run_matcher(matcher_of(model, data.fields), comparisons, data.records, data.fields, M.BOTH)
+        results = M.run_matcher(matcher_of(model, data.fields, benchmark.name), comparisons, data.records, data.fields, M.BOTH)
         one = M.asymmetry(results).withColumns({"dataset": F.lit(benchmark.name), "model": F.lit(model.name)})
         rows = one if rows is None else rows.unionByName(one)
     if rows is None:

@@ -326,3 +326,53 @@ def test_event_files(spark, tmp_path):
     last = {(r.step, r.tag): r.value for r in V.last_values(tables.scalars(spark, str(tmp_path), "m", "loss")).collect()}
     assert last == {(0, "m"): 1.0, (300, "m"): 0.25}
     assert tables.scalars(spark, str(tmp_path)).count() == 5 and tables.scalars(spark, str(tmp_path), "none").count() == 0
+
+
+def test_learned_matcher(spark, tmp_path):
+    from tessera import config as C
+    from tessera.operators import matching as M
+    from tessera.plans import evaluation as E
+
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(40)]
+    rows = []
+    for k in range(240):
+        a = list(rng.choice(words, 6, replace=False))
+        b = a if k % 3 == 1 else a + list(rng.choice(words, 6)) if k % 3 == 2 else list(rng.choice(words, 6))
+        rows.append((k, (" ".join(a),), (" ".join(b),), k % 3))
+    df = spark.createDataFrame(rows, "seq long, a struct<name:string>, b struct<name:string>, label int")
+    M.fit_matcher(df, ["name"]).write().overwrite().save(f"{tmp_path}/models/people/best")
+    matcher = E.matcher_of(C.build(C.MatcherConfig, {"name": "m", "type": "spark-ml", "path": f"{tmp_path}/models/{{dataset_name}}/best"}), ["name"], "people")
+    got = matcher(df.drop("label")).collect()
+    assert np.mean([r.label == r.seq % 3 for r in got]) > 0.95 and all(len(r.label_weights) == 3 and sum(r.label_weights) == pytest.approx(1) for r in got)
+    two = M.model_matcher(M.fit_matcher(df.filter("label < 2"), ["name"]), ["name"])
+    assert {len(r.label_weights) for r in two(df).collect()} == {3}
+    with pytest.raises(C.ConfigError):
+        E.matcher_of(C.build(C.MatcherConfig, {"name": "m", "type": "spark-ml"}), ["name"], "people")
+
+
+def test_messages():
+    from tessera.functions.messages import plural, stale_message
+
+    assert (plural(1, "node"), plural(0, "node"), plural(2, "edge")) == ("1 node", "0 nodes", "2 edges")
+    assert stale_message("x.gml", 1, 0, 3) == "x.gml belongs to other comparisons: 1 unexpected node, 0 missing nodes, 3 unexpected edges"
+
+
+def test_chart_tables(spark):
+    from tessera.operators import charts
+
+    clusters = spark.createDataFrame([(k, 0 if k < 30 else k // 10) for k in range(80)], "ref long, cluster_id long")
+    places = {r.ref: r for r in charts.cluster_places(clusters).collect()}
+    centres = {r.cluster_id: r for r in charts.shelves(clusters).collect()}
+    assert len(places) == 80 and centres[0].size == 30
+    for r in places.values():
+        c = centres[r.cluster_id]
+        assert math.hypot(r.x - c.x, r.y - c.y) <= c.radius
+    cs = list(centres.values())
+    assert all(math.hypot(a.x - b.x, a.y - b.y) >= a.radius + b.radius - 1e-9 for k, a in enumerate(cs) for b in cs[:k])
+    edges = spark.createDataFrame([(0, 1), (1, 2), (5, 6)], "src long, dst long")
+    assert charts.graph_places(clusters, edges).select("cluster_id").distinct().count() == 80 - 3
+    lines = charts.edge_lines(spark.createDataFrame([(0, 1, "TP"), (1, 2, "FN")], "left long, right long, status string"), charts.graph_places(clusters, edges)).collect()
+    assert {(r.left, r.colour) for r in lines} == {(0, "green"), (1, "orange")} and all(r.x1 != r.x2 or r.y1 != r.y2 for r in lines)
+    sweep = spark.createDataFrame([("d", 0.5, 1.0, None), ("d", 0.8, 2.0, 3)], "dataset string, alpha double, p double, q int")
+    assert sorted(tuple(r) for r in charts.sweep_lines(sweep, "alpha", ["p", "q"]).collect()) == [("d", "p", 0.5, 1.0), ("d", "p", 0.8, 2.0), ("d", "q", 0.8, 3.0)]
