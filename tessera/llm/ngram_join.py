@@ -350,13 +350,13 @@ def link_components(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, mark, n, component_id, group) of every row; mark is a hash of the text, and group names the component by its texts."""
+    """(id, mark, n, component_id, kept) of every row; mark is a hash of the text, and kept the least id and mark of the component's texts."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
     sets = materialize(document_sets(texts), "sets")
-    classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
+    classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "mark"))).alias("first"))
     total = sets.agg(F.sum("n")).first()[0] or 0
-    alone = sets.filter("n = 0").select("id", "mark", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("group"))
+    alone = sets.filter("n = 0").select("id", "mark", "n", F.col("id").alias("component_id"), F.lit(None).cast("struct<id:bigint,mark:bigint>").alias("kept"))
     if not total:
         return alone
     sketch = frequency_sketch(texts, total)
@@ -366,9 +366,9 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     members = checkpoint(classes.filter("rep IS NOT NULL").join(parts, "d1").select("rep", "d1", "d2", "part", "size"))
     linked = connected_components(link_parts(materialize(class_sets(texts, members, members.count(), sketch), "grams")))
     grouped = classes.join(linked, F.col("d1") == F.col("node"), "left").withColumn("component", F.coalesce("component", "d1"))
-    least = grouped.filter(F.col("node").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"))
-    named = grouped.join(least, "component", "left").select("d1", "d2", "n", F.coalesce("least", "rep").alias("component_id"), F.col("component").alias("group"))
-    return sets.filter("n > 0").join(named, ["d1", "d2", "n"]).select("id", "mark", "n", "component_id", "group").unionByName(alone)
+    least = grouped.filter(F.col("node").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"), F.min("first").alias("kept"))
+    named = grouped.join(least, "component", "left").select("d1", "d2", "n", F.coalesce("least", "rep").alias("component_id"), F.coalesce("kept", "first").alias("kept"))
+    return sets.filter("n > 0").join(named, ["d1", "d2", "n"]).select("id", "mark", "n", "component_id", "kept").unionByName(alone)
 
 
 ORACLE_SQL = r"""
@@ -394,9 +394,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     documents with an empty set represent themselves.
     """
     named = checkpoint(_components(docs, key, text).filter("id IS NOT NULL"))
-    texts = named.groupBy("group", "id", "mark").agg(F.count("*").alias("rows"))
-    kept = texts.filter("group IS NOT NULL").groupBy("group").agg(F.min(F.struct("id", "mark")).alias("kept"))
-    judged = texts.join(kept, "group", "left").withColumn("__drop", F.coalesce(F.struct("id", "mark") != F.col("kept"), F.lit(False)))
+    other = F.coalesce((F.col("id") != F.col("kept.id")) | (F.col("mark") != F.col("kept.mark")), F.lit(False))
+    judged = named.groupBy("id", "mark").agg(F.count("*").alias("rows"), F.max(other).alias("__drop"))
     marks = checkpoint(judged.filter("__drop OR rows > 1").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__drop"))
     same = (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("__mark"))
     marked = docs.join(F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks, same, "left")
