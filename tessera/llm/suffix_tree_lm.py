@@ -50,7 +50,7 @@ STEPS = 4
 #: a plane of fewer bytes is not compressed
 FEW_BYTES = 64
 #: groups that travel together, as a binary logarithm: a slice sends them in one piece, and a task counts one after the other
-TOGETHER = 4
+TOGETHER = 3
 
 _U = np.uint64
 END = _U(0x2545F4914F6CDD1D)
