@@ -36,6 +36,11 @@ def parser() -> argparse.ArgumentParser:
         if name == "matching":
             p.add_argument("--degrade-directional-labels", action="store_true", dest="degrade")
             p.add_argument("--skip-existing", action="store_true")
+            p.add_argument("--graph-plots", metavar="FOLDER", help="tables of the graphs' charts")
+        if name == "clustering":
+            p.add_argument("--cluster-plots", metavar="FOLDER", help="tables of the clusterings' charts")
+        if name in ("matching", "clustering"):
+            p.add_argument("--plot-dpi", type=int, help="kept for scripts; charts come as tables")
         p.add_argument("-s", "--stats-file")
         p.add_argument("-w", "--workers", type=int, help="kept for scripts; Spark's partitions take its place")
 
@@ -68,7 +73,9 @@ def main(arguments: Sequence[str] | None = None, spark: SparkSession | None = No
             config = load(spark, path, EvaluationConfig)
             options = {"root": root} | ({"orders": args.orders or (ORDERS[0],)} if args.action != "asymmetry" else {})
             if args.action == "matching":
-                options |= {"degrade": args.degrade, "skip_existing": args.skip_existing}
+                options |= {"degrade": args.degrade, "skip_existing": args.skip_existing, "graph_plots": args.graph_plots and resolve(args.graph_plots, root)}
+            if args.action == "clustering":
+                options["cluster_plots"] = args.cluster_plots and resolve(args.cluster_plots, root)
             stats = getattr(evaluation, args.action.replace("-", "_"))(spark, config, out, **options)
             if args.stats_file:
                 stats.coalesce(1).write.mode("overwrite").csv(resolve(args.stats_file, root), header=True)

@@ -14,6 +14,7 @@ from ..operators import bridges as B
 from ..operators import pairing as P
 from ..operators import profiles as R
 from ..operators import selection as L
+from ..operators.charts import sweep_lines
 from ..operators.learning import Mixture, grouped_cv_auc, mixture
 from ..operators.metrics import class_metrics
 from ..operators.records import Fields, bridge_terms, integer_labels, label_kind, text_labels
@@ -228,6 +229,8 @@ def analyse(spark: SparkSession, config: AmbiguityConfig, out: str, root: str =
         fitted = threshold.fitted
         add("threshold_sweep", threshold.sweep)
         add("alpha_sweep", L.sweep_report(table, choices, settings))
+        add("threshold_chart", sweep_lines(threshold.sweep, "threshold", ["bridge_count", "link_count", "short_bridge_count"]))
+        add("alpha_chart", sweep_lines(table, "alpha", [c for c in ("content_separability", "margin_pi_resolvable", "surface_auc_gap", "detect_auc_lr") if c in table.columns]))
         facts = spark.range(1).select(*[F.lit(v).alias(k) for k, v in {"dataset": generator.data.name, "theta": fitted.boundary, "boundary_type": fitted.boundary_type, "genuine_share": fitted.share, "low_mean": fitted.means[0], "high_mean": fitted.means[1]}.items()])
         chosen = choices.select(F.lit(generator.data.name).alias("dataset"), "criterion", "chosen", "n_feasible_alphas", "reason")
         add("methodology", L.methodology(chosen.join(facts, "dataset"), ["dataset", "criterion", "chosen", "n_feasible_alphas", "reason", "theta", "boundary_type", "genuine_share", "low_mean", "high_mean"]))

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..config import BenchmarkConfig, ConfigError, EvaluationConfig, MatcherConfig
 from ..functions.messages import stale_message
+from ..operators import charts as C
 from ..operators import graphs as G
 from ..operators import matching as M
 from ..operators.clustering import cluster
-from ..operators.metrics import cluster_quality
+from ..operators.metrics import best_cluster_matches, cluster_quality
 from ..operators.numbering import number_rows
 from ..operators.profiles import sampled_negatives
 from ..operators.records import restrict_clusters
@@ -64,8 +65,8 @@ def _units(spark: SparkSession, config: EvaluationConfig, out: str, root: str):
             yield benchmark, data, comparisons, model
 
 
-def matching(spark: SparkSession, config: EvaluationConfig, out: str, orders: Sequence[str] = (M.NORMAL,), degrade: bool = False, skip_existing: bool = False, root: str = ".") -> DataFrame:
-    """``evaluate matching``: graphs, results and a row of metrics for each dataset, model and order."""
+def matching(spark: SparkSession, config: EvaluationConfig, out: str, orders: Sequence[str] = (M.NORMAL,), degrade: bool = False, skip_existing: bool = False, root: str = ".", graph_plots: str | None = None) -> DataFrame:
+    """``evaluate matching``: graphs, results and a row of metrics for each dataset, model and order; the tables of their charts go to ``graph_plots``."""
     stats = None
     for benchmark, data, comparisons, model in _units(spark, config, out, root):
         for order in M.check_orders(orders):
@@ -88,6 +89,10 @@ def matching(spark: SparkSession, config: EvaluationConfig, out: str, orders: Se
                 sinks.write_graph(refs, graph, graph_path)
                 results.write.mode("overwrite").parquet(f"{out}/results/{benchmark.name}/{model.name}/{order}")
                 sinks.write_results(M.saved_results(M.recorded_labels(results, comparisons, truth)), f"{out}/results/{benchmark.name}_{model.name}_{order}.csv")
+            if graph_plots:
+                places = checkpoint(C.graph_places(comparisons.select(F.explode(F.array("left", "right")).alias("ref")).distinct(), graph))
+                classes = G.classify_edges(graph, truth.select(F.col("left").alias("src"), F.col("right").alias("dst")))
+                sinks.write_chart({"places": places, "lines": C.edge_lines(classes, places)}, f"{graph_plots}/{benchmark.name}/{model.name}/{order}")
             _, metrics = M.evaluate_matching(results, comparisons, truth, degrade)
             row = metrics.select(F.lit(benchmark.name).alias("dataset"), F.lit(model.name).alias("model"), F.lit(order).alias("input_order"), *metrics.columns)
             stats = row if stats is None else stats.unionByName(row, allowMissingColumns=True)
@@ -98,8 +103,11 @@ def matching(spark: SparkSession, config: EvaluationConfig, out: str, orders: Se
     return stats
 
 
-def clustering(spark: SparkSession, config: EvaluationConfig, out: str, orders: Sequence[str] = (M.NORMAL,), root: str = ".") -> DataFrame:
-    """``evaluate clustering``: eight metrics of each algorithm over each saved graph. All datasets must have true clusters."""
+def clustering(spark: SparkSession, config: EvaluationConfig, out: str, orders: Sequence[str] = (M.NORMAL,), root: str = ".", cluster_plots: str | None = None) -> DataFrame:
+    """``evaluate clustering``: eight metrics of each algorithm over each saved graph. All datasets must have true clusters.
+
+    The tables of charts go to ``cluster_plots``: members at their places, with the true cluster that theirs matches.
+    """
     loaded = {b.name: load_dataset(spark, b.dataset, root) for b in config.benchmark_data}
     if missing := [n for n, d in loaded.items() if not d.has_clusters]:
         raise ConfigError(f"datasets without true clusters: {missing}")
@@ -112,6 +120,10 @@ def clustering(spark: SparkSession, config: EvaluationConfig, out: str, orders:
                 true = checkpoint(restrict_clusters(data.records.select("ref", "cluster_id"), placed))
                 for algorithm in config.algorithms:
                     found = cluster(nodes, edges, algorithm)
+                    if cluster_plots:
+                        held = checkpoint(found)
+                        members = G.prediction_nodes(true, held, checkpoint(best_cluster_matches(true, held)))
+                        sinks.write_chart({"places": C.cluster_places(held), "members": members}, f"{cluster_plots}/{name}/{model.name}/{order}/{algorithm}")
                     one = cluster_quality(true, found)
                     row = one.select(F.lit(name).alias("dataset"), F.lit(algorithm).alias("algorithm"), F.lit(model.name).alias("matcher"), F.lit(order).alias("input_order"), *one.columns)
                     stats = row if stats is None else stats.unionByName(row)

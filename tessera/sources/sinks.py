@@ -95,12 +95,17 @@ def write_components(components: DataFrame, path: str) -> None:
 
 
 def write_report(tables: Mapping[str, DataFrame], out: str) -> bool:
-    """K10. Report tables by name; nothing if no dataset was analysed."""
-    if not tables or any(t.limit(1).count() == 0 for t in tables.values()):
-        return False
-    for name, df in tables.items():
+    """K10. Report tables by name, those that have rows; nothing if no dataset was analysed."""
+    held = {name: df for name, df in tables.items() if df.limit(1).count()}
+    for name, df in held.items():
         df.coalesce(1).write.mode("overwrite").csv(f"{out}/{name}.csv", header=True)
-    return True
+    return bool(held)
+
+
+def write_chart(tables: Mapping[str, DataFrame], path: str) -> None:
+    """K14. The tables that a chart is drawn from, side by side."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def write_results(results: DataFrame, path: str) -> None:

@@ -59,6 +59,7 @@ def test_analyse(folder, spark):
     assert main([*root, "ambiguity", "generate", "-c", "config.json", "-O", "out"], spark) == 2
     assert main([*root, "ambiguity", "analyse", "-c", "config.json", "--plot-dir", "report"], spark) == 0
     read = lambda name: spark.read.csv(str(folder / "report" / name), header=True)
+    assert read("alpha_chart.csv").count() >= 2 and read("threshold_chart.csv").count() >= 9
     assert read("threshold_sweep.csv").count() in (3, 4) and read("alpha_sweep.csv").count() == 2 and read("methodology.csv").count() == 1
 
 
@@ -75,8 +76,13 @@ def test_simple_pairs(folder, spark):
 def test_evaluate(folder, spark):
     root = save(folder, {"benchmarkData": [{"dataset": dataset(clusters=True), "comparisonSpace": {"fileName": "space.parquet"}}], "matching": [{"name": "cover", "type": "coverage", "match": 0.3}], "clustering": {"algorithms": ["wcc", "markov", "parent-center", "leiden", "spectral"]}})
     run = lambda *a: main([*root, "evaluate", "-f", "config.json", *a, "-R", "out"], spark)
-    assert run("matching", "-i", "normal", "-i", "both") == 0 and run("matching", "--skip-existing") == 0
-    assert run("clustering") == 0 and run("confusion-matrix") == 0 and run("asymmetry") == 0
+    assert run("matching", "-i", "normal", "-i", "both") == 0 and run("matching", "--skip-existing", "--graph-plots", "charts/graphs", "--plot-dpi", "90") == 0
+    assert run("clustering", "--cluster-plots", "charts/clusters") == 0 and run("confusion-matrix") == 0 and run("asymmetry") == 0
+    chart = lambda *p: spark.read.parquet(str(folder.joinpath("charts", *p)))
+    places, lines = (chart("graphs", "people", "cover", "normal", name) for name in ("places", "lines"))
+    assert places.filter("x IS NULL OR y IS NULL").count() == 0 and places.select("ref").distinct().count() == places.count() > 0
+    assert lines.count() > 0 and lines.filter("colour IS NULL OR x1 IS NULL").count() == 0
+    assert chart("clusters", "people", "cover", "normal", "wcc", "members").count() > 0
     read = lambda name: spark.read.csv(str(folder / "out" / name), header=True)
     stats = {r.algorithm: r for r in read("clustering_stats.csv").collect()}
     assert set(stats) == {"wcc", "markov", "parent-center", "leiden", "spectral"} and float(stats["wcc"].pr) > 0
