@@ -45,7 +45,8 @@ BLOCK_ROWS = 512
 QUERY_ROWS = 256
 QUERIES_PER_GROUP = 4096
 SCALE = 1024
-STEP = 64
+#: rows of a block that are evaluated before bounds are looked at again
+STEP = 128
 
 
 def quantized(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -88,11 +89,12 @@ class Products:
 
     unit: int = 1
 
-    def of(self, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def of(self, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """A row for each query, a column for each candidate."""
         if self.unit == 1:
-            return (x @ q).astype(np.int64)
-        whole = [int(v) for v in q]
-        return np.array([min(max(sum(int(a) * b for a, b in zip(row, whole, strict=True)), LONG.min), LONG.max) for row in x], np.int64)
+            return (q @ x.T).astype(np.int64)
+        whole = [[int(v) for v in row] for row in x]
+        return np.array([[min(max(sum(a * b for a, b in zip([int(v) for v in one], row, strict=True)), LONG.min), LONG.max) for row in whole] for one in q], np.int64).reshape(len(q), len(x))
 
     def scaled(self, score: int) -> float:
         """Where the bound of a row that reaches the score must be, at least."""
@@ -132,27 +134,75 @@ class Pivots:
     def score_bound(self, norm: np.ndarray, apart: np.ndarray) -> np.ndarray:
         """No score can be larger, at this distance or more; with room for rounding."""
         total = norm + self.bound
-        return (total - np.maximum(apart, 0) ** 2) / 2 + 1e-6 * total
+        return (total - np.maximum(apart, 0) ** 2) / 2 + 2e-6 * total
 
     def norms(self, q: np.ndarray) -> np.ndarray:
         return ((q / self.scale) ** 2).sum(axis=-1)
 
 
-def best(q: np.ndarray, own: int, bounds: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: tuple[int, int], products: Products) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of a query's k best rows in a block that are no worse than ``least`` (score, id)."""
-    candidates = np.flatnonzero((bounds >= products.scaled(least[0])) & (ids != own))
-    candidates = candidates[np.argsort(-bounds[candidates], kind="stable")]
-    found_ids, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for at in range(0, len(candidates), STEP):
-        if len(found) == k and bounds[candidates[at]] < products.scaled(int(found[-1])):
-            break
-        rows = candidates[at : at + STEP]
-        scores = products.of(x[rows], q)
-        fine = (scores > least[0]) | ((scores == least[0]) & (ids[rows] <= least[1]))
-        found_ids, found = np.concatenate([found_ids, ids[rows][fine]]), np.concatenate([found, scores[fine]])
-        order = np.lexsort((found_ids, ~found))[:k]
-        found_ids, found = found_ids[order], found[order]
-    return found_ids, found
+@dataclass
+class Block:
+    """Candidates with their distances to the pivots."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    far: np.ndarray
+
+
+@dataclass
+class Pack:
+    """Queries with their distances to the pivots, and the (score, id) that a row must not be worse than."""
+
+    ids: np.ndarray
+    x: np.ndarray
+    far: np.ndarray
+    least: np.ndarray
+    last: np.ndarray
+
+
+def lower_bounds(pack: Pack, block: Block) -> np.ndarray:
+    """For each query and candidate the largest difference of their distances to a pivot; the squared distance is no less."""
+    out = np.zeros((len(pack.ids), len(block.ids)), np.float32)
+    apart = np.empty_like(out)
+    for a, b in zip(pack.far.T.astype(np.float32), block.far.T.astype(np.float32), strict=True):
+        np.subtract(a[:, None], b, out=apart)
+        np.abs(apart, out=apart)
+        np.maximum(out, apart, out=out)
+    return out
+
+
+def best(pack: Pack, block: Block, pivots: Pivots, products: Products, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Pack]:
+    """(query, id, score) of the k best candidates of each query in a block, best first, and the pack with what a row must reach then.
+
+    Candidates come in the order of their bounds, some at a time for all queries that they may serve, until no bound
+    reaches what its query has.
+    """
+    bounds = pivots.score_bound(pivots.norms(pack.x)[:, None], lower_bounds(pack, block))
+    least, last = pack.least.copy(), pack.last.copy()
+    reach = np.array([products.scaled(int(s)) for s in least])
+    order = np.argsort(-bounds.max(axis=0, initial=-np.inf), kind="stable")
+    query, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
+    for at in range(0, len(order), STEP):
+        rows = order[at : at + STEP]
+        wanted = (bounds[:, rows] >= reach[:, None]) & (block.ids[rows] != pack.ids[:, None])
+        some = np.flatnonzero(wanted.any(axis=1))
+        if not len(some):
+            if (bounds[:, rows].max(axis=0).max() < reach).all():  # later rows have no larger bounds
+                break
+            continue
+        made = products.of(pack.x[some], block.x[rows])
+        fine = wanted[some] & ((made > least[some, None]) | ((made == least[some, None]) & (block.ids[rows] <= last[some, None])))
+        i, j = np.nonzero(fine)
+        query, ids, scores = np.concatenate([query, some[i]]), np.concatenate([ids, block.ids[rows][j]]), np.concatenate([scores, made[i, j]])
+        kept = np.lexsort((ids, ~scores, query))
+        query, ids, scores = query[kept], ids[kept], scores[kept]
+        starts = np.searchsorted(query, np.arange(len(pack.ids) + 1))
+        rank = np.arange(len(query)) - starts[query]
+        full = np.flatnonzero(np.diff(starts) >= k)
+        least[full], last[full] = scores[starts[full] + k - 1], ids[starts[full] + k - 1]
+        reach[full] = [products.scaled(int(s)) for s in least[full]]
+        query, ids, scores = query[rank < k], ids[rank < k], scores[rank < k]
+    return query, ids, scores, Pack(pack.ids, pack.x, pack.far, least, last)
 
 
 def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10) -> DataFrame:
@@ -214,29 +264,21 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
 
     asked = materialize(queries.withColumn("pack", F.pmod(F.xxhash64("id", F.lit("pack")), F.lit(packs))).groupBy("cell", "pack").applyInArrow(pack, packed), "queries")
 
-    def opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def opened(row: dict) -> Pack:
         ids = np.frombuffer(row["ids"], np.int64)
-        return ids, np.frombuffer(row["xs"]).reshape(len(ids), width), np.frombuffer(row["fars"]).reshape(len(ids), m)
-
-    def block_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return table.column("id").to_numpy(), unpack(table.column("x"), width), np.frombuffer(b"".join(table.column("far").to_pylist())).reshape(-1, m)
+        ends = [np.frombuffer(row[c], np.int64) if c in row else np.full(len(ids), worst, np.int64) for c, worst in (("scores", LONG.min), ("lasts", LONG.max))]
+        return Pack(ids, np.frombuffer(row["xs"]).reshape(len(ids), width), np.frombuffer(row["fars"]).reshape(len(ids), m), *ends)
 
-    def bounds_of(q: np.ndarray, far_q: np.ndarray, far: np.ndarray) -> np.ndarray:
-        return pivots.score_bound(pivots.norms(q), np.abs(far - far_q).max(axis=1))
+    def block_of(table: pa.Table) -> Block:
+        return Block(table.column("id").to_numpy(), unpack(table.column("x"), width), np.frombuffer(b"".join(table.column("far").to_pylist())).reshape(-1, m))
 
     def first_look(block: pa.Table, packs_: pa.Table) -> pa.Table:
         """The least (score, id) each query has to reach: its k-th in one block of its own cell."""
         out = []
-        if packs_.num_rows:
-            ids, x, far = block_of(block) if block.num_rows else (np.zeros(0, np.int64), np.zeros((0, width)), np.zeros((0, m)))
-            for row in packs_.to_pylist():
-                least_scores, least_ids = [], []
-                for own, q, far_q in zip(*opened(row), strict=True):
-                    got_ids, got = best(q, own, bounds_of(q, far_q, far), x, ids, k, (LONG.min, LONG.max), products)
-                    full = len(got) == k
-                    least_scores.append(int(got[-1]) if full else LONG.min)
-                    least_ids.append(int(got_ids[-1]) if full else LONG.max)
-                out.append(row | {"scores": np.array(least_scores, np.int64).tobytes(), "lasts": np.array(least_ids, np.int64).tobytes()})
+        held = block_of(block)
+        for row in packs_.to_pylist():
+            *_, reached = best(opened(row), held, pivots, products, k)
+            out.append(row | {"scores": reached.least.tobytes(), "lasts": reached.last.tobytes()})
         return pa.Table.from_pylist(out, pa.schema([("cell", pa.int32()), ("pack", pa.int64()), ("home", pa.int64())] + [(c, pa.binary()) for c in ("ids", "xs", "fars", "scores", "lasts")]))
 
     homes = asked.select("cell", F.col("home").alias("block")).distinct()
@@ -246,50 +288,41 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
 
     travels = "group long, cell int, block long, ids binary, xs binary, fars binary, scores binary, lasts binary"
 
-    def goes(row: dict) -> tuple[tuple, np.ndarray]:
-        """A pack's queries with their thresholds, and which of them go to each cell, as it may hold better rows."""
-        ids, x, far = opened(row)
-        scores, lasts = np.frombuffer(row["scores"], np.int64), np.frombuffer(row["lasts"], np.int64)
-        apart = np.stack([np.maximum(lo - far, far - hi).max(axis=1) for lo, hi in zip(low, high, strict=True)], axis=1)
-        least = np.array([products.scaled(int(s)) for s in scores])
-        return (ids, x, far, scores, lasts), pivots.score_bound(pivots.norms(x)[:, None], apart) >= least[:, None]
+    def goes(pack: Pack) -> np.ndarray:
+        """Which of a pack's queries go to each cell, as it may hold better rows."""
+        apart = np.stack([np.maximum(lo - pack.far, pack.far - hi).max(axis=1) for lo, hi in zip(low, high, strict=True)], axis=1)
+        reach = np.array([products.scaled(int(s)) for s in pack.least])
+        return pivots.score_bound(pivots.norms(pack.x)[:, None], apart) >= reach[:, None]
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Which groups have queries for which cells."""
         for batch in batches:
             for row in batch.to_pylist():
-                cells_ = number[goes(row)[1].any(axis=0)]
+                cells_ = number[goes(opened(row)).any(axis=0)]
                 yield pa.record_batch({"group": pa.array([row["pack"] % groups] * len(cells_), pa.int64()), "cell": pa.array(cells_, pa.int32())})
 
     def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A pack's queries to every block of the cells they go to."""
         for batch in batches:
             for row in batch.to_pylist():
-                held, to = goes(row)
+                pack = opened(row)
+                to = goes(pack)
                 for c in np.flatnonzero(to.any(axis=0)):
                     q, cell = to[:, c], int(number[c])
                     n = blocks[cell]
                     yield pa.record_batch(
                         {"group": pa.array([row["pack"] % groups] * n, pa.int64()), "cell": pa.array([cell] * n, pa.int32()), "block": pa.array(range(n), pa.int64())}
-                        | {c: pa.array([v[q].tobytes()] * n, pa.binary()) for c, v in zip(("ids", "xs", "fars", "scores", "lasts"), held, strict=True)}
+                        | {c: pa.array([v[q].tobytes()] * n, pa.binary()) for c, v in (("ids", pack.ids), ("xs", pack.x), ("fars", pack.far), ("scores", pack.least), ("lasts", pack.last))}
                     )
 
     def meet(block: pa.Table, packs_: pa.Table) -> pa.Table:
-        out: list[tuple[int, np.ndarray, np.ndarray]] = []
-        if packs_.num_rows and block.num_rows:
-            ids, x, far = block_of(block)
-            for row in packs_.to_pylist():
-                for own, q, far_q, score, last in zip(*opened(row), np.frombuffer(row["scores"], np.int64), np.frombuffer(row["lasts"], np.int64), strict=True):
-                    got_ids, got = best(q, own, bounds_of(q, far_q, far), x, ids, k, (int(score), int(last)), products)
-                    if len(got):
-                        out.append((own, got_ids, got))
-        return pa.table(
-            {
-                "query_id": pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64) if out else [], pa.int64()),
-                "vec_id": pa.array(np.concatenate([o[1] for o in out]) if out else [], pa.int64()),
-                "score": pa.array(np.concatenate([o[2] for o in out]) if out else [], pa.int64()),
-            }
-        )
+        held, out = block_of(block), []
+        for row in packs_.to_pylist():
+            pack = opened(row)
+            query, ids, scores, _ = best(pack, held, pivots, products, k)
+            out.append((pack.ids[query], ids, scores))
+        columns_ = [np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*out, strict=True) if out else ([], [], []))]
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), columns_, strict=True)})
 
     sent = looked.mapInArrow(travel, travels)
     spread = indexed.select("id", "x", "far", "cell", "block")
