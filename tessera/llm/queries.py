@@ -26,7 +26,8 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
+    rows = [F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in url_filter.RULES]
+    rules = spark.range(1).select(F.inline(F.array(*rows)))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, rules, materialize(url_filter.campaign_links(pages), "listed")).drop("url")
 
