@@ -67,28 +67,33 @@ def score_pairs(pairs: DataFrame, records: DataFrame, fields: Fields, left: str
 def mean_ambiguity(records: DataFrame, fields: Fields) -> DataFrame:
     """A13. (cluster_id, ref, size, mean): the mean score of each member against its mates, for clusters of more than one.
 
-    Scores add up over fields, so each field is compared once for each two distinct values of a cluster rather
-    than for each two members; a value's scores are weighted by how many members have the other.
+    Scores add up over fields. Where a field's score follows from equality alone, counts of its values and nulls give its sum.
+    Texts of target fields are compared once for each two distinct values of a cluster rather than for each two
+    members; a value's scores are weighted by how many members have the other.
     """
-    sizes = records.groupBy("cluster_id").agg(F.count("*").alias("size")).filter("size > 1")
+    compared = [f for f in fields.names if f in fields.text and f in fields.targets]
+    filled = {f: F.count(f).alias(f"__filled_{f}") for f in fields.names if f not in compared}
+    sizes = records.groupBy("cluster_id").agg(F.count("*").alias("size"), *filled.values()).filter("size > 1")
     held = records.join(sizes, "cluster_id")
-    total = held.select("cluster_id", "ref", "size")
-    self_score = F.lit(0.0)
-    sums = []
+    out, whole, self_score = held, F.lit(0.0), F.lit(0.0)
     for k, f in enumerate(fields.names):
-        compared = f in fields.text and f in fields.targets
-        values = held.groupBy("cluster_id", F.col(f).alias("v")).agg(F.count("*").alias("n")).withColumn("x", normal(F.col("v")) if compared else F.lit(None))
-        pairs = member_pairs(values, "cluster_id", "v", {"v": "v", "x": "x"}, {"w": "v", "m": "n", "y": "x"})
-        score = field_score(F.col("v"), F.col("w"), text=f in fields.text, target=f in fields.targets, null_is_absent=fields.null_is_absent, normals=(F.col("x"), F.col("y")) if compared else None)
-        by_value = pairs.groupBy("cluster_id", "v").agg(F.sum(score * F.col("m")).alias(f"__s{k}"))
-        sums.append((f, k, by_value))
-    out = held
-    for f, k, by_value in sums:
+        values = held.groupBy("cluster_id", F.col(f).alias("v")).agg(F.count("*").alias("n"))
+        if f in compared:
+            values = values.withColumn("x", normal(F.col("v")))
+            pairs = member_pairs(values, "cluster_id", "v", {"v": "v", "x": "x"}, {"w": "v", "m": "n", "y": "x"})
+            score = field_score(F.col("v"), F.col("w"), text=True, target=True, null_is_absent=fields.null_is_absent, normals=(F.col("x"), F.col("y")))
+            by_value = pairs.groupBy("cluster_id", "v").agg(F.sum(score * F.col("m")).alias(f"__s{k}"))
+            part = F.col(f"__s{k}")
+        else:
+            by_value = values.withColumnRenamed("n", f"__s{k}")
+            n, some, all_ = F.col(f"__s{k}"), F.col(f"__filled_{f}"), F.col("size")
+            apart, one_sided, both_null = -0.5 if f in fields.text else -1.0, -0.5 if fields.null_is_absent else -1.0, 0.0 if fields.null_is_absent else 2.0
+            part = F.when(F.col(f).isNotNull(), 2.0 * n + apart * (some - n) + one_sided * (all_ - some)).otherwise(both_null * n + one_sided * some)
         by_value = by_value.select(F.col("cluster_id").alias("__c"), "v", f"__s{k}")
         out = out.join(by_value, (F.col("cluster_id") == F.col("__c")) & F.col(f).eqNullSafe(F.col("v"))).drop("__c", "v")
+        whole = whole + part
         self_score = self_score + (F.when(F.col(f).isNull(), 0.0).otherwise(2.0) if fields.null_is_absent else F.lit(2.0))
-    whole = sum((F.col(f"__s{k}") for _, k, _ in sums), F.lit(0.0))
-    return out.select(*total.columns, F.round((whole - self_score) / (F.col("size") - 1), PLACES).alias("mean"))
+    return out.select("cluster_id", "ref", "size", F.round((whole - self_score) / (F.col("size") - 1), PLACES).alias("mean"))
 
 
 def rank_members(records: DataFrame, fields: Fields) -> DataFrame:
@@ -97,9 +102,8 @@ def rank_members(records: DataFrame, fields: Fields) -> DataFrame:
     The representative is the first member with the highest mean, or the first member if no mean is positive;
     equal means keep the order of refs.
     """
-    means = mean_ambiguity(records, fields)
-    alone = records.join(means.select("ref"), "ref", "left_anti").select("cluster_id", "ref", F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("mean"))
-    rows = means.unionByName(alone)
+    single = records.groupBy("cluster_id").agg(F.count("*").alias("size"), F.first("ref").alias("ref")).filter("size = 1")
+    rows = mean_ambiguity(records, fields).unionByName(single.select("cluster_id", "ref", "size", F.lit(0.0).alias("mean")))
     by_cluster = Window.partitionBy("cluster_id")
     positive = F.when(F.max("mean").over(by_cluster) > 0, -F.col("mean")).otherwise(F.lit(0.0))
     first = F.row_number().over(by_cluster.orderBy(positive, "ref")) == 1

@@ -131,3 +131,18 @@ def test_pairs_of_members_in_blocks(spark, monkeypatch):
     assert len(whole) == 40 * 40 + 5 * 36
     monkeypatch.setattr(members, "BLOCK_ROWS", 7)
     assert pairs() == whole
+
+
+@pytest.mark.parametrize("absent", [False, True])
+def test_mean_ambiguity_against_pairs(spark, absent):
+    """Sums over values equal sums over pairs, with nulls, repeats, texts and numbers."""
+    rng = random.Random(6)
+    rows = [(k, rng.choice([None, "", "ab c", "ab", "AB c ", "xyz"]), rng.choice([None, "p", "q"]), rng.choice([None, 1, 2]), k % 4 if k < 38 else k) for k in range(40)]
+    df = spark.createDataFrame(rows, "label long, name string, kind string, n int, cluster_id long").select(ref(F.lit("s"), "label").alias("ref"), "name", "kind", "n", "cluster_id")
+    fields = Fields.of(df, targets=("name",), null_is_absent=absent)
+    pairs = C.score_pairs(C.cluster_pairs(df), df, fields)
+    both = pairs.select(F.col("left").alias("ref"), "score").unionByName(pairs.select(F.col("right").alias("ref"), "score"))
+    want = {r.ref.label: r.mean for r in both.groupBy("ref").agg(F.avg("score").alias("mean")).collect()}
+    got = {r.ref.label: r.mean for r in C.mean_ambiguity(df, fields).collect()}
+    assert len(got) == 38 and got == pytest.approx(want)
+    assert {r.ref.label: (r.rank, r.mean) for r in C.rank_members(df, fields).collect() if r.cluster_id >= 38} == {38: (0, 0.0), 39: (0, 0.0)}
