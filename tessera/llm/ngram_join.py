@@ -4,12 +4,15 @@ Two documents link when ``100 * overlap >= 80 * union`` of their sets of five-wo
 are counted by a blocked sparse matrix product of documents by shingles; size bounds discard pairs.
 
 1. Documents with equal sets are one class, named by its digest and represented by its least id.
-2. Shingle frequencies over all documents are kept as a sketch of one byte a slot, of bounded size. It
+2. A set that links shares at least 0.8 of its shingles. Half of all shingles, chosen by a bit of their hash, meet in
+   groups of bounded size; a class of which more than ``n - ceil(0.8 n)`` of them are in no other class links
+   with nothing and goes no further. So shingles that unrelated texts share by chance don't tie them.
+3. Of the classes that are left, shingle frequencies are kept as a sketch of one byte a slot, of bounded size. It
    only orders shingles, rare ones first, and any one order gives the same result.
-3. By prefix filtering, sets that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of each.
+4. By prefix filtering, sets that link share a shingle among the first ``n - ceil(0.8 n) + 1`` of each.
    Classes that share one are tied to the least of them: linear in the input, however many share it.
    The connected parts of these ties hold every link.
-4. Within each part the product's rows are taken block by block. As components are wanted, a row is
+5. Within each part the product's rows are taken block by block. As components are wanted, a row is
    needed only against documents not yet in its own component, and the most typical documents come
    first, so a group of near copies is settled by a few rows. Parts larger than a block are split, with
    their most typical documents in every block; what then is not in the part's largest component is
@@ -43,6 +46,8 @@ BATCH_BYTES = 2 << 20
 MAX_BATCH_DOCS = 1 << 14
 #: shingles that one exchange group handles, about
 GROUP_GRAMS = 1 << 19
+#: bytes of a class's digest that travel with each shingle
+CLASS_BYTES = 6
 #: slots of the frequency sketch: at least one for every four shingles, within these bounds
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 26
 #: documents in one block of the product
@@ -93,15 +98,65 @@ def _slices(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """(id, mark, n, d1, d2): the size and digests of every document's set; docs has ``id``, ``mark`` and ``text``."""
+    """(id, mark, n, half, d1, d2): the size, chosen shingles and digests of every document's set; docs has ``id``, ``mark`` and ``text``."""
 
     def make(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(rows):
             grams, counts = gram_sets(batch.column("text"))
             d1, d2 = digests(grams, counts)
-            yield pa.record_batch({"id": batch.column("id"), "mark": batch.column("mark"), "n": pa.array(counts, pa.int64()), "d1": pa.array(d1.view(np.int64)), "d2": pa.array(d2.view(np.int64))})
+            half = _sum_by(looked_for(grams).astype(np.uint64), counts).view(np.int64)
+            yield pa.record_batch({"id": batch.column("id"), "mark": batch.column("mark"), "n": pa.array(counts, pa.int64()), "half": pa.array(half), "d1": pa.array(d1.view(np.int64)), "d2": pa.array(d2.view(np.int64))})
 
-    return docs.mapInArrow(make, "id long, mark long, n long, d1 long, d2 long")
+    return docs.mapInArrow(make, "id long, mark long, n long, half long, d1 long, d2 long")
+
+
+# ---- classes that may link -----------------------------------------------------------------------
+
+
+def looked_for(grams: np.ndarray) -> np.ndarray:
+    """Flags of the half of all shingles that is looked for in other classes."""
+    return (grams & np.uint64(1)) == 0
+
+
+def shared_shingles(docs: DataFrame, total: int) -> DataFrame:
+    """(class, shared): how many chosen shingles of a class, named by ``CLASS_BYTES`` of its first digest, other classes have too."""
+    groups = _power_of_two(total / 2 / GROUP_GRAMS)
+    bits = int(np.log2(groups))
+
+    def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(rows):
+            grams, counts = gram_sets(batch.column("text"))
+            classes = np.repeat(digests(grams, counts)[0] >> np.uint64(64 - 8 * CLASS_BYTES), counts)
+            mine = looked_for(grams)
+            order = np.argsort(grams[mine])
+            grams, classes = grams[mine][order], classes[mine][order].view(np.uint8).reshape(-1, 8)[:, :CLASS_BYTES]
+            keys = ((grams << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+            cuts = np.searchsorted(grams >> np.uint64(64 - bits), np.arange(groups + 1, dtype=np.uint64)) if bits else [0, len(grams)]
+            held = [g for g in range(groups) if cuts[g + 1] > cuts[g]]
+            if held:
+                yield pa.record_batch({"g": pa.array(held, pa.int32()), "keys": _packed([keys[cuts[g] : cuts[g + 1]] for g in held]), "classes": _packed([classes[cuts[g] : cuts[g + 1]] for g in held])})
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("keys")])
+        packed = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, CLASS_BYTES) for x in table.column("classes")])
+        order = np.argsort(keys)
+        again = keys[order][1:] == keys[order][:-1]
+        order = order[np.append(again, False) | np.insert(again, 0, False)]
+        classes = np.zeros((len(order), 8), np.uint8)
+        classes[:, :CLASS_BYTES] = packed[order]
+        keys, classes = _distinct_pairs(keys[order], classes.reshape(-1).view(np.int64))
+        again = keys[1:] == keys[:-1]
+        found, times = np.unique(classes[np.append(again, False) | np.insert(again, 0, False)] if len(keys) else classes, return_counts=True)
+        return pa.table({"class": found, "shared": times.astype(np.int64)})
+
+    sent = docs.select("text").mapInArrow(send, "g int, keys binary, classes binary")
+    return sent.groupBy("g").applyInArrow(meet, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
+
+
+def may_link(classes: DataFrame, shared: DataFrame) -> DataFrame:
+    """The classes that have no more shingles of their own than a set with a link can have."""
+    held = classes.join(shared, F.shiftrightunsigned("d1", 64 - 8 * CLASS_BYTES) == F.col("class"), "left")
+    return held.filter(F.col("half") - F.coalesce("shared", F.lit(0)) <= F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100"))
 
 
 # ---- frequency sketch ----------------------------------------------------------------------------
@@ -354,16 +409,22 @@ def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("string")).alias("mark"), F.col(text).cast("string").alias("text"))
     sets = materialize(document_sets(texts), "sets")
-    classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "mark"))).alias("first"))
+    classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.first("half").alias("half"), F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "mark"))).alias("first"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     alone = sets.filter("n = 0").select("id", "mark", "n", F.col("id").alias("component_id"), F.lit(None).cast("struct<id:bigint,mark:bigint>").alias("kept"))
     if not total:
         return alone
+    some = materialize(may_link(classes.filter("rep IS NOT NULL"), shared_shingles(texts, total)).select("rep", "d1", "d2", "n"), "classes")
+    n_some, total = some.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = n_some <= BROADCAST_ROWS
+    reps = some.select("rep").distinct()
+    held = texts.join(F.broadcast(reps) if few else reps, texts["id"] == reps["rep"], "left_semi")
+    texts = held if few else materialize(held, "texts")
     sketch = frequency_sketch(texts, total)
     tied = connected_components(ties(texts, total, sketch))
     sizes = tied.groupBy("component").agg(F.count("*").alias("size"))
     parts = tied.join(sizes, "component").select(F.col("node").alias("d1"), F.col("component").alias("part"), "size")
-    members = checkpoint(classes.filter("rep IS NOT NULL").join(parts, "d1").select("rep", "d1", "d2", "part", "size"))
+    members = checkpoint(some.join(parts, "d1").select("rep", "d1", "d2", "part", "size"))
     linked = connected_components(link_parts(materialize(class_sets(texts, members, members.count(), sketch), "grams")))
     grouped = classes.join(linked, F.col("d1") == F.col("node"), "left").withColumn("component", F.coalesce("component", "d1"))
     least = grouped.filter(F.col("node").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"), F.min("first").alias("kept"))

@@ -599,3 +599,18 @@ def test_expectation_maximisation_recovers_accuracies():
     posterior = quality_rules.fit(patterns, counts)
     assert np.mean((posterior[place] >= 0.5) == good) > 0.98
     assert quality_rules.fit(np.zeros(0, int), np.zeros(0, int)).size == 0
+
+
+def test_ngram_join_drops_chance_ties(spark, monkeypatch):
+    """Texts that share some shingles with the next one each are compared with nothing, however coarse the sketch; two that link are."""
+    passages = [[f"p{k}x{j}" for j in range(12)] for k in range(41)]
+    texts = [" ".join([*passages[k], *[f"own{k}x{j}" for j in range(40)], *passages[k + 1]]) for k in range(40)]
+    texts += ["one " * 3 + " ".join(f"near{j}" for j in range(60)), "two " * 3 + " ".join(f"near{j}" for j in range(60))]
+    compared = []
+    held = ngram_join.link_parts
+    monkeypatch.setattr(ngram_join, "MIN_SLOTS", 1)
+    monkeypatch.setattr(ngram_join, "MAX_SLOTS", 1)
+    monkeypatch.setattr(ngram_join, "link_parts", lambda sets: compared.append(sets.count()) or held(sets))
+    rows = ngram_join.link_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {k: min(k, 40) for k in range(42)}
+    assert compared == [2]
