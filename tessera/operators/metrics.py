@@ -20,6 +20,14 @@ def spread(value: Column, name: str) -> list[Column]:
     return [F.avg(value).alias(f"{name}_avg"), F.stddev_pop(value).alias(f"{name}_stdev")]
 
 
+def counted_spread(rows: DataFrame, value: str, count: str, name: str) -> DataFrame:
+    """A1 of values that occur ``count`` times each, as one row."""
+    n, held = F.sum(F.when(F.col(value).isNotNull(), F.col(count))), rows.select(value, count)
+    mean = held.agg(ratio(F.sum(F.col(value) * F.col(count)), n).alias(f"{name}_avg"))
+    off = (F.col(value) - F.col(f"{name}_avg")) * (F.col(value) - F.col(f"{name}_avg"))
+    return held.join(F.broadcast(mean)).agg(F.first(f"{name}_avg").alias(f"{name}_avg"), F.sqrt(ratio(F.sum(off * F.col(count)), n)).alias(f"{name}_stdev"))
+
+
 def quartiles(value: Column) -> Column:
     """Exact quartiles with linear interpolation, as an array."""
     return F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

@@ -92,3 +92,20 @@ def test_score_mixture_starts_as_often_as_by_default(spark, smoke_dir, monkeypat
     seen, fit = [], learning.fit_mixture
     monkeypatch.setattr(learning, "fit_mixture", lambda counted, restarts: seen.append(restarts) or fit(counted, restarts))
     assert QUERIES["m1_m2_score_mixture"](spark, smoke_dir).count() == 1 and seen == [50]
+
+
+@pytest.mark.parametrize("name", ["f7_ambiguity", "f7_bound", "g9_pair_roles", "k2_k4_frames"])
+def test_pairs_are_not_exchanged(spark, smoke_dir, name):
+    """The join of blocks comes last: nothing of the size of the pairs is shuffled after it."""
+    plan = QUERIES[name](spark, smoke_dir)._jdf.queryExecution().optimizedPlan().toString()
+    last = next(line for line in plan.split("\n") if "Join " in line or "Aggregate" in line)
+    assert "__i#" in last and "__j#" in last
+
+
+@pytest.mark.parametrize("name", ["m4_margin_mixture", "m7_surface_baseline", "m10_direction_metrics"])
+def test_pairs_are_not_written(spark, small_dir, monkeypatch, name):
+    """What is kept of the pairs are counts and means, fewer rows than there are pairs."""
+    held, kept = type(spark.range(1)).checkpoint, []
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", lambda df, *a, **b: kept.append(df.count()) or held(df, *a, **b))
+    assert QUERIES[name](spark, small_dir).count() == 1
+    assert max(kept) < QUERIES["j3_cluster_pairs"](spark, small_dir).count() / 2
