@@ -2,7 +2,9 @@
 
 import collections
 import math
+import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -320,6 +322,30 @@ def test_language_model_lists_what_occurs_twice_at_any_size(spark):
     assert scores[0] == pytest.approx(scores[1], abs=0.01)
 
 
+def test_language_model_leaves_only_what_its_result_reads(spark, monkeypatch):
+    """Exchanges, word lists and answers by group go as soon as they have been read, and groups are as many as the tokens ask for."""
+    monkeypatch.setattr(suffix_tree_lm, "GROUP_PAIRS", 100)
+    seen, meet = {}, suffix_tree_lm.level_counts
+    monkeypatch.setattr(suffix_tree_lm, "level_counts", lambda *a: seen.update(groups=a[4]) or meet(*a))
+    written, table = [], suffix_tree_lm.table_path
+    monkeypatch.setattr(suffix_tree_lm, "table_path", lambda *a: written.append(table(*a)) or written[-1])
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {str(f) for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before = shuffles()
+    docs = spark.createDataFrame([(k, "one two three four " * 5) for k in range(43)], "doc_id long, text string")
+    out = suffix_tree_lm.score(docs)
+    assert seen["groups"] == -(-43 * 21 // 100) == 10
+    kept = [p.removeprefix("file:") for p in written]
+    assert sorted(os.path.basename(p).split("-")[0] + ("-groups" if "-groups-" in p else "") for p in kept if os.path.exists(p)) == ["slices"]
+    assert [d for d in os.listdir(next(p for p in kept if "slices" in p)) if d.startswith("kind=")] == ["kind=tokens"]
+    for _ in range(50):  # files go in the background
+        if not (left := shuffles() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert out.count() == 43
+
+
 # ---- n-gram join ----
 
 
