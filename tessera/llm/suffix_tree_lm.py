@@ -221,6 +221,21 @@ def _blobs(rows: pa.Table, *kinds: type) -> list[list[np.ndarray]]:
     return [list(c) for c in zip(*(unpack(x.as_py(), *kinds) for x in rows.column("data")), strict=True)]
 
 
+def pack_counts(counts: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Counts of words, and the numbers, by falling count, of those that occur ``LEAST`` times; with their order known, counts are small steps."""
+    common = counts[counts >= LEAST]
+    return pack(np.minimum(counts, LEAST).astype(np.uint8), numbers, steps(common[np.argsort(numbers)[::-1]]))
+
+
+def unpack_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    least, numbers, rising = unpack(data, np.uint8, np.uint32, np.int64)
+    common = np.empty(len(numbers), np.int64)
+    common[np.argsort(numbers)[::-1]] = np.cumsum(rising)
+    counts = least.astype(np.int64)
+    counts[least >= LEAST] = common
+    return counts, numbers
+
+
 def word_counts(held: DataFrame, n_words: int) -> DataFrame:
     """Rows (slice, g, data): corpus counts of each slice's words, group by group, and the numbers of those that occur
     ``LEAST`` times: the group, and the place by falling count. The first row of a group also has its vocabulary."""
@@ -247,7 +262,7 @@ def word_counts(held: DataFrame, n_words: int) -> DataFrame:
         back = []
         for e, p in zip(ends, parts, strict=True):
             at = place[e - len(p) : e]
-            back.append(pack(counts[at], number[at[counts[at] >= LEAST]]))
+            back.append(pack_counts(counts[at], number[at[counts[at] >= LEAST]]))
         vocabulary = [int((counts > 0).sum())] + [0] * (len(parts) - 1)
         return pa.table({"slice": table.column("slice"), "g": table.column("g"), "data": pa.array(back, pa.binary()), "vocabulary": pa.array(vocabulary, pa.int64())})
 
@@ -406,7 +421,7 @@ def paths_of(batch: pa.RecordBatch, k: int, n: int, vocabulary: int, word_bits:
     """A slice's paths down to a depth with what its groups returned, and its lengths."""
     end, tokens, lengths = opened(batch, k)
     back = lambda name: [(x["g"], x["data"]) for x in batch.column(name)[k].as_py() or []]
-    parts = [(g, *unpack(data, np.int64, np.uint32)) for g, data in sorted(back("words_back"))]
+    parts = [(g, *unpack_counts(data)) for g, data in sorted(back("words_back"))]
     counts = np.concatenate([np.zeros(0, np.int64), *[c for _, c, _ in parts]])
     ids = np.concatenate([np.zeros(0, _U), *[(i.astype(_U) << _U(word_bits)) + _U(g) for g, _, i in parts]])
     paths = Paths(end, tokens, lengths, counts, ids, n, vocabulary)

@@ -346,6 +346,20 @@ def test_language_model_leaves_only_what_its_result_reads(spark, monkeypatch):
     assert out.count() == 43
 
 
+def test_word_counts_come_back_in_less_than_their_counts_take():
+    rng = np.random.default_rng(3)
+    counts = (1 / rng.random(5000)).astype(np.int64)
+    number = np.empty(5000, np.uint32)
+    number[np.argsort(-counts, kind="stable")] = np.arange(5000, dtype=np.uint32)
+    for at in (np.arange(5000), np.flatnonzero(counts < 2), np.zeros(0, np.int64), np.flatnonzero(counts >= 2)[:1]):
+        numbers = number[at[counts[at] >= 2]]
+        packed = suffix_tree_lm.pack_counts(counts[at], numbers)
+        got = suffix_tree_lm.unpack_counts(packed)
+        assert got[0].tolist() == counts[at].tolist() and got[1].tolist() == numbers.tolist()
+    plain = suffix_tree_lm.pack(counts, number[counts >= 2])
+    assert len(suffix_tree_lm.pack_counts(counts, number[counts >= 2])) < 0.9 * len(plain)
+
+
 # ---- n-gram join ----
 
 
