@@ -50,6 +50,8 @@ GROUP_GRAMS = 1 << 19
 CLASS_BYTES = 6
 #: slots of the frequency sketch: at least one for every four shingles, within these bounds
 MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 26
+#: slots that reach the driver at once, about
+READ_SLOTS = 1 << 22
 #: documents in one block of the product
 BLOCK_DOCS = 1024
 CENTERS = 16
@@ -196,8 +198,10 @@ def frequency_sketch(docs: DataFrame, total: int) -> np.ndarray:
         return pa.table({"g": table.column("g").slice(0, 1), "levels": _packed([dense])})
 
     sent = docs.select("text").mapInArrow(send, "g int, keys binary")
+    counted = materialize(sent.groupBy("g").applyInArrow(count, "g int, levels binary"), "sketch")
     out = np.zeros(slots, np.uint8)
-    for row in sent.groupBy("g").applyInArrow(count, "g int, levels binary").toLocalIterator():
+    # an iterator runs a job for each partition, so groups are counted before, side by side, and read in few
+    for row in counted.coalesce(max(1, slots // READ_SLOTS)).toLocalIterator():
         out[row["g"] * per : (row["g"] + 1) * per] = np.frombuffer(row["levels"], np.uint8)
     return out
 
@@ -384,12 +388,16 @@ def link_parts(sets: DataFrame) -> DataFrame:
     named = big.select("part", "d1").join(found, F.col("d1") == F.col("node"), "left").select("part", "d1", F.coalesce("component", "d1").alias("component"))
     counts = named.groupBy("part", "component").agg(F.count("*").alias("n"))
     largest = counts.groupBy("part").agg(F.max(F.struct("n", "component")).alias("top")).select("part", F.col("top.component").alias("component"))
-    outliers = named.join(largest, ["part", "component"], "left_anti").select("part", "d1")
+    outliers = checkpoint(named.join(largest, ["part", "component"], "left_anti").select("part", "d1"))
+    n_outliers = outliers.count()
+    if not n_outliers:
+        return links
+    small = F.broadcast if n_outliers <= BROADCAST_ROWS else lambda df: df
     sides = outliers.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("long").alias("sides"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     columns = ["part", "block", "side", "d1", "outlier", "typical", "grams"]
-    met = big.join(sides, "part")
-    moving = met.join(outliers, ["part", "d1"], "left_semi").withColumn("side", F.pmod(F.xxhash64("d1", F.lit("side")), F.col("sides"))).withColumn("block", every("blocks"))
+    met = big.join(small(sides), "part")
+    moving = met.join(small(outliers), ["part", "d1"], "left_semi").withColumn("side", F.pmod(F.xxhash64("d1", F.lit("side")), F.col("sides"))).withColumn("block", every("blocks"))
     staying = met.withColumn("side", every("sides"))
     pairs = moving.withColumn("outlier", F.lit(True)).select(*columns).unionByName(staying.withColumn("outlier", F.lit(False)).select(*columns))
     more = pairs.select(F.xxhash64("part", "block", "side").alias("bucket"), "part", "d1", "outlier", "typical", "grams").groupBy("bucket").applyInArrow(_verify, "src long, dst long")
